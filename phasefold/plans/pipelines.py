@@ -10,6 +10,7 @@ from phasefold.functions.order import exact_quantiles
 from phasefold.functions.phase import (BASE, MIN_SCALE, SCALE_QUANTILE, dimensionless, feature_stats, norm, phase_columns,
                                        phase_coord6, resolve_context, resolve_features)
 from phasefold.operators import augment, blending, learning, neighbours, patches, sampling, spatial, voxels
+from phasefold.session import cut_lineage
 from phasefold.sources.cleaning import clean_snapshot, default_columns
 from phasefold.sources.sinks import particle_outputs
 
@@ -20,12 +21,12 @@ PAYLOAD = list(BASE)
 def phase_scales(df: DataFrame, chunk: Sequence[str], quantile: float = SCALE_QUANTILE) -> DataFrame:
     """pos_scale and vel_scale per chunk: floored exact quantiles of the two norms over finite values."""
     chunk = list(chunk)
-    sized = df.select(*chunk, norm(*[F.col(c) for c in BASE[:3]]).alias("_p"), norm(*[F.col(c) for c in BASE[3:]]).alias("_v"))
-    finite = lambda c: F.when(F.abs(F.col(c)) < F.lit(float("inf")), F.col(c))
-    sized = sized.withColumns({"_p": finite("_p"), "_v": finite("_v")})
-    pos = exact_quantiles(sized, "_p", [quantile], chunk).select(*chunk, F.greatest(F.col("q0"), F.lit(MIN_SCALE)).alias("pos_scale"))
-    vel = exact_quantiles(sized, "_v", [quantile], chunk).select(*chunk, F.greatest(F.col("q0"), F.lit(MIN_SCALE)).alias("vel_scale"))
-    return pos.join(vel, chunk) if chunk else pos.join(F.broadcast(vel))
+    lengths = {"p": norm(*[F.col(c) for c in BASE[:3]]), "v": norm(*[F.col(c) for c in BASE[3:]])}
+    both = F.array(*[F.struct(F.lit(k).alias("_kind"), e.alias("_len")) for k, e in lengths.items()])
+    long = df.select(*chunk, F.inline(both)).where(F.abs(F.col("_len")) < F.lit(float("inf")))
+    found = exact_quantiles(long, "_len", [quantile], [*chunk, "_kind"])
+    pick = lambda k: F.greatest(F.max(F.when(F.col("_kind") == k, F.col("q0"))), F.lit(MIN_SCALE))
+    return found.groupBy(*chunk).agg(pick("p").alias("pos_scale"), pick("v").alias("vel_scale"))
 
 
 def sparse_inputs(members: DataFrame, chunk: Sequence[str], centre: Sequence[Column], features: Sequence[str], grid_size: float = 4.0,
@@ -147,6 +148,8 @@ def chunk_table(particles: DataFrame, centres: DataFrame, size: float = 128.0, g
     members = spatial.box_query(centres, particles.select("particle_id", "is_stream", *BASE), size)
     capped = sampling.chunk_cap(members, ["centre_id"], max_raw, mode, seed=seed)
     ready = augment.augment_chunk(capped, "centre_id", seed, relative) if augmented else phase_columns(capped)
+    # The scale quantiles and the cells read the members several times: box join and cap run once.
+    ready = cut_lineage(ready)
     _, cells = cell_pipeline(ready, ["centre_id"], [F.col(c) for c in spatial.CENTRE], feature_set, grid_size, rule)
     return voxels.cell_hash_cap(cells, ["centre_id"], max_cells) if max_cells > 0 else cells
 
@@ -178,6 +181,7 @@ def patch_table(particles: DataFrame, centres: DataFrame, k: int = 48, base_box:
     """(point features per rank, 12 summaries) of mixed patches around each centre."""
     full = phase_columns(particles)
     source = F.when(F.col("is_stream") == 1, F.col("file_id").cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
+    centres = centres.dropDuplicates(["centre_id"])  # repeated draws share one patch
     found = neighbours.box_patches(centres, particles.select("particle_id", *BASE, source.alias("source")), k, base_box, space=space)
     keep = ["label"]
     points = patches.point_features16(found, patches.point_stats(full), "centre_id", keep)
