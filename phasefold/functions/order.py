@@ -15,21 +15,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phasefold.functions.hashing import hash32
 
+HELD_ROWS = 100_000  # values one percentile buffer may hold
 HASH_BUCKET_BITS = 20  # 2**32 >> 20 = 4096 buckets per group
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
-                    accuracy: int = 1_000_000) -> DataFrame:
+                    accuracy: int = 1_000_000, held_rows: int = HELD_ROWS) -> DataFrame:
     """Linear-interpolated exact quantiles, columns ``q0..`` per group (and ``n``).
 
-    A sketch brackets each wanted order statistic; one pass counts what lies
-    below the bracket and groups the few values inside it.  NULL and NaN values
-    are ignored.
+    While every group is small enough to be held in one aggregation buffer the
+    built-in ``percentile`` does the work.  Otherwise a sketch brackets each
+    wanted order statistic, and one pass counts what lies below the bracket and
+    groups the few values inside it.  Both ways interpolate alike.  NULL and NaN
+    values are ignored.
     """
     by = list(by)
     eps = 10.0 / accuracy
     small = int(4.0 / eps)
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= held_rows:
+        exact = F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs]))
+        return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), exact.alias("_p")).select(
+            *by, "n", *[F.col("_p")[i].alias(f"q{i}") for i in range(len(qs))])
     probes = []
     for q in qs:
         probes += [max(q - eps, 0.0), min(q + eps, 1.0)]
@@ -75,7 +83,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
         F.max(F.when(holds(F.col("_k")), F.col("_v"))).alias("_a"),
         F.max(F.when(holds(upper_rank), F.col("_v"))).alias("_z"),
         F.first("_f").alias("_f"), F.first("n").alias("n"),
-    ).withColumn("_val", F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f"))
+    ).withColumn("_val", F.when((F.col("_f") == 0.0) | (F.col("_a") == F.col("_z")), F.col("_a")).otherwise(
+        (F.lit(1.0) - F.col("_f")) * F.col("_a") + F.col("_f") * F.col("_z")))
     return picked.groupBy(*by).agg(
         F.first("n").alias("n"),
         *[F.max(F.when(F.col("_i") == i, F.col("_val"))).alias(f"q{i}") for i in range(len(qs))],

@@ -91,9 +91,9 @@ def touched_population(centres: DataFrame, points: DataFrame, size: float, cell:
         F.count(F.lit(1)).alias("n"))
     spread = centres.join(F.broadcast(corners))  # two rows, one per class
     for name, p, c in zip(CELLS, POS, CENTRE):
-        lo = F.floor((F.col(c) - F.lit(0.5 * size) - F.col(f"m{p}")) / F.lit(float(cell)))
-        hi = F.floor((F.col(c) + F.lit(0.5 * size) - F.col(f"m{p}")) / F.lit(float(cell)))
-        spread = spread.withColumn(name, F.explode(F.sequence(lo, hi)).cast("int"))
+        lo = F.floor((F.col(c) - F.lit(0.5 * size) - F.col(f"m{p}")) / F.lit(float(cell))).cast("int")
+        hi = F.floor((F.col(c) + F.lit(0.5 * size) - F.col(f"m{p}")) / F.lit(float(cell))).cast("int")
+        spread = spread.withColumn(name, F.explode(F.sequence(lo, hi)))
     return spread.join(counts, ["is_stream", *CELLS]).groupBy("centre_id", *CENTRE).agg(F.sum("n").alias("touched"))
 
 

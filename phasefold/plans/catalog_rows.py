@@ -133,11 +133,11 @@ def feature_select(spark, sf_dir):
 
 def scales_sql(source: str, chunk: str) -> str:
     """Interpolated 0.9 quantiles of both norms per chunk, by rank."""
-    pick = lambda c: (
-        f"max(CASE WHEN rn_{c} = floor((n - 1) * CAST(0.9 AS DOUBLE)) THEN {c} END) + "
-        f"(max(CASE WHEN rn_{c} = least(floor((n - 1) * CAST(0.9 AS DOUBLE)) + 1, n - 1) THEN {c} END) - "
-        f"max(CASE WHEN rn_{c} = floor((n - 1) * CAST(0.9 AS DOUBLE)) THEN {c} END)) * "
-        f"(max(n - 1) * CAST(0.9 AS DOUBLE) - floor(max(n - 1) * CAST(0.9 AS DOUBLE)))")
+    frac = "(max(n - 1) * CAST(0.9 AS DOUBLE) - floor(max(n - 1) * CAST(0.9 AS DOUBLE)))"
+    at = lambda c, rank: f"max(CASE WHEN rn_{c} = {rank} THEN {c} END)"
+    low = lambda c: at(c, "floor((n - 1) * CAST(0.9 AS DOUBLE))")
+    high = lambda c: at(c, "least(floor((n - 1) * CAST(0.9 AS DOUBLE)) + 1, n - 1)")
+    pick = lambda c: (f"CASE WHEN {frac} = 0 OR {low(c)} = {high(c)} THEN {low(c)} ELSE (1 - {frac}) * {low(c)} + {frac} * {high(c)} END")
     return (
         f"SELECT {chunk}, greatest({pick('p')}, 1e-6) AS pos_scale, greatest({pick('v')}, 1e-6) AS vel_scale FROM ("
         f"SELECT {chunk}, p, v, count(*) OVER (PARTITION BY {chunk}) AS n, row_number() OVER (PARTITION BY {chunk} ORDER BY p) - 1 AS rn_p, "

@@ -56,7 +56,6 @@ VIEWS = {
     "p_patch": _select(_patch("embedding[{i}]"), "embeddings"),
     "centres": _select(CENTRES, "supplier"),
 }
-DEPENDENCIES = {"phase": "p_vol", "phase_patch": "p_patch"}
 
 
 def phase_sql(source: str, floor_radius: bool = False) -> str:
@@ -73,7 +72,16 @@ def phase_sql(source: str, floor_radius: bool = False) -> str:
 def with_views(body: str, *names: str, **extra: str) -> str:
     """``WITH`` the named fixture views and extra views, then ``body``."""
     parts = [f"{n} AS ({VIEWS[n]})" for n in names] + [f"{n} AS ({q})" for n, q in extra.items()]
-    return f"WITH {', '.join(parts)} {body}"
+    return f"WITH RECURSIVE {', '.join(parts)} {body}"
+
+
+def quantile_sql(source: str, col: str, q: float, name: str = "cut") -> str:
+    """One-row interpolated quantile, by rank."""
+    pos = f"(n - 1) * CAST({q!r} AS DOUBLE)"
+    frac = f"(max({pos}) - floor(max({pos})))"
+    low, high = (f"max(CASE WHEN rn = {rank} THEN v END)" for rank in (f"floor({pos})", f"least(floor({pos}) + 1, n - 1)"))
+    return (f"SELECT CASE WHEN {frac} = 0 OR {low} = {high} THEN {low} ELSE (1 - {frac}) * {low} + {frac} * {high} END AS {name} FROM "
+            f"(SELECT {col} AS v, row_number() OVER (ORDER BY {col}) - 1 AS rn, count(*) OVER () AS n FROM {source})")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
