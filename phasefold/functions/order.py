@@ -15,29 +15,49 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phasefold.functions.hashing import hash32
 
-HELD_ROWS = 100_000  # values one percentile buffer may hold
+HELD_ROWS = 1_000_000  # rows of one group that a single task may sort
 HASH_BUCKET_BITS = 20  # 2**32 >> 20 = 4096 buckets per group
 
 
+def _between(low: Column, high: Column, frac: Column) -> Column:
+    return F.when((frac == 0.0) | (low == high), low).otherwise((F.lit(1.0) - frac) * low + frac * high)
+
+
+def held_quantiles(df: DataFrame, values: Sequence[str], qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles ``<value>_q0..`` of groups whose size is known to be small, by rank within the group.
+
+    One shuffle serves all values; sorting beats the object buffers of the
+    built-in ``percentile`` when there are many groups.
+    """
+    by = list(by)
+    group = Window.partitionBy(*by)
+    ranked, aggs = df.select(*by, *values), []
+    for v in values:
+        ranked = ranked.withColumns({f"_r_{v}": F.row_number().over(group.orderBy(F.col(v).asc_nulls_last())) - 1, f"_n_{v}": F.count(v).over(group)})
+    for v in values:
+        for i, q in enumerate(qs):
+            pos = F.lit(float(q)) * (F.col(f"_n_{v}") - 1)
+            at = lambda rank, v=v: F.max(F.when(F.col(f"_r_{v}") == rank, F.col(v)))
+            aggs.append(_between(at(F.floor(pos)), at(F.least(F.floor(pos) + 1, F.col(f"_n_{v}") - 1)), F.max(pos - F.floor(pos))).alias(f"{v}_q{i}"))
+    return ranked.groupBy(*by).agg(F.max(f"_n_{values[0]}").alias("n"), *aggs)
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
                     accuracy: int = 1_000_000, held_rows: int = HELD_ROWS) -> DataFrame:
     """Linear-interpolated exact quantiles, columns ``q0..`` per group (and ``n``).
 
-    While every group is small enough to be held in one aggregation buffer the
-    built-in ``percentile`` does the work.  Otherwise a sketch brackets each
-    wanted order statistic, and one pass counts what lies below the bracket and
-    groups the few values inside it.  Both ways interpolate alike.  NULL and NaN
-    values are ignored.
+    While every group is small each is simply ranked.  Otherwise a sketch
+    brackets each wanted order statistic, and one pass counts what lies below the
+    bracket and groups the few values inside it, so no group is ever sorted
+    whole.  Both ways interpolate alike.  NULL and NaN values are ignored.
     """
     by = list(by)
     eps = 10.0 / accuracy
     small = int(4.0 / eps)
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (largest or 0) <= held_rows:
-        exact = F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs]))
-        return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), exact.alias("_p")).select(
-            *by, "n", *[F.col("_p")[i].alias(f"q{i}") for i in range(len(qs))])
+    if largest_group(rows, by) <= held_rows:
+        held = held_quantiles(rows, ["_v"], qs, by)
+        return held.select(*by, "n", *[F.col(f"_v_q{i}").alias(f"q{i}") for i in range(len(qs))])
     probes = []
     for q in qs:
         probes += [max(q - eps, 0.0), min(q + eps, 1.0)]
@@ -83,14 +103,18 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
         F.max(F.when(holds(F.col("_k")), F.col("_v"))).alias("_a"),
         F.max(F.when(holds(upper_rank), F.col("_v"))).alias("_z"),
         F.first("_f").alias("_f"), F.first("n").alias("n"),
-    ).withColumn("_val", F.when((F.col("_f") == 0.0) | (F.col("_a") == F.col("_z")), F.col("_a")).otherwise(
-        (F.lit(1.0) - F.col("_f")) * F.col("_a") + F.col("_f") * F.col("_z")))
+    ).withColumn("_val", _between(F.col("_a"), F.col("_z"), F.col("_f")))
     return picked.groupBy(*by).agg(
         F.first("n").alias("n"),
         *[F.max(F.when(F.col("_i") == i, F.col("_val"))).alias(f"q{i}") for i in range(len(qs))],
     )
 
 
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group (one job over the key columns)."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def prefix_sums(df: DataFrame, order: str, sums: Mapping[str, str], descending: bool = False, by: Sequence[str] = (),
                 buckets: int = 1024) -> DataFrame:
     """Inclusive cumulative sums over an order of values unique per group.

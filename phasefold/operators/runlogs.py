@@ -26,7 +26,7 @@ def parse_logs(files: DataFrame) -> DataFrame:
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Parse every log under ``path``; a log holds one line per epoch, so whole files are single rows."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return parse_logs(raw.select(F.col("_metadata.file_path").alias("log_file"),
                                  F.unix_micros(F.col("_metadata.file_modification_time")).alias("mtime"), "value"))
 

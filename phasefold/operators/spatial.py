@@ -104,14 +104,14 @@ def valid_centres(points: DataFrame, size: float = 128.0, min_particles: int = 1
     return hash_take(populated.where(F.col("touched") >= min_particles), target, key="centre_id", seed=seed)
 
 
-def _holds(pos: Column, half: Column, centre):
-    """Predicate on a lattice index: its half-open interval contains ``pos``."""
-    return lambda i: (pos >= centre(i) - half) & (pos < centre(i) + half)
+def _holds(pos: Column, half: Column, centre: Column) -> Column:
+    """The half-open interval around ``centre`` contains ``pos``."""
+    return (pos >= centre - half) & (pos < centre + half)
 
 
-def _swept(low: Column, half: Column, step: float):
+def _swept(low: Column, half: Column, step: float, index: Column) -> Column:
     """Centre of a brick index along one axis of the sweep."""
-    return lambda i: low + half + i.cast("double") * F.lit(step)
+    return low + half + index.cast("double") * F.lit(step)
 
 
 def assign_tiles(df: DataFrame, size: float = 128.0, stride: float = 64.0) -> DataFrame:
@@ -122,9 +122,8 @@ def assign_tiles(df: DataFrame, size: float = 128.0, stride: float = 64.0) -> Da
     half, step = F.lit(float(size) / 2.0), F.lit(float(stride))
     for t, c, p in zip(("ti", "tj", "tk"), CENTRE, POS):
         pos = F.col(p)
-        span = F.sequence(F.floor((pos - half) / step).cast("int"), (F.floor((pos + half) / step) + 1).cast("int"))
-        df = df.withColumn(t, F.explode(F.filter(span, _holds(pos, half, lambda i: i.cast("double") * step))))
-        df = df.withColumn(c, F.col(t).cast("double") * step)
+        span = F.sequence(F.floor((pos - half) / step).cast("int"), F.floor((pos + half) / step).cast("int"))
+        df = df.withColumn(t, F.explode(span)).withColumn(c, F.col(t).cast("double") * step).where(_holds(pos, half, F.col(c)))
     return df
 
 
@@ -166,7 +165,7 @@ def brick_lattice(df: DataFrame, size: float = 128.0, stride_fraction: float = 0
     out = df.agg(*[f(p).alias(f"{n}{p}") for p in POS for n, f in (("lo", F.min), ("hi", F.max))])
     for b, c, p in zip(("bi", "bj", "bk"), CENTRE, POS):
         out = out.withColumn(b, F.explode(_brick_axis(F.col(f"lo{p}"), F.col(f"hi{p}"), size, step)))
-        out = out.withColumn(c, _swept(F.col(f"lo{p}"), F.lit(0.5 * size), step)(F.col(b)))
+        out = out.withColumn(c, _swept(F.col(f"lo{p}"), F.lit(0.5 * size), step, F.col(b)))
     return out.select("bi", "bj", "bk", *CENTRE)
 
 
@@ -184,6 +183,5 @@ def assign_bricks(df: DataFrame, size: float = 128.0, stride_fraction: float = 0
         first = F.greatest(F.floor((pos - low - F.lit(float(size))) / F.lit(step)).cast("int"), F.lit(0))
         until = F.least((F.floor((pos - low) / F.lit(step)) + 1).cast("int"), last)
         span = F.sequence(F.least(first, until), until)
-        df = df.withColumn(b, F.explode(F.filter(span, _holds(pos, half, _swept(low, half, step)))))
-        df = df.withColumn(c, _swept(low, half, step)(F.col(b)))
+        df = df.withColumn(b, F.explode(span)).withColumn(c, _swept(low, half, step, F.col(b))).where(_holds(pos, half, F.col(c)))
     return df.drop(*[f"_{n}{p}" for p in POS for n in ("lo", "hi")])

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from phasefold.functions.order import exact_quantiles
+from phasefold.functions.order import HELD_ROWS, exact_quantiles, held_quantiles, largest_group
 from phasefold.functions.phase import (BASE, MIN_SCALE, SCALE_QUANTILE, dimensionless, feature_stats, norm, phase_columns,
                                        phase_coord6, resolve_context, resolve_features)
 from phasefold.operators import augment, blending, learning, neighbours, patches, sampling, spatial, voxels
@@ -21,11 +21,16 @@ PAYLOAD = list(BASE)
 def phase_scales(df: DataFrame, chunk: Sequence[str], quantile: float = SCALE_QUANTILE) -> DataFrame:
     """pos_scale and vel_scale per chunk: floored exact quantiles of the two norms over finite values."""
     chunk = list(chunk)
-    lengths = {"p": norm(*[F.col(c) for c in BASE[:3]]), "v": norm(*[F.col(c) for c in BASE[3:]])}
-    both = F.array(*[F.struct(F.lit(k).alias("_kind"), e.alias("_len")) for k, e in lengths.items()])
-    long = df.select(*chunk, F.inline(both)).where(F.abs(F.col("_len")) < F.lit(float("inf")))
-    found = exact_quantiles(long, "_len", [quantile], [*chunk, "_kind"])
-    pick = lambda k: F.greatest(F.max(F.when(F.col("_kind") == k, F.col("q0"))), F.lit(MIN_SCALE))
+    floored = lambda c: F.greatest(c, F.lit(MIN_SCALE))
+    sized = df.select(*chunk, norm(*[F.col(c) for c in BASE[:3]]).alias("p"), norm(*[F.col(c) for c in BASE[3:]]).alias("v"))
+    if largest_group(df, chunk) <= HELD_ROWS:
+        finite = {c: F.when(F.abs(F.col(c)) < F.lit(float("inf")), F.col(c)) for c in ("p", "v")}
+        return held_quantiles(sized.withColumns(finite), ["p", "v"], [quantile], chunk).select(
+            *chunk, floored(F.col("p_q0")).alias("pos_scale"), floored(F.col("v_q0")).alias("vel_scale"))
+    both = F.array(*[F.struct(F.lit(k).alias("_kind"), F.col(k).alias("_len")) for k in ("p", "v")])
+    long = sized.select(*chunk, F.inline(both)).where(F.abs(F.col("_len")) < F.lit(float("inf")))
+    found = exact_quantiles(long, "_len", [quantile], [*chunk, "_kind"], held_rows=0)
+    pick = lambda k: floored(F.max(F.when(F.col("_kind") == k, F.col("q0"))))
     return found.groupBy(*chunk).agg(pick("p").alias("pos_scale"), pick("v").alias("vel_scale"))
 
 

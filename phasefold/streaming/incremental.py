@@ -59,7 +59,7 @@ def stream_logs(spark, path: str, out: str | None = None) -> DataFrame:
     Each trigger writes (log_file, mtime, line, key, value, text); the merge
     operators turn the accumulated table into one row per epoch.
     """
-    raw = spark.readStream.option("wholetext", True).text(path)
+    raw = spark.readStream.text(path, wholetext=True)
     files = raw.select(F.col("_metadata.file_path").alias("log_file"),
                        F.unix_micros(F.col("_metadata.file_modification_time")).alias("mtime"), "value")
     out = out or state_folder(raw)
