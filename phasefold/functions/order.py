@@ -14,9 +14,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phasefold.functions.hashing import hash32
+from phasefold.session import cut_lineage, small_side
 
 HELD_ROWS = 1_000_000  # rows of one group that a single task may sort
-HASH_BUCKET_BITS = 20  # 2**32 >> 20 = 4096 buckets per group
 
 
 def _between(low: Column, high: Column, frac: Column) -> Column:
@@ -166,11 +166,48 @@ def rank_in_buckets(df: DataFrame, by: Sequence[str], bucket: Column, order: Seq
     return ranked.drop("_bucket", "_off")
 
 
+def row_hash(df: DataFrame, key: str, seed: int) -> Column:
+    """The hash of a row, or the ``_hash`` column computed earlier (before a join multiplied the rows)."""
+    return F.col("_hash") if "_hash" in df.columns else hash32(key, seed)
+
+
+def hash_bucket_counts(df: DataFrame, by: Sequence[str], key: str, seed: int, take: Column | None = None) -> tuple[DataFrame, int]:
+    """Rows per (group, hash bucket), and the shift that cuts a hash into its bucket.
+
+    64 buckets usually do; when one still holds too many rows for a single task
+    the cut is made finer.  The table is small and is materialised, so the data
+    is read once for it.
+    """
+    extra = [F.max(take).alias("_take")] if take is not None else []
+    for bits in (6, 12, 20, 32):
+        shift = 32 - bits
+        tagged = df.withColumn("_bucket", F.shiftright(row_hash(df, key, seed), shift))
+        counts = cut_lineage(tagged.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"), *extra))
+        if bits == 32 or (counts.agg(F.max("_n")).first()[0] or 0) <= HELD_ROWS:
+            return counts, shift
+    raise AssertionError("unreachable")
+
+
+def take_buckets(df: DataFrame, counts: DataFrame, shift: int, by: Sequence[str], key: str, seed: int, rank: str = "_rank") -> DataFrame:
+    """First ``_take`` rows of each group in hash order, given its bucket counts (with ``_take``).
+
+    Buckets wholly past the wanted rows are dropped by the join, before any row
+    is shuffled for ranking.
+    """
+    by = list(by)
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_off") < F.col("_take"))
+    tagged = df.withColumn("_h", row_hash(df, key, seed)).withColumn("_bucket", F.shiftright(F.col("_h"), shift))
+    placed = tagged.join(small_side(offsets.select(*by, "_bucket", "_off", "_take")), [*by, "_bucket"])
+    inner = Window.partitionBy(*by, "_bucket").orderBy("_h", key)
+    ranked = placed.withColumn(rank, F.col("_off") + F.row_number().over(inner) - 1)
+    return ranked.where(F.col(rank) < F.col("_take")).drop("_h", "_hash", "_bucket", "_off", "_take")
+
+
 def hash_take(df: DataFrame, n: Column | int, by: Sequence[str] = (), key: str = "particle_id", seed: int = 0,
               rank: str | None = None) -> DataFrame:
     """Exactly ``min(n, size)`` rows per group without replacement, in hash order."""
     limit = F.lit(n) if isinstance(n, int) else n
-    tagged = df.withColumn("_h", hash32(key, seed))
-    out = rank_in_buckets(tagged, by, F.shiftright(F.col("_h"), HASH_BUCKET_BITS), [F.col("_h"), F.col(key)],
-                          name=rank or "_rank", take=limit)
-    return out.drop("_h") if rank else out.drop("_h", "_rank")
+    counts, shift = hash_bucket_counts(df, by, key, seed, limit)
+    out = take_buckets(df, counts, shift, by, key, seed, rank or "_rank")
+    return out if rank else out.drop("_rank")

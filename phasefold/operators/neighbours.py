@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from phasefold.session import cut_lineage
+from phasefold.session import cut_lineage, small_side
 
-LEAF_ROWS = 2048
+LEAF_ROWS = 1024
 QUERY_BLOCK = 4096
 CODE_BITS = 60
 CHUNK_CELLS = 1 << 21  # distance-matrix cells held at once inside a task
@@ -337,7 +337,7 @@ def knn_patches(points: DataFrame, k: int, dims: Sequence[str], id_col: str = "p
 
 def _search_leaves(rows, by, dims, payload, carry, want, total, box, leaf_rows, schema) -> DataFrame:
     coded, leafmap, fine = _leaves(rows, by, dims, total, box, want, leaf_rows)
-    placed = coded.join(leafmap, [*by, "fine"]).withColumn("unit", _unit())
+    placed = cut_lineage(coded.join(small_side(leafmap), [*by, "fine"]).withColumn("unit", _unit()))
     own = cut_lineage(placed.groupBy(*by, "unit").applyInArrow(
         _leaf_search(want, dims, payload, carry, by, box, fine), schema))
 

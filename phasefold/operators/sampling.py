@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phasefold.functions.hashing import hash32
 from phasefold.functions.linalg import with_eigenvalues
-from phasefold.functions.order import hash_take
+from phasefold.functions.order import hash_bucket_counts, hash_take, take_buckets
 
 MODES = ("equal_files", "sqrt_size", "proportional")
 
@@ -172,10 +172,16 @@ def chunk_quota(n_stream: Column, n_background: Column, max_raw: int, mode: str
 
 def chunk_cap(members: DataFrame, chunk: Sequence[str], max_raw: int = 160_000, mode: str = "balanced", target: float = 0.10,
               key: str = "particle_id", seed: int = 0) -> DataFrame:
-    """Class-aware cap of the rows of each chunk, drawn in hash order."""
+    """Class-aware cap of the rows of each chunk, drawn in hash order.
+
+    A ``_hash`` column computed before the chunks were formed is used when present.
+    """
     chunk = list(chunk)
-    counts = members.groupBy(*chunk).agg(F.count_if(F.col("is_stream") == 1).alias("_ns"), F.count_if(F.col("is_stream") != 1).alias("_nb"))
+    by = [*chunk, "is_stream"]
+    counts, shift = hash_bucket_counts(members, by, key, seed)
+    whole = Window.partitionBy(*chunk)  # bucket table: a few hundred rows per chunk
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_n"))).over(whole), F.lit(0))
+    counts = counts.withColumns({"_ns": total(F.col("is_stream") == 1), "_nb": total(F.col("is_stream") != 1)})
     keep_s, keep_b = chunk_quota(F.col("_ns"), F.col("_nb"), max_raw, mode, target)
-    quota = counts.select(*chunk, keep_s.alias("_ks"), keep_b.alias("_kb"))
-    tagged = members.join(quota, chunk).withColumn("_keep", F.when(F.col("is_stream") == 1, F.col("_ks")).otherwise(F.col("_kb")))
-    return hash_take(tagged, F.col("_keep"), [*chunk, "is_stream"], key, seed).drop("_ks", "_kb", "_keep")
+    counts = counts.withColumn("_take", F.when(F.col("is_stream") == 1, keep_s).otherwise(keep_b)).drop("_ns", "_nb")
+    return take_buckets(members, counts, shift, by, key, seed).drop("_rank")

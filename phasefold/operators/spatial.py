@@ -53,7 +53,7 @@ def box_query(centres: DataFrame, points: DataFrame, size: float, cell: float |
     shuffled, each replicated over ``salts`` so that one crowded cell is spread
     over that many tasks.
     """
-    cell = float(size if cell is None else cell)
+    cell = float(size) / 3.0 if cell is None else float(cell)
     touched = explode_cells(centres, float(size), cell)
     keyed = points.withColumns({n: F.floor(F.col(p) / F.lit(cell)) for n, p in zip(CELLS, POS)})
     sized = small_side(touched)

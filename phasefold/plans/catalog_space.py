@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phasefold.functions import phase
-from phasefold.functions.hashing import hash32_sql
+from phasefold.functions.hashing import hash32, hash32_sql
 from phasefold.operators import augment, blending, neighbours, patches, sampling, serial, spatial, voxels
 from phasefold.plans import pipelines
 from phasefold.plans.catalog_rows import BASE, eigen_sql, scales_sql
@@ -492,7 +492,8 @@ CAPPED = ("SELECT * FROM boxed JOIN quota USING (ck) QUALIFY row_number() OVER (
 
 @query("chunk_cap", with_views("SELECT ck AS centre_id, particle_id FROM capped", "p_vol", "centres", boxed=BOXED, quota=quota_sql(), capped=CAPPED))
 def chunk_cap(spark, sf_dir):
-    members = spatial.box_query(centres(spark, sf_dir), p_vol(spark, sf_dir), 128.0)
+    rows = p_vol(spark, sf_dir).select("particle_id", "is_stream", *XYZ, hash32("particle_id", 0).alias("_hash"))
+    members = spatial.box_query(centres(spark, sf_dir), rows, 128.0)
     return sampling.chunk_cap(members, ["centre_id"], CAP).select("centre_id", "particle_id")
 
 

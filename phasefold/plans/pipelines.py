@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from phasefold.functions.hashing import hash32
 from phasefold.functions.order import HELD_ROWS, exact_quantiles, held_quantiles, largest_group
 from phasefold.functions.phase import (BASE, MIN_SCALE, SCALE_QUANTILE, dimensionless, feature_stats, norm, phase_columns,
                                        phase_coord6, resolve_context, resolve_features)
@@ -150,7 +151,8 @@ def chunk_table(particles: DataFrame, centres: DataFrame, size: float = 128.0, g
                 mode: str = "balanced", rule: str = "any_positive", feature_set: str = "all", max_cells: int = 0, augmented: bool = False,
                 relative: bool = False, seed: int = 0) -> DataFrame:
     """Sparse-cell training table of every chunk: box join, class-aware cap, augmentation, cells, cell cap."""
-    members = spatial.box_query(centres, particles.select("particle_id", "is_stream", *BASE), size)
+    rows = particles.select("particle_id", "is_stream", *BASE, hash32("particle_id", seed).alias("_hash"))
+    members = spatial.box_query(centres, rows, size)
     capped = sampling.chunk_cap(members, ["centre_id"], max_raw, mode, seed=seed)
     ready = augment.augment_chunk(capped, "centre_id", seed, relative) if augmented else phase_columns(capped)
     # The scale quantiles and the cells read the members several times: box join and cap run once.
