@@ -7,21 +7,24 @@ stay below 2**53, so ANSI mode never overflows.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, functions as F
 
 MODULUS = 4294967296
 
 
+def _seed_constants(seed: int) -> list[int]:
+    """Five unrelated odd 32-bit constants of a seed, so that different seeds give unrelated hashes."""
+    digest = hashlib.blake2b(str(int(seed)).encode(), digest_size=20).digest()
+    return [int.from_bytes(digest[i:i + 4], "big") | 1 for i in range(0, 20, 4)]
+
+
 def hash32_sql(key: str, seed: int = 0, div: str = "div") -> str:
     """SQL text of the hash of a non-negative BIGINT; ``div`` is the integer-division operator."""
-    first = (
-        f"((({key}) % 1000003) * 2654435761 + ((({key}) {div} 1000003) % 1000003) * 2246822519 + {seed})"
-        f" % {MODULUS}"
-    )
-    return (
-        f"((({first}) % 65536) * {3266489917 + 2 * seed} + (({first}) {div} 65536) * 668265263 + {seed})"
-        f" % {MODULUS}"
-    )
+    a, b, c, d, e = _seed_constants(seed)
+    first = f"((({key}) % 1000003) * {a} + ((({key}) {div} 1000003) % 1000003) * {b} + {c}) % {MODULUS}"
+    return f"((({first}) % 65536) * {d} + (({first}) {div} 65536) * {e} + {c}) % {MODULUS}"
 
 
 def hash32(key: str, seed: int = 0) -> Column:
