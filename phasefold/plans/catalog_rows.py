@@ -297,16 +297,21 @@ def eigen_sql(source: str, keys: str, floor: str = "1e-8") -> str:
         f"+ 2 * (cxy * cxy + cxz * cxz + cyz * cyz)) / 6) AS pp FROM (SELECT *, (cxx + cyy + czz) / 3 AS q FROM {source})))))")
 
 
+_COV = ("SELECT is_stream, CAST(count(*) AS BIGINT) AS sampled, " + ", ".join(
+    f"covar_samp({a}, {b}) AS c{a}{b}" for a, b in (("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z"))) + " FROM p_vol GROUP BY is_stream")
+
+
 @query("geometry_report", with_views(
     f"SELECT is_stream, sampled, {rd_sql('sqrt(l_max / l_min)')} AS axis_ratio, {rd_sql('l_min', 2)} AS l_min, {rd_sql('l_max', 2)} AS l_max FROM eig", "p_vol",
-    cov="SELECT is_stream, CAST(count(*) AS BIGINT) AS sampled, " + ", ".join(
-        f"covar_samp({a}, {b}) AS c{a}{b}" for a, b in (("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z"))) + " FROM p_vol GROUP BY is_stream",
-    eig=eigen_sql("cov", "is_stream", "1e-12")))
+    cov=_COV, eig=eigen_sql("cov", "is_stream", "1e-12")))
 def geometry_report(spark, sf_dir):
     out = sampling.geometry_report(p_vol(spark, sf_dir), by=["is_stream"])
     return rounded(out, {"axis_ratio": 6, "l_min": 2, "l_max": 2}).select("is_stream", "sampled", "axis_ratio", "l_min", "l_max")
 
 
-@query("geometry_gate")
+@query("geometry_gate", with_views(
+    f"SELECT {rd_sql('s')} AS stream_axis_ratio, {rd_sql('b')} AS background_axis_ratio, s >= 1.15 AND b <= 1.30 AS relative_rotation FROM ("
+    "SELECT max(CASE WHEN is_stream = 1 THEN sqrt(l_max / l_min) END) AS s, max(CASE WHEN is_stream = 0 THEN sqrt(l_max / l_min) END) AS b FROM eig)", "p_vol",
+    cov=_COV, eig=eigen_sql("cov", "is_stream", "1e-12")))
 def geometry_gate(spark, sf_dir):
-    return sampling.geometry_gate(p_vol(spark, sf_dir))
+    return rounded(sampling.geometry_gate(p_vol(spark, sf_dir)), 6, ["stream_axis_ratio", "background_axis_ratio"])

@@ -168,9 +168,9 @@ def negative_overlay(spark, sf_dir):
 # --- patch features ----------------------------------------------------------
 
 
-def edges_sql(knn: str, floor_radius: bool) -> str:
+def edges_sql(knn: str, floor_radius: bool, extra: str = "") -> str:
     """Edge table with derived columns of both ends (q: centre, n: neighbour)."""
-    return (f"SELECT k.query_id, k.rank, q.is_stream, q.file_id, " + ", ".join(f"q.{c} AS q_{c}, n.{c} AS n_{c}" for c in (*BASE, "r", "vr", "speed", "vt", "lx", "ly", "lz", "lmag"))
+    return (f"SELECT {extra}k.query_id, k.rank, q.is_stream, q.file_id, " + ", ".join(f"q.{c} AS q_{c}, n.{c} AS n_{c}" for c in (*BASE, "r", "vr", "speed", "vt", "lx", "ly", "lz", "lmag"))
             + f" FROM ({knn}) k JOIN full14 q ON q.particle_id = k.query_id JOIN full14 n ON n.particle_id = k.neigh_id")
 
 
@@ -227,18 +227,21 @@ def patch_summary12(spark, sf_dir):
     return rounded(out, {n: FEATURE_DIGITS[n] for n in patches.SUMMARY_12})
 
 
-def _point_sql() -> str:
+def _point_columns() -> str:
     rel = lambda c: f"(n_{c} - q_{c}) / {c}_s"
     std = lambda c: f"(n_{c} - {c}_m) / {c}_s"
     cols = [rel(c) for c in BASE] + [std(c) for c in ("r", "vr", "speed", "vt")] + [rel(c) for c in ("lx", "ly", "lz")]
     cols += [std("lmag"), "sqrt(" + " + ".join(f"({rel(c)}) * ({rel(c)})" for c in XYZ) + ")", "n_speed / greatest(q_speed, 1e-6)"]
-    stats = "SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) + 1e-6 AS {c}_s" for c in patches.STATS_COLUMNS) + " FROM full14"
-    return with_views(
-        "SELECT query_id AS particle_id, rank, " + ", ".join(f"{rd_sql(c)} AS {n}" for c, n in zip(cols, patches.POINT_FEATURES_16)) + " FROM edges, stats", "p_patch",
-        full14=phase_sql("p_patch"), edges=edges_sql(knn_sql(DIST3, K, "q.particle_id <> n.particle_id"), False), stats=stats)
+    return ", ".join(f"{rd_sql(c)} AS {n}" for c, n in zip(cols, patches.POINT_FEATURES_16))
+
 
+POINT_SELECT = _point_columns()
+POINT_STATS = "SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) + 1e-6 AS {c}_s" for c in patches.STATS_COLUMNS) + " FROM full14"
 
-@query("point_features16", _point_sql())
+
+@query("point_features16", with_views(
+    f"SELECT query_id AS particle_id, rank, {POINT_SELECT} FROM edges, stats", "p_patch", full14=phase_sql("p_patch"),
+    edges=edges_sql(knn_sql(DIST3, K, "q.particle_id <> n.particle_id"), False), stats=POINT_STATS))
 def point_features16(spark, sf_dir):
     stats = patches.point_stats(phase.phase_columns(p_patch(spark, sf_dir)))
     out = patches.point_features16(_knn(spark, sf_dir, "xyz", include_self=False), stats)
@@ -322,13 +325,24 @@ def edge_blend(spark, sf_dir):
     return rounded(blending.edge_blend(pairs, ["prob", "density"]), {"prob": 6, "density": 6, "weight_sum": 6})
 
 
-@query("swept_inference")
+_SHARE = "CASE WHEN count(*) FILTER (is_stream = 1) OVER v * 2 > count(*) OVER v THEN 2.0 ELSE -2.0 END"
+_SWEPT_WEIGHT = "greatest((1 - least(greatest(" + ", ".join(f"abs(({p} - c{p}) / 64)" for p in XYZ) + ", 0), 1)) ** 2, 1e-3)"
+
+
+@query("swept_inference", with_views(
+    "SELECT particle_id, " + ", ".join(f"{rd_sql(f'sum(w * {v}) / sum(w)')} AS {v}" for v in ("prob", "logit", "margin", "density", "energy"))
+    + f", {rd_sql('sum(w)')} AS weight_sum, CAST(count(*) AS BIGINT) AS coverage, CAST(sum(w * prob) / sum(w) >= 0.5 AS INTEGER) AS pred_label FROM pairs GROUP BY particle_id",
+    "p_vol", full14=phase_sql("p_vol"), edge=EDGE, lattice=lattice_sql(128, 64), members=MEMBERS, channel_stats=CHANNEL_STATS, voxed=f"SELECT *, {VOXEL} FROM members",
+    shared=f"SELECT particle_id, {_SWEPT_WEIGHT} AS w, CAST({_SHARE} AS DOUBLE) AS margin, CAST(count(*) OVER v AS DOUBLE) AS density, avg(lmag) OVER v AS lm FROM voxed "
+           "WINDOW v AS (PARTITION BY bi, bj, bk, i, j, k)",
+    pairs="SELECT particle_id, w, margin, density, margin / 2 AS logit, 1 / (1 + exp(-margin)) AS prob, abs((lm - lmag_m) / lmag_s) AS energy FROM shared, channel_stats"))
 def swept_inference(spark, sf_dir):
     def scorer(grid):
         share = F.col("target").cast("double") * 4.0 - 2.0
         return 1.0 / (1.0 + F.exp(-share)), share / 2.0, share, F.abs(F.col("mean_lmag"))
 
-    return pipelines.swept_inference(p_vol(spark, sf_dir), scorer)
+    out = pipelines.swept_inference(p_vol(spark, sf_dir), scorer)
+    return rounded(out, 6, ["prob", "logit", "margin", "density", "energy", "weight_sum"])
 
 
 # --- sparse cells ------------------------------------------------------------
@@ -509,11 +523,29 @@ def chunk_table_augmented(spark, sf_dir):
     return pipelines.chunk_table(p_vol(spark, sf_dir), centres(spark, sf_dir), grid_size=GRID_SIZE, max_raw=CAP, max_cells=150, augmented=True, relative=True, seed=11)
 
 
-@query("patch_table")
+_MIXED = f"SELECT centre_id AS query_id, rank, neigh_id FROM ({patch_sql(K, BOX)})"
+
+
+@query("patch_table", with_views(
+    "SELECT query_id AS centre_id, is_stream AS label, rank, neigh_id, " + POINT_SELECT + " FROM edges, stats", "p_patch",
+    full14=phase_sql("p_patch"), edges=edges_sql(_MIXED, False, "k.neigh_id, "), stats=POINT_STATS))
 def patch_table(spark, sf_dir):
+    rows, at = _patch_sources(spark, sf_dir)
+    return rounded(pipelines.patch_table(rows, at, K, BOX)[0], 6, list(patches.POINT_FEATURES_16))
+
+
+@query("patch_table_summary", with_views(
+    f"SELECT query_id AS centre_id, is_stream AS label, {feature_exprs(patches.SUMMARY_12).replace(' AS patch_', ' AS ')} FROM eig", "p_patch",
+    full14=phase_sql("p_patch"), edges=edges_sql(_MIXED, False), **summary_sql("add", str(K))))
+def patch_table_summary(spark, sf_dir):
+    rows, at = _patch_sources(spark, sf_dir)
+    return rounded(pipelines.patch_table(rows, at, K, BOX)[1], {n: FEATURE_DIGITS[n] for n in patches.SUMMARY_12})
+
+
+@query("patch_table_augmented")
+def patch_table_augmented(spark, sf_dir):
     rows = p_patch(spark, sf_dir)
-    at = pipelines.patch_centres(rows, 200, 200)
-    return pipelines.patch_table(rows, at, K, BOX, augmented=True)[0]
+    return pipelines.patch_table(rows, pipelines.patch_centres(rows, 200, 200), K, BOX, augmented=True)[0]
 
 
 TILES = ("SELECT CAST(ti AS INTEGER) AS ti, CAST(tj AS INTEGER) AS tj, CAST(tk AS INTEGER) AS tk, p.*, ti * CAST(64 AS DOUBLE) AS cx, tj * CAST(64 AS DOUBLE) AS cy, tk * CAST(64 AS DOUBLE) AS cz FROM full14 p "
