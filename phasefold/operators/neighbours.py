@@ -123,64 +123,87 @@ def _unit_search(k: int, dims: Sequence[str], payload: Sequence[str], limit_col:
 
 
 def _merge(found: DataFrame, k: int, key: str = "qid") -> DataFrame:
-    """k best of the per-unit answers (each at most k long) of every query."""
-    best = F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k)
-    return found.groupBy(key).agg(best.alias("patch"))
+    """k best of the per-unit answers of every query.
+
+    A query may ask many blocks of a crowded unit; the rank limit trims their
+    answers to k per task before the shuffle, so no list grows with the data.
+    """
+    best = Window.partitionBy(key).orderBy("e.d2", "e.id")
+    top = found.select(key, F.explode("found").alias("e")).withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
+    return top.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("patch"))
 
 
 # --- adaptive leaves ---------------------------------------------------------
 
 
+KNOTS = 256  # per axis
+
+
 class _Box:
-    """Integer grid over the bounding box; codes interleave axis bits, first axis highest."""
+    """Integer grid over the data, equi-depth per axis; codes interleave axis bits, first axis highest.
 
-    def __init__(self, low: Sequence[float], high: Sequence[float]):
-        self.dims = len(low)
+    Each axis is mapped through a piecewise-linear sketch of its own
+    distribution, so a small dense core spreads over many cells however far the
+    outliers reach.  The map is monotone, which is all the search relies on.
+    """
+
+    def __init__(self, knots: Sequence[Sequence[float]]):
+        self.dims = len(knots)
         self.bits = CODE_BITS // self.dims
-        self.low = [float(v) for v in low]
-        self.scale = [(2 ** self.bits) / (h - l) if h > l else 0.0 for l, h in zip(low, high)]
+        self.knots = [np.unique(np.asarray(k, dtype=float)) for k in knots]
+        self.knots = [k if len(k) > 1 else np.array([k[0], k[0] + 1.0]) for k in self.knots]
+        self.levels = [np.linspace(0.0, 2.0 ** self.bits, len(k)) for k in self.knots]
+        self.margin = [1e-9 * (k[-1] - k[0]) for k in self.knots]
+
+    @classmethod
+    def of(cls, df: DataFrame, dims: Sequence[str]) -> "_Box":
+        probes = [i / (KNOTS - 1) for i in range(KNOTS)]
+        ends = df.agg(*[f(d) for d in dims for f in (F.min, F.max)]).first()
+        inner = df.stat.approxQuantile(list(dims), probes, 0.25 / KNOTS)
+        return cls([[ends[2 * i], *inner[i], ends[2 * i + 1]] for i in range(len(dims))])
 
     @property
     def depth(self) -> int:
         return self.bits * self.dims
 
-    def axis_column(self, i: int, value: Column) -> Column:
-        raw = F.floor((value - F.lit(self.low[i])) * F.lit(self.scale[i])).cast("bigint")
-        return F.greatest(F.least(raw, F.lit(2 ** self.bits - 1)), F.lit(0)).cast("bigint")
-
-    def code_column(self, names: Sequence[str], depth: int) -> Column:
-        """The first ``depth`` bits of the interleaved code."""
-        out = F.lit(0).cast("bigint")
-        for level in range(depth):
-            axis = level % self.dims
-            bit = F.shiftright(F.col(names[axis]), self.bits - 1 - level // self.dims).bitwiseAND(F.lit(1).cast("bigint"))
-            out = out.bitwiseOR(F.shiftleft(bit, depth - 1 - level))
-        return out
-
     def axis_codes(self, values: np.ndarray) -> np.ndarray:
-        raw = np.floor((values - np.array(self.low)) * np.array(self.scale))
-        return np.clip(raw, 0, 2 ** self.bits - 1).astype(np.int64)
+        out = np.empty(values.shape, dtype=np.int64)
+        for axis, (x, u) in enumerate(zip(self.knots, self.levels)):
+            v = np.clip(values[:, axis], x[0], x[-1])
+            i = np.clip(np.searchsorted(x, v, side="right") - 1, 0, len(x) - 2)
+            place = u[i] + (v - x[i]) * ((u[i + 1] - u[i]) / (x[i + 1] - x[i]))
+            out[:, axis] = np.minimum(np.minimum(place, u[i + 1]), 2 ** self.bits - 1)
+        return out
 
     def prefix(self, codes: np.ndarray, depth: int) -> np.ndarray:
+        """The first ``depth`` bits of the interleaved code."""
         out = np.zeros(len(codes), dtype=np.int64)
         for level in range(depth):
             out = (out << 1) | ((codes[:, level % self.dims] >> (self.bits - 1 - level // self.dims)) & 1)
         return out
 
     def farthest(self, values: np.ndarray, codes: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        """Squared distance to the farthest corner of each row's cell at ``depth``."""
+        """Upper bound of the squared distance to anything in each row's cell at ``depth``."""
         total = np.zeros(len(values))
-        for axis in range(self.dims):
+        for axis, (x, u) in enumerate(zip(self.knots, self.levels)):
             used = np.maximum((depth - axis + self.dims - 1) // self.dims, 0)
             drop = self.bits - used
             start = (codes[:, axis] >> drop) << drop
-            width = np.left_shift(np.int64(1), drop)
-            scale = self.scale[axis]
-            lo = self.low[axis] + (start / scale if scale else 0.0)
-            hi = self.low[axis] + ((start + width) / scale if scale else 0.0)
+            lo = np.interp(start, u, x) - self.margin[axis]
+            hi = np.interp(start + np.left_shift(np.int64(1), drop), u, x) + self.margin[axis]
             total += np.maximum(np.abs(values[:, axis] - lo), np.abs(values[:, axis] - hi)) ** 2
         return total * (1.0 + 1e-6) + 1e-12
 
+    def tag(self, dims: Sequence[str], depth: int):
+        """Arrow batches with the cell prefix of every row."""
+
+        def add(batches):
+            for batch in batches:
+                codes = self.axis_codes(np.column_stack([batch.column(d).to_numpy() for d in dims]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(self.prefix(codes, depth))], names=[*batch.schema.names, "fine"])
+
+        return add
+
 
 def _leaf_search(k: int, dims: Sequence[str], payload: Sequence[str], carry: Sequence[str], by: Sequence[str], box: _Box, fine: int):
     """Grouped function of round one: answer within the own unit, and where else to look.
@@ -267,8 +290,7 @@ def _leaves(rows: DataFrame, by: Sequence[str], dims: Sequence[str], total: int,
     """
     by = list(by)
     fine = min(box.depth, max(box.dims, ceil(log2(max(total / leaf_rows, 1))) + 2 * box.dims))
-    axes = {f"_a{i}": box.axis_column(i, F.col(d)) for i, d in enumerate(dims)}
-    coded = rows.withColumns(axes).withColumn("fine", box.code_column(list(axes), fine)).drop(*axes)
+    coded = cut_lineage(rows.mapInArrow(box.tag(dims, fine), ", ".join([*_types(rows, rows.columns), "fine bigint"])))
     hist = coded.groupBy(*by, "fine").agg(F.count(F.lit(1)).alias("n"))
     levels = hist.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(fine)))).withColumn(
         "prefix", F.expr(f"shiftright(fine, {fine} - depth)"))
@@ -311,11 +333,10 @@ def knn_patches(points: DataFrame, k: int, dims: Sequence[str], id_col: str = "p
     else:
         rows = base.withColumn("is_query", F.lit(True))
     carry_all = list(dict.fromkeys([*payload, *carry]))
-    bounds = base.agg(F.count(F.lit(1)), *[F.min(d) for d in dims], *[F.max(d) for d in dims]).first()
-    total = bounds[0]
+    total = base.count()
     if total == 0:
         raise ValueError("no rows to search")
-    box = _Box(bounds[1:1 + len(dims)], bounds[1 + len(dims):])
+    box = _Box([[0.0, 1.0]] * len(dims)) if total <= leaf_rows else _Box.of(base, dims)
     schema = ", ".join([*_types(base, by), "pid bigint", "unit string", *_types(base, carry_all), f"found {_patch_type(payload)}",
                         "bound double", "cells array<struct<level:int,prefix:bigint>>"])
     if total <= leaf_rows:
@@ -337,7 +358,7 @@ def knn_patches(points: DataFrame, k: int, dims: Sequence[str], id_col: str = "p
 
 def _search_leaves(rows, by, dims, payload, carry, want, total, box, leaf_rows, schema) -> DataFrame:
     coded, leafmap, fine = _leaves(rows, by, dims, total, box, want, leaf_rows)
-    placed = cut_lineage(coded.join(small_side(leafmap), [*by, "fine"]).withColumn("unit", _unit()))
+    placed = coded.join(small_side(leafmap), [*by, "fine"]).withColumn("unit", _unit())
     own = cut_lineage(placed.groupBy(*by, "unit").applyInArrow(
         _leaf_search(want, dims, payload, carry, by, box, fine), schema))
 
