@@ -344,9 +344,11 @@ def knn_patches(points: DataFrame, k: int, dims: Sequence[str], id_col: str = "p
                                 "safe_depth": F.lit(-1).cast("bigint"), "n_blocks": F.lit(1).cast("bigint")}).withColumn("unit", _unit())
         local = one.groupBy(*by, "unit").applyInArrow(_leaf_search(want, dims, payload, carry_all, by, box, 0), schema)
         answered = local.select(*by, "pid", *carry_all, F.col("found").alias("patch"))
+        folded = collapse_duplicates
     else:
-        answered = _search_leaves(rows, by, dims, payload, carry_all, want, total, box, leaf_rows, schema)
-    if collapse_duplicates:
+        answered, places = _search_leaves(rows, by, dims, payload, carry_all, want, total, box, leaf_rows, schema)
+        folded = places < total
+    if folded:
         found = answered.select(*by, *dims, "patch")
         answered = base.join(found, [*by, *dims])
     if include_self:
@@ -356,7 +358,8 @@ def knn_patches(points: DataFrame, k: int, dims: Sequence[str], id_col: str = "p
     return answered.select(*by, F.col("pid").alias(id_col), *carry_all, patch.alias("patch"))
 
 
-def _search_leaves(rows, by, dims, payload, carry, want, total, box, leaf_rows, schema) -> DataFrame:
+def _search_leaves(rows, by, dims, payload, carry, want, total, box, leaf_rows, schema) -> tuple[DataFrame, int]:
+    """One answer per distinct place, and the number of places."""
     coded, leafmap, fine = _leaves(rows, by, dims, total, box, want, leaf_rows)
     placed = coded.join(small_side(leafmap), [*by, "fine"]).withColumn("unit", _unit())
     own = cut_lineage(placed.groupBy(*by, "unit").applyInArrow(
@@ -385,7 +388,8 @@ def _search_leaves(rows, by, dims, payload, carry, want, total, box, leaf_rows,
     found = search_units(pairs, placed.select(*by, "unit", "pid", *dict.fromkeys([*dims, *payload])), [*by, "unit"], want, dims, payload, limit="bound")
     others = found.groupBy("qid").agg(F.flatten(F.collect_list("found")).alias("_more"))
     best = F.slice(F.sort_array(F.concat(F.col("found"), F.coalesce(F.col("_more"), F.expr(f"cast(array() as {_patch_type(payload)})")))), 1, want)
-    return own.join(others, own["pid"] == others["qid"], "left").select(*by, "pid", *carry, best.alias("patch"))
+    answers = own.join(others, own["pid"] == others["qid"], "left").select(*by, "pid", *carry, best.alias("patch"))
+    return answers, coded.where("is_query").count()
 
 
 def search_units(queries: DataFrame, points: DataFrame, keys: Sequence[str], k: int, dims: Sequence[str], payload: Sequence[str],
@@ -396,7 +400,8 @@ def search_units(queries: DataFrame, points: DataFrame, keys: Sequence[str], k:
     queries, so neither side of a task grows with the data.
     """
     keys = list(keys)
-    load = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_parts"))
+    # One row per asked unit, written once because both sides need it.
+    load = small_side(cut_lineage(queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_parts"))))
     sent = queries.join(load, keys).withColumn("_part", F.pmod(F.xxhash64("qid"), F.col("_parts")).cast("int")).drop("_parts")
     held = points.join(load, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     fn = _unit_search(k, dims, payload, limit, boxed)
