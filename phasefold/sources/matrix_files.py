@@ -13,6 +13,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,14 @@ class Written(WriterCommitMessage):
     files: list
 
 
+def mounted(path: str) -> str:
+    """Plain path of a ``file:`` URI or path; object stores must be mounted to be memory-mapped."""
+    parts = urlparse(path)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"matrix files need a mounted path, got {path}")
+    return parts.path
+
+
 def _files(path: str) -> list[str]:
     if os.path.isdir(path):
         path = os.path.join(path, "*.npy")
@@ -45,7 +54,7 @@ def _files(path: str) -> list[str]:
 
 class MatrixReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path = mounted(options["path"])
         self.split_rows = int(options.get("split_rows", 1_000_000))
 
     def partitions(self) -> list[RowRange]:
@@ -75,7 +84,7 @@ class MatrixReader(DataSourceReader):
 
 class MatrixWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, columns: list[str], overwrite: bool):
-        self.path = options["path"]
+        self.path = mounted(options["path"])
         self.columns = columns
         self.file_rows = int(options.get("file_rows", 1_000_000))
         os.makedirs(self.path, exist_ok=True)
