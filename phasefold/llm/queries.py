@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phasefold.llm import chat, exact_dedup, quality
+from phasefold.llm import chat, exact_dedup, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,35 @@ def op5_quality_rules(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     measured, names, verdict = quality.judge(docs, labels)
     return measured.select("doc_id", *[F.col(names[m]).alias(m) for m in quality.MEASURES], F.col(names["base_failed"]).alias("base_failed"), F.col(verdict).alias("kept"))
+
+
+@query("op4_mix_sources", r"""
+WITH rows AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS size FROM documents),
+per AS (
+  SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM rows GROUP BY source),
+weighed AS (
+  SELECT *, CAST([5, 2, 1][no % 3 + 1] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS top FROM per),
+levels AS (
+  SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(top) OVER (ORDER BY top / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(weight) OVER (ORDER BY top / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+places AS (SELECT *, row_number() OVER (ORDER BY top / weight, no) AS place FROM levels),
+firsts AS (SELECT *, min(CASE WHEN top > level * weight THEN place END) OVER () AS first_ FROM places),
+rates AS (SELECT *, max(CASE WHEN place = first_ THEN level END) OVER () AS rate FROM firsts),
+targets AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size, CASE WHEN rate IS NULL THEN top ELSE least(top, rate * weight) END AS target FROM rates),
+plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
+blocks AS (
+  SELECT doc_id, source, size, whole, CAST(round(target - whole * source_size) AS BIGINT) AS rest, unnest(range((size + 255) // 256)) AS block
+  FROM rows JOIN plan USING (source) WHERE size > 0),
+ordered AS (
+  SELECT *, least(256, size - block * 256) AS words, md5(doc_id || ':' || block || ':' || whole) AS h FROM blocks),
+starts AS (
+  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words AS start FROM ordered),
+taken AS (
+  SELECT doc_id, CAST(sum(whole * words + greatest(0, least(words, rest - start))) AS BIGINT) AS taken FROM starts GROUP BY doc_id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, coalesce(taken, 0) AS taken
+FROM rows JOIN targets USING (source) LEFT JOIN taken USING (doc_id)""")
+def op4_mix_sources(spark, sf_dir):
+    return mixing.taken_words(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
