@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phasefold.llm import chat, exact_dedup, mixing, near_dedup, quality
+from phasefold.llm import chat, exact_dedup, mixing, near_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,16 @@ FROM sizes JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY d
 def op3_minhash_near_dedup(spark, sf_dir):
     groups = near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
     return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_pack_sequences")
+def op1_pack_sequences(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
