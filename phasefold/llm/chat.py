@@ -67,16 +67,14 @@ def root_paths(messages: DataFrame) -> DataFrame:
         F.col("conv_id").alias("c"), F.col("msg_id").alias("leaf"))
     state = materialize(state, "threads")
     total = state.count()
-    reach = 1
-    while reach <= total and not state.filter(F.col("up").isNotNull()).isEmpty():
-        far = state.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), F.col("up").alias("next"), F.col("path").alias("before"), F.col("score").alias("more"))
-        joined = state.join(far, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("m")), "left")
+    done, active, reach = state.filter("up IS NULL"), state.filter("up IS NOT NULL"), 1
+    while reach <= total and not active.isEmpty():
+        far = done.unionByName(active).select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), F.col("up").alias("next"), F.col("path").alias("before"), F.col("score").alias("more"))
+        joined = active.join(far, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("m")))
         state = materialize(joined.select(
-            "conv_id", "msg_id", F.col("next").alias("up"),
-            F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"),
-            (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")), "threads")
+            "conv_id", "msg_id", F.col("next").alias("up"), F.concat("before", "path").alias("path"), (F.col("score") + F.col("more")).alias("score")), "threads")
+        done, active = done.unionByName(state.filter("up IS NULL")), state.filter("up IS NOT NULL")
         reach *= 2
-    done = state.filter(F.col("up").isNull())
     return done.join(leaves, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg_id") == F.col("leaf")), "left_semi").select(
         "conv_id", F.col("msg_id").alias("leaf_id"), F.element_at("path", 1).alias("root_id"), "path", "score")
 
