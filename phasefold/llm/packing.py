@@ -166,7 +166,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int | None, by_word: bo
     return materialize(ids.select(F.shiftright("row", 33).alias("part"), "row", "doc_id", "n_tokens", "ids"), "tokens")
 
 
-def assign_pieces(lengths: DataFrame, capacity: int = 2048, class_tokens: int = 8, max_waste: float = 0.01) -> DataFrame:
+def assign_pieces(lengths: DataFrame, capacity: int = 2048, class_tokens: int = 16, max_waste: float = 0.01) -> DataFrame:
     """``lengths``: part, row, n_tokens.  Pieces: row, start, length, sequence_id, offset."""
     spark = lengths.sparkSession
     lengths = lengths.filter("n_tokens > 0").select(
@@ -236,7 +236,7 @@ def assign_pieces(lengths: DataFrame, capacity: int = 2048, class_tokens: int =
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, by_word: bool = True, id_col: str = "doc_id", text_col: str = "text",
-         capacity: int = 2048, class_tokens: int = 8, max_waste: float = 0.01) -> DataFrame:
+         capacity: int = 2048, class_tokens: int = 16, max_waste: float = 0.01) -> DataFrame:
     """Pieces with their ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
     tokens = token_table(docs, tokenizer, end_id, by_word, id_col, text_col)
     pieces = assign_pieces(tokens.select("part", "row", "n_tokens"), capacity, class_tokens, max_waste)
