@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phasefold.llm import chat, exact_dedup, mixing, near_dedup, packing, quality
+from phasefold.llm import chat, exact_dedup, lm_scoring, mixing, near_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,8 @@ def vocabulary(name: str) -> str:
 def op1_pack_sequences(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op7_lm_scores")
+def op7_lm_scores(spark, sf_dir):
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
