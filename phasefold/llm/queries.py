@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phasefold.llm import chat, exact_dedup, lm_scoring, mixing, near_dedup, packing, quality
+from phasefold.llm import chat, exact_dedup, lm_scoring, mixing, near_dedup, packing, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,9 @@ def op1_pack_sequences(spark, sf_dir):
 @query("op7_lm_scores")
 def op7_lm_scores(spark, sf_dir):
     return lm_scoring.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark, sf_dir):
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
