@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasefold.llm import exact_dedup, quality
+from phasefold.llm import exact_dedup, mixing, near_dedup, packing, quality
 from phasefold.llm.common import materialize
 
 
@@ -20,9 +20,29 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share 80% of their five-word shingles, directly or in chains, keep the one with the smallest id."""
+    return near_dedup.drop_near_copies(docs, k=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw sources to their target weights; a document drawn twice is two rows, one drawn in part is cut."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their ids, sequence and offset."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
 ]
 
 #: The sequences depend on a tokenizer and a linear program, which SQL can't express.

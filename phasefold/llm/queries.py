@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phasefold.llm import chat, exact_dedup, lm_scoring, mixing, near_dedup, packing, quality, suffix_dedup
+from phasefold.llm import chat, exact_dedup, lm_scoring, merkle, mixing, near_dedup, packing, quality, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +144,31 @@ def op7_lm_scores(spark, sf_dir):
 def op9_suffix_dedup(spark, sf_dir):
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark, sf_dir):
+    return token_counts.section_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.tiktoken"), rule="longest")
+
+
+@query("op8_warc_fixity", r"""
+WITH parts AS (
+  SELECT page_id, coalesce(regexp_extract(url, '^[a-z]+://([^/]+)', 1), '') AS file,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: '
+         || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+         || chr(13) || chr(10) || chr(13) AS body FROM pages),
+laid AS (
+  SELECT page_id, file, row_number() OVER w - 1 AS ordinal, strlen(body) + 1 AS length,
+         CAST(sum(strlen(body) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - strlen(body) - 1 AS BIGINT) AS "offset",
+         sha256(body || chr(10)) AS digest, sha256(body || '!') AS other_digest
+  FROM parts WINDOW w AS (PARTITION BY file ORDER BY page_id))
+SELECT file, ordinal, page_id, "offset", length, digest, other_digest FROM laid WHERE page_id % 97 = 13""")
+def op8_warc_fixity(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    host = F.coalesce(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), F.lit(""))
+    records = pages.select(host.alias("file"), F.col("page_id").alias("record_id"), merkle.warc_record(F.col("url"), F.col("html"), F.col("page_id")).alias("data"))
+    # the replica to audit: every 97th record has lost its last byte's value
+    flipped = F.concat(F.expr("substring(data, 1, octet_length(data) - 1)"), F.lit("!").cast("binary"))
+    replica = records.withColumn("data", F.when(F.col("record_id") % 97 == 13, flipped).otherwise(F.col("data")))
+    found = merkle.audit(merkle.lay_out(records), merkle.lay_out(replica))
+    return found.select("file", "ordinal", F.col("record_id").alias("page_id"), "offset", "length", "digest", "other_digest")
