@@ -229,11 +229,13 @@ def build_automaton(symbols: np.ndarray, counts: np.ndarray, ngrams: list[tuple[
         for history, followers in by_history.items():
             whole = history_count[history]
             lower = sum(prob(history[1:], w) for w, _ in followers)
-            kept = 0.0
-            for w, c in followers:
-                new[(*history, w)] = (c - DISCOUNT) / whole
-                kept += (c - DISCOUNT) / whole
-            backoff[history] = max(1e-12, 1.0 - kept) / max(1e-12, 1.0 - lower)
+            # a history that every symbol follows has nobody to give the discounts to
+            full = lower > 1.0 - 1e-9
+            shares = [(c if full else c - DISCOUNT) for _, c in followers]
+            total = sum(shares) if full else whole
+            for (w, _), share in zip(followers, shares):
+                new[(*history, w)] = share / total
+            backoff[history] = 1.0 if full else max(1e-12, 1.0 - sum(shares) / total) / (1.0 - lower)
         probability |= new
         history_count |= dict(zip(grams, seen.tolist()))
     # states: every symbol's history, and every longer history that has arcs
