@@ -344,7 +344,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ngrams, shorter = [], np.zeros(0, np.int64)
     for level in range(2, order + 1):
         shared = sc.broadcast((symbols, shorter))
-        sent = coded.select("vocab", "codes", "words", "held").mapInArrow(send_ngrams(shared, level, key_bits(sums.words or 0, 8 * BUCKET_KEYS, least_parts)), "bucket long, keys binary, counts binary")
+        sent = coded.select("vocab", "codes", "words", "held").mapInArrow(send_ngrams(shared, level, key_bits(sums.words or 0, BUCKET_KEYS, least_parts)), "bucket long, keys binary, counts binary")
         found = sent.groupBy("bucket").applyInArrow(add_ngrams(max(2.0, ngram_share * n)), "keys binary, counts binary").filter("length(keys) > 0").collect()  # at most 1 / ngram_share n-grams
         keys = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in found]) if found else np.zeros(0, np.int64)
         seen = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in found]) if found else np.zeros(0, np.int64)
