@@ -91,14 +91,13 @@ def _patch_type(payload: Sequence[str]) -> str:
     return f"array<struct<{inner}>>"
 
 
-def _unit_search(k: int, dims: Sequence[str], payload: Sequence[str], limit_col: str | None, boxed: bool):
+def _unit_search(k: int, dims: Sequence[str], payload: Sequence[str], limit_col: str | None, boxed: bool, by: Sequence[str] = ()):
     """Cogroup function: the queries sent to a unit against the rows of that unit."""
 
     def search(queries: pa.Table, points: pa.Table) -> pa.Table:
-        schema = pa.schema([("qid", pa.int64())])
         if queries.num_rows == 0 or points.num_rows == 0:
             empty = _patch_array(0, np.array([], int), np.array([], int), np.array([]), points, "pid", payload)
-            return pa.table([pa.array([], pa.int64()), empty], names=["qid", "found"])
+            return pa.table([*[queries.column(c).slice(0, 0).combine_chunks() for c in by], pa.array([], pa.int64()), empty], names=[*by, "qid", "found"])
         points = points.sort_by("pid")
         q, p = _columns(queries, [f"q{d}" for d in dims]), _columns(points, dims)
         limit = queries.column(limit_col).to_numpy() if limit_col else None
@@ -117,20 +116,22 @@ def _unit_search(k: int, dims: Sequence[str], payload: Sequence[str], limit_col:
 
         rows, cols, dist = _best_rows(q, p, k, limit, allowed)
         found = _patch_array(queries.num_rows, rows, cols, dist, points, "pid", payload)
-        return pa.table([queries.column("qid").cast(pa.int64()).combine_chunks(), found], names=["qid", *schema.names[1:], "found"])
+        groups = [queries.column(c).combine_chunks() for c in by]
+        return pa.table([*groups, queries.column("qid").cast(pa.int64()).combine_chunks(), found], names=[*by, "qid", "found"])
 
     return search
 
 
-def _merge(found: DataFrame, k: int, key: str = "qid") -> DataFrame:
+def _merge(found: DataFrame, k: int, keys: Sequence[str] = ("qid",)) -> DataFrame:
     """k best of the per-unit answers of every query.
 
     A query may ask many blocks of a crowded unit; the rank limit trims their
     answers to k per task before the shuffle, so no list grows with the data.
     """
-    best = Window.partitionBy(key).orderBy("e.d2", "e.id")
-    top = found.select(key, F.explode("found").alias("e")).withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
-    return top.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("patch"))
+    keys = list(keys)
+    best = Window.partitionBy(*keys).orderBy("e.d2", "e.id")
+    top = found.select(*keys, F.explode("found").alias("e")).withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
+    return top.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("patch"))
 
 
 # --- adaptive leaves ---------------------------------------------------------
@@ -385,16 +386,20 @@ def _search_leaves(rows, by, dims, payload, carry, want, total, box, leaf_rows,
         .where((F.col("unit") != F.col("own")) & (gap <= F.col("bound") * (1.0 + 1e-9) + 1e-12))
         .select(*by, "qid", "unit", "bound", *[f"q{d}" for d in dims]).dropDuplicates([*by, "qid", "unit"])
     )
-    found = search_units(pairs, placed.select(*by, "unit", "pid", *dict.fromkeys([*dims, *payload])), [*by, "unit"], want, dims, payload, limit="bound")
-    others = found.groupBy("qid").agg(F.flatten(F.collect_list("found")).alias("_more"))
+    found = search_units(pairs, placed.select(*by, "unit", "pid", *dict.fromkeys([*dims, *payload])), [*by, "unit"], want, dims, payload, limit="bound", by=by)
+    # ids may repeat between groups, so the group columns are part of every key
+    others = _merge(found, want, [*by, "qid"]).select(*[F.col(c).alias(f"_{c}") for c in by], "qid", F.col("patch").alias("_more"))
     best = F.slice(F.sort_array(F.concat(F.col("found"), F.coalesce(F.col("_more"), F.expr(f"cast(array() as {_patch_type(payload)})")))), 1, want)
-    answers = own.join(others, own["pid"] == others["qid"], "left").select(*by, "pid", *carry, best.alias("patch"))
+    same = own["pid"] == others["qid"]
+    for c in by:
+        same = same & own[c].eqNullSafe(others[f"_{c}"])
+    answers = own.join(others, same, "left").select(*by, "pid", *carry, best.alias("patch"))
     return answers, coded.where("is_query").count()
 
 
 def search_units(queries: DataFrame, points: DataFrame, keys: Sequence[str], k: int, dims: Sequence[str], payload: Sequence[str],
-                 limit: str | None = None, boxed: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, found) for every (query, unit) pair: the unit's k best rows for the query.
+                 limit: str | None = None, boxed: bool = False, block: int = QUERY_BLOCK, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., qid, found) for every (query, unit) pair: the unit's k best rows for the query.
 
     A unit asked by many queries is answered in blocks of about ``block``
     queries, so neither side of a task grows with the data.
@@ -404,9 +409,9 @@ def search_units(queries: DataFrame, points: DataFrame, keys: Sequence[str], k:
     load = small_side(cut_lineage(queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_parts"))))
     sent = queries.join(load, keys).withColumn("_part", F.pmod(F.xxhash64("qid"), F.col("_parts")).cast("int")).drop("_parts")
     held = points.join(load, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    fn = _unit_search(k, dims, payload, limit, boxed)
+    fn = _unit_search(k, dims, payload, limit, boxed, by)
     return sent.groupBy(*keys, "_part").cogroup(held.groupBy(*keys, "_part")).applyInArrow(
-        fn, f"qid bigint, found {_patch_type(payload)}")
+        fn, ", ".join([*_types(queries, by), "qid bigint", f"found {_patch_type(payload)}"]))
 
 
 def neighbours(patches: DataFrame, id_col: str = "particle_id") -> DataFrame:
@@ -424,23 +429,8 @@ def pad_patch(patches: DataFrame, k: int) -> DataFrame:
 
 # --- inverted lists ----------------------------------------------------------
 
-# When the approximate index takes over, and how it is sized.
-IVF_MIN_ROWS = 200_000
+# Bound on the rows that train the coarse quantiser.
 IVF_TRAIN_CAP = 2_000_000
-IVF_LISTS = (2048, 16384)
-IVF_PROBES = (8, 64)
-
-
-def ivf_policy(n: int, train_cap: int = IVF_TRAIN_CAP) -> dict:
-    """Flat search below the switch-over; otherwise list and probe counts."""
-    if n < IVF_MIN_ROWS:
-        return {"type": "flat", "n": n}
-    n_train = min(n, train_cap)
-    nlist = min(int(min(max(n ** 0.5, IVF_LISTS[0]), IVF_LISTS[1])), n_train)
-    if nlist < 64 or n_train < 2048:
-        return {"type": "flat", "n": n}
-    nprobe = min(int(min(max(nlist // 256, IVF_PROBES[0]), IVF_PROBES[1])), nlist)
-    return {"type": "ivf", "n": n, "n_train": n_train, "nlist": nlist, "nprobe": nprobe}
 
 
 def _nearest_lists(centroids: np.ndarray, dims: Sequence[str], nprobe: int):
@@ -467,8 +457,9 @@ def knn_ivf(points: DataFrame, k: int, dims: Sequence[str], nlist: int, nprobe:
             payload: Sequence[str] = (), train_cap: int = IVF_TRAIN_CAP, seed: int = 42, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Approximate k nearest neighbours (self included) over the ``nprobe`` nearest of ``nlist`` lists.
 
-    The coarse quantiser is trained on a bounded hash sample; its centroids (at
-    most 16384 short vectors) travel with the tasks.  Crowded lists are cut
+    Only for callers who ask for it; every other search here is exact.  The coarse
+    quantiser is trained on a bounded hash sample; its ``nlist`` centroids travel
+    with the tasks.  Crowded lists are cut
     into blocks, each searched by its own task.
     """
     from pyspark.ml.clustering import KMeans
@@ -488,7 +479,7 @@ def knn_ivf(points: DataFrame, k: int, dims: Sequence[str], nlist: int, nprobe:
         _nearest_lists(centroids, dims, nprobe), ", ".join([*_types(base, base.columns), "probes array<int>"])))
     listed = tagged.withColumn("list", F.col("probes")[0])
     sizes = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(leaf_rows)).cast("int").alias("blocks"))
-    held = listed.join(F.broadcast(sizes), "list").select(  # one row per list, at most 16384
+    held = listed.join(F.broadcast(sizes), "list").select(  # one row per list
         "list", F.pmod(F.col("pid"), F.col("blocks")).cast("int").alias("blk"), "pid", *dict.fromkeys([*dims, *payload]))
     asked = (
         tagged.select(F.col("pid").alias("qid"), *[F.col(d).alias(f"q{d}") for d in dims], F.explode("probes").alias("list"))
@@ -498,15 +489,6 @@ def knn_ivf(points: DataFrame, k: int, dims: Sequence[str], nlist: int, nprobe:
     return tagged.join(merged, tagged["pid"] == merged["qid"]).select(F.col("pid").alias(id_col), *carry, "patch")
 
 
-def knn(points: DataFrame, k: int, dims: Sequence[str], **options) -> tuple[DataFrame, dict]:
-    """Exact or inverted-list search by row count; returns the patches and the choice made."""
-    policy = ivf_policy(points.count())
-    if policy["type"] == "flat":
-        return knn_patches(points, k, dims, **options), policy
-    keep = {n: v for n, v in options.items() if n in ("id_col", "payload", "leaf_rows")}
-    return knn_ivf(points, k, dims, policy["nlist"], policy["nprobe"], **keep), policy
-
-
 # --- boxed patches -----------------------------------------------------------
 
 BACKGROUND_SOURCE = -1

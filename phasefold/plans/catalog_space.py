@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from phasefold.functions import phase
 from phasefold.functions.hashing import hash32, hash32_sql
@@ -108,6 +108,21 @@ def knn_per_file(spark, sf_dir):
     return rounded(neighbours.neighbours(found), 6, ["d2"])
 
 
+_LOCAL = "SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY particle_id) - 1 AS particle_id, x, y, z FROM p_vol"
+
+
+@query("knn_restarting_ids", with_views(
+    f"SELECT file_id, query_id, CAST(rn - 1 AS INTEGER) AS rank, neigh_id, {rd_sql('d2')} AS d2 FROM (SELECT q.file_id, q.particle_id AS query_id, n.particle_id AS neigh_id, {DIST3} AS d2, "
+    f"row_number() OVER (PARTITION BY q.file_id, q.particle_id ORDER BY {DIST3}, n.particle_id) AS rn FROM rows_ q JOIN rows_ n ON q.file_id = n.file_id) WHERE rn <= 8", "p_vol", rows_=_LOCAL))
+def knn_restarting_ids(spark, sf_dir):
+    """Each file is its own universe and numbers its rows from 0, so ids repeat between files."""
+    number = F.row_number().over(Window.partitionBy("file_id").orderBy("particle_id")) - 1
+    rows = p_vol(spark, sf_dir).select("file_id", number.cast("bigint").alias("particle_id"), *XYZ)
+    found = neighbours.knn_patches(neighbours.space_columns(rows, "xyz"), 8, ["s0", "s1", "s2"], by=["file_id"])
+    edges = found.select("file_id", F.col("particle_id").alias("query_id"), F.posexplode("patch").alias("rank", "e"))
+    return rounded(edges.select("file_id", "query_id", "rank", F.col("e.id").alias("neigh_id"), F.col("e.d2").alias("d2")), 6, ["d2"])
+
+
 @query("knn_volume")
 def knn_volume(spark, sf_dir):
     rows = neighbours.space_columns(p_vol(spark, sf_dir).select("particle_id", *XYZ), "xyz")
