@@ -23,6 +23,7 @@ ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,13 @@ KEPT_WORDS = 1_000_000
 _STORES: dict[str, dict] = {}
 
 
+#: Byte-level vocabularies write a byte as this character: printable ones as themselves, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
 class _Words(dict):
-    """Word to little-endian unsigned 32-bit ids, encoded on first sight."""
+    """ASCII-lower-case word to little-endian unsigned 32-bit ids, encoded on first sight."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -48,11 +54,29 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # a plain word needs no normalising and is one piece, so the merges alone give its ids; if they do for this file
+        self.merge = self.tokenizer.model.tokenize
+        self.plain = all(self._merged(w.encode()) == self._whole(w) for w in ("the", "thanedble", "straße", "été", "λόγος"))
+
+    def _merged(self, word: bytes) -> list[int]:
+        return [t.id for t in self.merge(word.decode("latin-1").translate(BYTE_CHARS))]
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        ids = np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        if self.plain and text.isalpha() and (text.isascii() or (text == text.lower() and unicodedata.is_normalized("NFC", text))):
+            ids = np.asarray(self._merged(word), "<u4").tobytes()
+        else:
+            # marks after a letter or digit are tokens of their own, so a word is encoded once for all endings
+            core = word.rstrip(b".,!?;:")
+            if core and core != word and core.decode()[-1].isalnum():
+                ids = self[core] + self[word[len(core):]]
+            else:
+                ids = np.asarray(self._whole(text), "<u4").tobytes()
         self[word] = ids
         return ids
 
@@ -60,7 +84,8 @@ class _Words(dict):
 def encoder(path: str, end_id: int | None, by_word: bool):
     """Arrow function: (row, doc_id, text) to (row, doc_id, n_tokens, ids).
 
-    ``by_word``: the tokenizer never joins anything across ASCII white space, so ids of such words can be kept and joined.
+    ``by_word``: the tokenizer ignores case, drops white space and joins nothing across it, nor across the end of a run of
+    letters or digits; so ids of ASCII-lower-cased words can be kept and joined.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +99,7 @@ def encoder(path: str, end_id: int | None, by_word: bool):
                 out = []
                 for text in part.column("text").to_pylist():
                     if by_word:
-                        out.append(b"".join(map(store.__getitem__, (text or "").encode().split())) + end)
+                        out.append(b"".join(map(store.__getitem__, (text or "").encode().lower().split())) + end)
                     else:
                         out.append(np.asarray(store.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes() + end)
                 yield pa.RecordBatch.from_arrays(
