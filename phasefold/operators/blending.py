@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from phasefold.functions.phase import gaussian_sigma
 
-MAX_TILE_COUNT = 65535
-
 
 def gaussian_blend(scored: DataFrame, size: float = 128.0, edge_weight: float = 0.10, sigma: float | None = None,
                    particles: DataFrame | None = None, prob: str = "prob") -> DataFrame:
@@ -30,7 +28,7 @@ def gaussian_blend(scored: DataFrame, size: float = 128.0, edge_weight: float =
     )
     mean = F.col("_wp") / F.col("blend_weight_sum")
     out = sums.select(
-        "particle_id", mean.alias("probability"), F.least(F.col("_seen"), F.lit(MAX_TILE_COUNT)).cast("int").alias("n_tiles_seen"),
+        "particle_id", mean.alias("probability"), F.col("_seen").cast("int").alias("n_tiles_seen"),
         "blend_weight_sum", F.greatest(F.col("_wpp") / F.col("blend_weight_sum") - mean * mean, F.lit(0.0)).alias("probability_variance"))
     if particles is None:
         return out

@@ -148,12 +148,13 @@ def component_mask(df: DataFrame, selected: Column, extent: Extent, projection:
     return pixels.join(F.broadcast(cut)).where(F.col("density") >= F.col("density_cut"))
 
 
-def components(mask: DataFrame, bins: int, max_rounds: int = 64) -> DataFrame:
+def components(mask: DataFrame, bins: int) -> DataFrame:
     """Label 8-connected pixels with the smallest raster index of their component.
 
-    Every round takes the minimum label of the neighbourhood and then jumps to
-    that label's own label, so long components shrink quickly; lineage is cut by
-    a reliable checkpoint each round.
+    Every round hooks whole components: each label takes the smallest label next
+    to any of its pixels and follows the hooks to their end, so at most half of
+    the labels that have neighbours are left, however long components wind.  Rounds go on until
+    no label changes; lineage is cut by a reliable checkpoint each time.
     """
     pixels = cut_lineage(mask.withColumn("pixel", F.col("py").cast("bigint") * bins + F.col("px")))
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
@@ -161,23 +162,25 @@ def components(mask: DataFrame, bins: int, max_rounds: int = 64) -> DataFrame:
         "pixel", (F.col("px") + F.col("_s.dx")).alias("px"), (F.col("py") + F.col("_s.dy")).alias("py"))
     edges = cut_lineage(near.join(pixels.select("px", "py", F.col("pixel").alias("other")), ["px", "py"]).select("pixel", "other"))
     labels = pixels.select("pixel", F.col("pixel").alias("label"))
-    total = None
-    for _ in range(max_rounds):
-        seen = edges.join(labels.withColumnRenamed("pixel", "other"), "other").select("pixel", "label").unionByName(labels)
-        lowest = seen.groupBy("pixel").agg(F.min("label").alias("label"))
-        parents = lowest.select(F.col("pixel").alias("label"), F.col("label").alias("above"))
-        labels = cut_lineage(lowest.join(parents, "label").select("pixel", F.col("above").alias("label")))
-        current = labels.agg(F.sum("label")).first()[0]
-        if current == total:
+    while True:
+        beside = edges.join(labels, "pixel").join(labels.select(F.col("pixel").alias("other"), F.col("label").alias("next")), "other")
+        hooks = beside.groupBy("label").agg(F.least(F.first("label"), F.min("next")).alias("up")).where("up < label")
+        hooks = cut_lineage(hooks)
+        if hooks.limit(1).count() == 0:
             return pixels.join(labels, "pixel").drop("pixel")
-        total = current
-    raise RuntimeError("component labels did not settle")
+        moving = True
+        while moving:  # hooks lead to smaller labels only: pointer doubling ends at the local minima
+            far = hooks.select(F.col("label").alias("up"), F.col("up").alias("above"))
+            hooks = cut_lineage(hooks.join(far, "up", "left").select("label", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")))
+            moving = hooks.where("moved").limit(1).count() > 0
+            hooks = hooks.drop("moved")
+        labels = cut_lineage(labels.join(hooks, "label", "left").select("pixel", F.coalesce("up", "label").alias("label")))
 
 
 def component_catalogue(df: DataFrame, labels: DataFrame, selected: Column, extent: Extent, projection: str, bins: int,
-                        min_pixels: int = 20, min_particles: int = 70, max_components: int = 16,
+                        min_pixels: int = 20, min_particles: int = 70, max_components: int | None = None,
                         prob: str = "prob", variance: str = "variance") -> DataFrame:
-    """Largest components by selected rows, with mean probability, mean sigma, box, centroid and cut."""
+    """Components by selected rows, the largest first, with mean probability, mean sigma, box, centroid and cut."""
     a, b = _axes(projection)
     width, height = extent[1] - extent[0], extent[3] - extent[2]
     side = lambda low, c, span: F.lit(float(low)) + c.cast("double") / F.lit(bins) * F.lit(float(span))
@@ -200,7 +203,8 @@ def component_catalogue(df: DataFrame, labels: DataFrame, selected: Column, exte
     # At most bins**2 / min_pixels components reach this window.
     ranked = stats.join(areas, "label").withColumn(
         "instance_id", F.row_number().over(Window.orderBy(F.col("particle_count").desc(), "label")))
-    return ranked.where(F.col("instance_id") <= max_components).drop("label")
+    kept = ranked if max_components is None else ranked.where(F.col("instance_id") <= max_components)
+    return kept.drop("label")
 
 
 def crop_extent(catalogue: DataFrame, extent: Extent, pad_fraction: float = 0.32, min_half_width: float = 18.0, max_half_width: float = 170.0) -> DataFrame:

@@ -80,10 +80,16 @@ def swept_long(wide: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def best_swept(long: DataFrame, ids: list[str], split: str, metric: str) -> DataFrame:
-    """Best value of a swept metric and its threshold; the first threshold wins ties, NaN never does."""
-    usable = long.where((F.col("split") == split) & (F.col("metric") == metric) & ~F.isnan("value") & F.col("value").isNotNull())
-    return usable.groupBy(*ids).agg(
-        F.max("value").alias("best_value"), F.max_by("threshold", F.struct("value", -F.col("pos"))).alias("best_threshold"))
+    """Best value of a swept metric and its threshold; the first threshold wins ties, NaN never does.
+
+    A row whose values are all missing keeps NaN in both columns.
+    """
+    nan = F.lit(float("nan"))
+    asked = (F.col("split") == split) & (F.col("metric") == metric)
+    usable = asked & ~F.isnan("value") & F.col("value").isNotNull()
+    return long.where(asked).groupBy(*ids).agg(
+        F.coalesce(F.max(F.when(usable, F.col("value"))), nan).alias("best_value"),
+        F.coalesce(F.max_by(F.when(usable, F.col("threshold")), F.when(usable, F.struct("value", -F.col("pos")))), nan).alias("best_threshold"))
 
 
 def best_epoch(rows: DataFrame, metric: str, maximize: bool = True) -> DataFrame:

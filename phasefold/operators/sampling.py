@@ -146,7 +146,9 @@ def geometry_gate(df: DataFrame, stream_min: float = 1.15, background_max: float
 
 
 def chunk_quota(n_stream: Column, n_background: Column, max_raw: int, mode: str = "balanced", target: float = 0.10) -> tuple[Column, Column]:
-    """Rows of each class a capped chunk keeps; spare capacity passes to the other class."""
+    """Rows of each class a capped chunk keeps; spare capacity passes to the other class.  Without a positive cap all stay."""
+    if max_raw <= 0:
+        return n_stream.cast("bigint"), n_background.cast("bigint")
     total = n_stream + n_background
     cap = F.lit(int(max_raw))
     if mode == "balanced":

@@ -74,8 +74,10 @@ def brick_occupancy(centres: DataFrame, points: DataFrame, size: float = 128.0,
     return counts.where(F.col("n_stream") + F.col("n_background") >= min_particles)
 
 
-def candidate_centres(points: DataFrame, cap: int = 300_000, seed: int = 1) -> DataFrame:
-    """Centre candidates from both classes, at most ``cap`` in the ratio 1:9."""
+def candidate_centres(points: DataFrame, cap: int | None = None, seed: int = 1) -> DataFrame:
+    """Every row as a centre candidate; ``cap`` bounds them for training, with classes in the ratio 1:9."""
+    if cap is None:
+        return points.select(F.col("particle_id").alias("centre_id"), *[F.col(p).alias(c) for p, c in zip(POS, CENTRE)])
     stream = points.where("is_stream = 1")
     background = points.where("is_stream <> 1")
     n_stream = min(stream.count(), max(1, cap // 10))
@@ -97,11 +99,12 @@ def touched_population(centres: DataFrame, points: DataFrame, size: float, cell:
     return spread.join(counts, ["is_stream", *CELLS]).groupBy("centre_id", *CENTRE).agg(F.sum("n").alias("touched"))
 
 
-def valid_centres(points: DataFrame, size: float = 128.0, min_particles: int = 1024, target: int = 5000,
-                  cap: int = 300_000, cell: float | None = None, seed: int = 1) -> DataFrame:
-    """First ``target`` candidates, in hash order, whose touched cells hold enough rows."""
+def valid_centres(points: DataFrame, size: float = 128.0, min_particles: int = 1024, target: int | None = None,
+                  cap: int | None = None, cell: float | None = None, seed: int = 1) -> DataFrame:
+    """Candidates whose touched cells hold enough rows: all of them, or the first ``target`` in hash order."""
     populated = touched_population(candidate_centres(points, cap, seed), points, size, size if cell is None else cell)
-    return hash_take(populated.where(F.col("touched") >= min_particles), target, key="centre_id", seed=seed)
+    valid = populated.where(F.col("touched") >= min_particles)
+    return valid if target is None else hash_take(valid, target, key="centre_id", seed=seed)
 
 
 def _holds(pos: Column, half: Column, centre: Column) -> Column:

@@ -129,7 +129,7 @@ CATALOGUE_VIEWS = {
              + f", max(density_cut) AS density_cut FROM mask JOIN labelled USING (px, py) GROUP BY label HAVING count(*) >= {MIN_PIXELS}",
     "hits": f"SELECT label, count(*) AS particle_count, avg(prob) AS mean_probability, avg(sqrt(greatest(variance, 0))) AS mean_probability_sigma, avg(x) AS centroid_x, avg(y) AS centroid_y FROM "
             f"(SELECT *, {pixel_sql(closed=False)} FROM p_pred WHERE {SELECTED} AND x BETWEEN -200 AND 200 AND y BETWEEN -200 AND 200) JOIN labelled USING (px, py) GROUP BY label HAVING count(*) >= {MIN_ROWS}",
-    "found": "SELECT *, row_number() OVER (ORDER BY particle_count DESC, label) AS instance_id FROM hits JOIN areas USING (label) QUALIFY instance_id <= 16",
+    "found": "SELECT *, row_number() OVER (ORDER BY particle_count DESC, label) AS instance_id FROM hits JOIN areas USING (label)",
 }
 CATALOGUE = ("mean_probability", "mean_probability_sigma", "bbox_x_min", "bbox_x_max", "bbox_y_min", "bbox_y_max", "centroid_x", "centroid_y", "density_cut")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from phasefold.functions import phase
 from phasefold.functions.hashing import MODULUS, hash32_sql
 from phasefold.operators import augment, metrics, sampling
-from phasefold.plans.fixtures import centres, p_patch, p_pred, p_vol, phase_sql, query, rd, rd_sql, rounded, with_views
+from phasefold.plans.fixtures import centres, p_patch, p_pred, p_vol, phase_sql, query, rd, rd_sql, read, rounded, with_views
 from phasefold.plans.pipelines import phase_scales
 from phasefold.operators.blending import threshold_masks
 from phasefold.session import ensure_checkpoint_dir
@@ -100,7 +100,7 @@ def threshold_mask_columns(spark, sf_dir):
 def prediction_sink(spark, sf_dir):
     path = _folder(spark, "predictions")
     rows = p_pred(spark, sf_dir).select("particle_id", F.col("prob").alias("probability"))
-    sinks.write_predictions(rows, path, "tiled_blend", expected_rows=rows.count())
+    sinks.write_predictions(rows, path, "tiled_blend", expected_rows=read(spark, sf_dir, "lineitem").count())
     stored = sinks.read_predictions(spark, path)
     return stored.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count_if("thr_0p7").alias("n_0p7"))
 

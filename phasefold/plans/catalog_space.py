@@ -52,22 +52,20 @@ def brick_occupancy(spark, sf_dir):
     return spatial.brick_occupancy(centres(spark, sf_dir), p_vol(spark, sf_dir))
 
 
-_VALID_MIN, _VALID_TARGET, _VALID_CAP = 9000, 500, 6000
+_VALID_MIN = 9000
 
 
 @query("valid_centres", with_views(
-    f"SELECT centre_id, cx, cy, cz, touched FROM populated WHERE touched >= {_VALID_MIN} QUALIFY row_number() OVER (ORDER BY {_h('centre_id', 1)}, centre_id) <= {_VALID_TARGET}",
+    f"SELECT centre_id, cx, cy, cz, touched FROM populated WHERE touched >= {_VALID_MIN}",
     "p_vol",
-    ns=f"SELECT least(count(*), greatest(1, {_VALID_CAP} // 10)) AS n FROM p_vol WHERE is_stream = 1",
-    candidates=f"SELECT particle_id AS centre_id, x AS cx, y AS cy, z AS cz FROM (SELECT *, row_number() OVER (PARTITION BY is_stream ORDER BY {_h('particle_id', 1)}, particle_id) AS rn FROM p_vol), ns "
-               f"WHERE rn <= CASE WHEN is_stream = 1 THEN n ELSE greatest(1, {_VALID_CAP} - n) END",
+    candidates="SELECT particle_id AS centre_id, x AS cx, y AS cy, z AS cz FROM p_vol",
     corner=_corner("p_vol", "is_stream"),
     pops="SELECT is_stream, " + ", ".join(f"CAST(floor(({p} - m{p}) / CAST(128 AS DOUBLE)) AS INTEGER) AS i{p}" for p in XYZ)
          + ", count(*) AS n FROM p_vol JOIN corner USING (is_stream) GROUP BY ALL",
     populated="SELECT centre_id, cx, cy, cz, CAST(sum(p.n) AS BIGINT) AS touched FROM candidates c, corner k, pops p WHERE p.is_stream = k.is_stream AND "
               + " AND ".join(f"p.i{p} BETWEEN floor((c.c{p} - 64 - k.m{p}) / 128) AND floor((c.c{p} + 64 - k.m{p}) / 128)" for p in XYZ) + " GROUP BY ALL"))
 def valid_centres(spark, sf_dir):
-    return spatial.valid_centres(p_vol(spark, sf_dir), 128.0, _VALID_MIN, _VALID_TARGET, _VALID_CAP)
+    return spatial.valid_centres(p_vol(spark, sf_dir), 128.0, _VALID_MIN)
 
 
 # --- neighbours --------------------------------------------------------------
@@ -579,7 +577,7 @@ _WEIGHT = "exp(-0.5 * (" + " + ".join(f"(({p} - c{p}) / 64) * (({p} - c{p}) / 64
 
 
 def blend_sql(pairs: str) -> str:
-    return (f"SELECT p.particle_id, {rd_sql('coalesce(swp / sw, 0)')} AS probability, CAST(coalesce(least(seen, 65535), 0) AS INTEGER) AS n_tiles_seen, {rd_sql('coalesce(sw, 0)')} AS blend_weight_sum, "
+    return (f"SELECT p.particle_id, {rd_sql('coalesce(swp / sw, 0)')} AS probability, CAST(coalesce(seen, 0) AS INTEGER) AS n_tiles_seen, {rd_sql('coalesce(sw, 0)')} AS blend_weight_sum, "
             f"{rd_sql('coalesce(greatest(swpp / sw - (swp / sw) * (swp / sw), 0), 0)')} AS probability_variance FROM p_vol p LEFT JOIN (SELECT particle_id, sum(w) AS sw, sum(w * prob) AS swp, "
             f"sum(w * prob * prob) AS swpp, count(*) AS seen FROM (SELECT particle_id, prob, {_WEIGHT} AS w FROM {pairs}) GROUP BY particle_id) USING (particle_id)")
 

@@ -32,7 +32,12 @@ def phase_scales(df: DataFrame, chunk: Sequence[str], quantile: float = SCALE_QU
     long = sized.select(*chunk, F.inline(both)).where(F.abs(F.col("_len")) < F.lit(float("inf")))
     found = exact_quantiles(long, "_len", [quantile], [*chunk, "_kind"], held_rows=0)
     pick = lambda k: floored(F.max(F.when(F.col("_kind") == k, F.col("q0"))))
-    return found.groupBy(*chunk).agg(pick("p").alias("pos_scale"), pick("v").alias("vel_scale"))
+    scales = found.groupBy(*chunk).agg(pick("p").alias("pos_scale"), pick("v").alias("vel_scale"))
+    if not chunk:
+        return scales
+    # a chunk without any finite norm keeps its rows: its scales are the floor
+    missing = df.select(*chunk).distinct().join(scales, chunk, "left_anti").select(*chunk, F.lit(MIN_SCALE).alias("pos_scale"), F.lit(MIN_SCALE).alias("vel_scale"))
+    return scales.unionByName(missing)
 
 
 def sparse_inputs(members: DataFrame, chunk: Sequence[str], centre: Sequence[Column], features: Sequence[str], grid_size: float = 4.0,

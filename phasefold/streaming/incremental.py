@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from phasefold.operators.metrics import SWEEP_THRESHOLDS, with_metrics
@@ -53,17 +54,26 @@ def stream_metrics(stream: DataFrame, thresholds: Sequence[float] = SWEEP_THRESH
     return sweep_from_bands(stream.sparkSession.table(name), thresholds)
 
 
-def stream_logs(spark, path: str, out: str | None = None) -> DataFrame:
-    """Pick up new or grown log files under ``path`` and append their parsed cells to a table.
+def stream_logs(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
+    """Bring the table ``out`` up to date with the log files under ``path`` and return its newest state.
 
-    Each trigger writes (log_file, mtime, line, key, value, text); the merge
-    operators turn the accumulated table into one row per epoch.
+    The file stream source never opens a path again, but running logs grow in
+    place.  So a refresh lists the files, takes those whose (path, modification
+    time, size) the table does not hold, parses only them and appends their cells
+    as new versions; reads see the newest version of each file.  Without ``out``
+    the table is a new one in the checkpoint folder.
     """
-    raw = spark.readStream.text(path, wholetext=True)
-    files = raw.select(F.col("_metadata.file_path").alias("log_file"),
-                       F.unix_micros(F.col("_metadata.file_modification_time")).alias("mtime"), "value")
-    out = out or state_folder(raw)
-    query = (parse_logs(files).writeStream.format("parquet").option("path", out).option("checkpointLocation", state_folder(raw))
-             .outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.parquet(out)
+    out = out or state_folder(spark.range(0))
+    version = ["log_file", "mtime", "size"]
+    meta = [F.col("_metadata.file_path").alias("log_file"), F.unix_micros(F.col("_metadata.file_modification_time")).alias("mtime"), F.col("_metadata.file_size").alias("size")]
+    files = spark.read.text(path, wholetext=True).select(*meta, "value")
+    try:
+        held = spark.read.parquet(out).select(*version).distinct()
+    except AnalysisException:  # the first refresh
+        held = None
+    fresh = files if held is None else files.join(held, version, "left_anti")
+    cells = parse_logs(fresh).join(fresh.select(*version), ["log_file", "mtime"])
+    cells.write.mode("append").parquet(out)
+    stored = spark.read.parquet(out)
+    newest = stored.groupBy("log_file").agg(F.max(F.struct("mtime", "size")).alias("_v"))
+    return stored.join(newest, "log_file").where(F.struct("mtime", "size") == F.col("_v")).drop("_v", "size")

@@ -113,6 +113,26 @@ def test_log_stream_equals_batch(spark, logs):
     assert batch == stream
 
 
+def test_log_refresh_sees_grown_and_new_logs(spark, tmp_path):
+    logs, out = tmp_path / "logs", str(tmp_path / "table")
+    logs.mkdir()
+    (logs / "a.log").write_text("epoch|loss\n1|0.5\n")
+    assert incremental.stream_logs(spark, str(logs), out).count() == 2
+    assert incremental.stream_logs(spark, str(logs), out).count() == 2
+    (logs / "a.log").write_text("epoch|loss\n1|0.5\n2|0.4\n")
+    (logs / "b.log").write_text("epoch|loss\n1|0.7\n")
+    cols = ["line", "key", "value"]
+    got = incremental.stream_logs(spark, str(logs), out).select(*cols).collect()
+    assert sorted(got) == sorted(runlogs.read_logs(spark, str(logs)).select(*cols).collect()) and len(got) == 6
+
+
+def test_swept_epochs_without_values_stay(spark):
+    nan = float("nan")
+    wide = spark.createDataFrame([(1, 0.2, nan), (2, nan, nan)], "epoch int, val_thr0p5_iou double, val_thr0p7_iou double")
+    best = {r.epoch: (r.best_value, r.best_threshold) for r in runlogs.best_swept(runlogs.swept_long(wide, ["epoch"]), ["epoch"], "val", "iou").collect()}
+    assert best[1] == (0.2, 0.5) and all(np.isnan(x) for x in best[2])
+
+
 def test_metric_stream_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(0)
     frame = pd.DataFrame({"y_true": rng.integers(0, 2, 900), "prob": rng.random(900)})

@@ -127,3 +127,31 @@ def test_constant_probability_blends_to_itself(spark, cloud):
     np.testing.assert_allclose(got.probability[seen], 0.25)
     assert got.probability_variance.max() < 1e-12
     assert (got.probability[~seen] == 0).all() and (got.n_tiles_seen[~seen] == 0).all()
+
+
+def test_a_winding_component_is_one(spark):
+    """A snake of pixels across a 60 x 60 raster, longer than any fixed number of rounds would follow step by step."""
+    from phasefold.operators import maps
+
+    pixels = [(x, y) for y in range(0, 60, 2) for x in range(60)] + [(59 if (y // 2) % 2 == 0 else 0, y) for y in range(1, 59, 2)] + [(5, 200)]
+    mask = spark.createDataFrame([(x, y, 1.0, 0.5) for x, y in pixels], "px int, py int, density double, density_cut double")
+    labels = maps.components(mask, 60)
+    assert {r.label: r["count"] for r in labels.groupBy("label").count().collect()} == {0: len(pixels) - 1, 200 * 60 + 5: 1}
+
+
+def test_chunks_without_finite_norms_keep_their_rows(spark, monkeypatch):
+    from phasefold.plans import pipelines
+
+    rows = [(c, float(i), 0.0, 0.0, 1.0, 0.0, 0.0) for c in (1, 2) for i in range(5)]
+    df = spark.createDataFrame(rows, "chunk int, x double, y double, z double, vx double, vy double, vz double")
+    bad = df.withColumn("x", F.when(F.col("chunk") == 2, F.lit(float("nan"))).otherwise(F.col("x"))).withColumn("vx", F.when(F.col("chunk") == 2, F.lit(float("inf"))).otherwise(F.col("vx")))
+    small = sorted(pipelines.phase_scales(bad, ["chunk"]).collect())
+    monkeypatch.setattr(pipelines, "HELD_ROWS", 0)
+    assert sorted(pipelines.phase_scales(bad, ["chunk"]).collect()) == small and len(small) == 2
+
+
+def test_no_cap_keeps_every_row(spark):
+    from phasefold.operators import sampling
+
+    df = spark.createDataFrame([(1, i, i % 4 == 0) for i in range(100)], "chunk int, particle_id long, s boolean").withColumn("is_stream", F.col("s").cast("int"))
+    assert sampling.chunk_cap(df, ["chunk"], max_raw=0).count() == 100
