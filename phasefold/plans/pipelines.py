@@ -11,7 +11,7 @@ from phasefold.functions.order import HELD_ROWS, exact_quantiles, held_quantiles
 from phasefold.functions.phase import (BASE, MIN_SCALE, SCALE_QUANTILE, dimensionless, feature_stats, norm, phase_columns,
                                        phase_coord6, resolve_context, resolve_features)
 from phasefold.operators import augment, blending, learning, neighbours, patches, sampling, spatial, voxels
-from phasefold.session import cut_lineage
+from phasefold.session import cut_lineage, small_side
 from phasefold.sources.cleaning import clean_snapshot, default_columns
 from phasefold.sources.sinks import particle_outputs
 
@@ -46,7 +46,8 @@ def sparse_inputs(members: DataFrame, chunk: Sequence[str], centre: Sequence[Col
     chunk = list(chunk)
     if dimensionless_inputs:
         scales = phase_scales(members, chunk)
-        members = members.join(scales, chunk) if chunk else members.join(F.broadcast(scales))
+        # one row per chunk; a crowded chunk must not become one task, so the table is broadcast while it is small
+        members = members.join(small_side(cut_lineage(scales)), chunk) if chunk else members.join(F.broadcast(scales))
         members = phase_coord6(members, centre, grid_size)
         members = dimensionless(members, features)
         return members.drop("pos_scale", "vel_scale")
@@ -69,7 +70,8 @@ def cell_pipeline(members: DataFrame, chunk: Sequence[str], centre: Sequence[Col
 def tiled_members(particles: DataFrame, size: float, stride: float, min_particles: int, strategy: str, max_tiles: int = 0) -> tuple[DataFrame, DataFrame]:
     """(tile members, kept tiles)."""
     tiles = spatial.tile_centres(particles, size, stride, min_particles, strategy, max_tiles)
-    members = spatial.assign_tiles(particles, size, stride).join(tiles.select(*TILE), list(TILE), "left_semi")
+    tiles = cut_lineage(tiles)
+    members = spatial.assign_tiles(particles, size, stride).join(small_side(tiles.select(*TILE)), list(TILE), "left_semi")
     return members, tiles
 
 
@@ -82,6 +84,8 @@ def tiled_inference(particles: DataFrame, scorer: Callable[[DataFrame], Column],
     blended predictions, the per-(tile, particle) scores and the tile table.
     """
     members, tiles = tiled_members(phase_columns(particles), size, stride, min_particles, strategy)
+    # scales, cells, back-map and summary all read the members: tiles are assigned once
+    members = cut_lineage(members)
     centre = [F.col(c) for c in spatial.CENTRE]
     ready, cells = cell_pipeline(members, TILE, centre, feature_set, grid_size, keep_raw=True)
     scored_cells = cells.withColumn("prob", scorer(cells))
@@ -106,7 +110,7 @@ def swept_inference(particles: DataFrame, scorer: Callable[[DataFrame], tuple[Co
     ``scorer`` maps the voxel table to (prob, logit, margin, energy) columns.
     """
     full = phase_columns(particles)
-    members = spatial.assign_bricks(full, size, stride_fraction)
+    members = cut_lineage(spatial.assign_bricks(full, size, stride_fraction))
     stats = feature_stats(full, voxels.CHANNELS_11) if stats is None else stats
     grid_rows = voxels.brick_voxels(members, stats, size, grid)
     prob, logit, margin, energy = scorer(grid_rows)
@@ -168,8 +172,9 @@ def brick_table(particles: DataFrame, centres: DataFrame, size: float = 128.0, g
     """Voxel training table of every sufficiently occupied brick."""
     full = phase_columns(particles)
     stats = feature_stats(full, voxels.CHANNELS_11) if stats is None else stats
-    kept = spatial.brick_occupancy(centres, particles, size, min_particles).select("centre_id")
-    members = spatial.box_query(centres.join(kept, "centre_id", "left_semi"), full, size)
+    members = cut_lineage(spatial.box_query(centres, full, size))
+    kept = members.groupBy("centre_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_particles).select("centre_id")
+    members = members.join(small_side(cut_lineage(kept)), "centre_id", "left_semi")
     return voxels.brick_voxels(members, stats, size, grid, brick=["centre_id"])
 
 
