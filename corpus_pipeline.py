@@ -2,34 +2,58 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from phasefold.llm import exact_dedup, mixing, near_dedup, packing, quality
-from phasefold.llm.common import materialize
+from phasefold.llm.common import SCRATCH, drop_scratch, materialize
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
 
+
+def stage(f: Stage) -> Stage:
+    """A stage starts by dropping the scratch tables of the one before, whose result is written by then."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_scratch(spark, _left)
+        _left.clear()
+        made = len(SCRATCH)
+        result = f(spark, docs, sf_dir)
+        _left.extend(SCRATCH[made:])
+        return result
+
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the base rule or a risk-controlled threshold rejects."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
+@stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, keep the row with the largest id."""
     return exact_dedup.drop_copies(docs)
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 80% of their five-word shingles, directly or in chains, keep the one with the smallest id."""
     return near_dedup.drop_near_copies(docs, k=5, percent=80)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw sources to their target weights; a document drawn twice is two rows, one drawn in part is cut."""
     return mixing.mixed_documents(docs)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their ids, sequence and offset."""
     import public_tokenizers
@@ -37,7 +61,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_copies),
     ("near_dedup", near_copies),
@@ -51,6 +75,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for name, apply in STAGES:
+        docs = materialize(apply(spark, docs, sf_dir), name)
     return docs

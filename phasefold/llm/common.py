@@ -14,9 +14,21 @@ WORD = r"[^\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Paths of the scratch tables this driver has made, in order.
+SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the checkpoint folder, which every executor can reach."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    SCRATCH.append(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables whose readers have finished."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
