@@ -49,7 +49,9 @@ WINDOW, GRAM = 100, 50
 SPAN = WINDOW - GRAM + 1
 MODULUS, COVER = 31, (1, 5, 11, 24, 25, 27)
 SAMPLE = WINDOW - MODULUS + 1
-BLOCK = 4 << 20
+BLOCK = 3 << 20
+#: Bytes of corpus text per suffix bucket; about a third of them are sorted, at some hundred bytes each.
+BUCKET = 8 << 20
 PLACE_BITS = np.uint64(31)
 
 BLOCKS = "block long, ids array<long>, sizes binary, text binary, n_bytes long"
@@ -101,7 +103,8 @@ def segments(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last = inside.copy()
     last[:-1] &= (anchor[1:] != anchor[:-1]) | ~inside[1:]
     counts = np.nonzero(last)[0] - starts + 1
-    return starts, counts, anchor[starts], grams[anchor[starts]]
+    # smallest hashes crowd near zero; mixed again, they spread evenly over the buckets
+    return starts, counts, anchor[starts], kernels.mix64(grams[anchor[starts]] + np.uint64(0x9E3779B97F4A7C15))
 
 
 def send_anchors(bits: int):
@@ -257,7 +260,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     blocks = materialize_bucketed(rows.mapInArrow(make_blocks, BLOCKS), "blocks", "block", bucket_count(docs))
     total = blocks.agg(F.sum("n_bytes").alias("n")).first().n or 0
-    anchor_bits, bits = key_bits(total // 26, 1_000_000, least), key_bits(total, 32 << 20, least)
+    anchor_bits, bits = key_bits(total // 26, 1_000_000, least), key_bits(total, BUCKET, least)
     anchors = blocks.select("block", "sizes", "text").mapInArrow(send_anchors(anchor_bits), "bucket long, block long, keys binary")
     repeated = materialize(anchors.groupBy("bucket").applyInArrow(find_repeated, "block long, bucket long, bits binary"), "repeated")
     first = repeated.select(F.col("block").alias("to"), "bucket", "bits")
