@@ -48,6 +48,17 @@ def _sizes(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
     return lengths, np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64)])
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], target: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``target`` bytes of ``text``; the kernels need some hundred bytes per byte."""
+    for batch in batches:
+        _, offsets = _sizes(batch)
+        at = 0
+        while at < batch.num_rows:
+            end = min(max(int(np.searchsorted(offsets, offsets[at] + target, side="right")) - 1, at + 1), batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def key_bits(keys: int, per_bucket: int, least: int) -> int:
     """Bits of the key that number the buckets: about ``per_bucket`` keys in each, ``least`` buckets or more."""
     return max(1, int(np.ceil(np.log2(max(2, least, keys / per_bucket)))))

@@ -11,7 +11,9 @@
 4. What that star misses: buckets that still hold several components.  Nodes
    outside the bucket's largest component meet all nodes of other components of
    that bucket, in blocks of ``BLOCK`` nodes that compare sketches and emit only
-   pairs worth confirming.  Confirmed links are merged into the components.
+   pairs worth confirming, each in the first band that it shares.  A first round
+   emits every node's closest partner only, which joins most of a group through
+   its centre; the second emits all pairs that are then still apart.
 
 So no link between texts that share a band is lost, though members of a big
 group are never expanded into pairs.  Bands are chosen so that a pair at the
@@ -37,12 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from phasefold.llm import kernels
+from phasefold.llm.blocks import small_batches
 from phasefold.llm.common import free_name, materialize
 from phasefold.session import small_side
 
 MISS = 1e-6
-SKETCH_WORDS = 8
-BLOCK = 256
+SKETCH_WORDS = 32
+#: MinHash samples in a sketch, at least.
+SAMPLES = 512
+BLOCK = 512
+#: Sets that meet a hub's set in one task.
+SET_BLOCK = 256
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -53,11 +60,17 @@ def banding(percent: int) -> tuple[int, int]:
 
 
 def sketch_limit(percent: int, samples: int) -> int:
-    """Largest XOR population count of two odd sketches that may still belong to a pair at the threshold."""
+    """Largest XOR population count of two odd sketches that may still belong to a pair at the threshold (4.5 standard errors)."""
     bits, t = 64 * SKETCH_WORDS, percent / 100
-    low = max(0.0, t - 5 * math.sqrt(t * (1 - t) / samples) - 0.03)
-    expected = bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - low)))
-    return math.ceil(expected + 5 * math.sqrt(expected / 2))
+    flips = 2 * samples * (1 - t)
+    expected = bits / 2 * (1 - (1 - 2 / bits) ** flips)
+    by_samples, by_collisions = 4 * samples * t * (1 - t), 2 * flips**2 / bits
+    return math.ceil(expected + 4.5 * math.sqrt(by_samples + by_collisions))
+
+
+def sample_count(percent: int) -> int:
+    rows, bands = banding(percent)
+    return max(SAMPLES, rows * bands)
 
 
 SIGNATURE = "row long, doc_id long, n_shingles long, digest long, digest2 long, bands array<long>, sketch array<long>"
@@ -66,12 +79,12 @@ SIGNATURE = "row long, doc_id long, n_shingles long, digest long, digest2 long,
 def signer(k: int, percent: int):
     """Arrow function: (row, doc_id, text) to signatures."""
     rows, bands = banding(percent)
-    samples = rows * bands
+    samples = sample_count(percent)
     scale = kernels.mix64(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     shift = kernels.mix64(scale)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             data, offsets = kernels.text_buffers(batch.column("text"))
             values, counts = kernels.shingle_sets(data, offsets, k)
             n = len(counts)
@@ -109,7 +122,7 @@ def set_maker(k: int):
     """Arrow function: (node, text) to (node, set), the sorted shingle hashes as bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             values, counts = kernels.shingle_sets(*kernels.text_buffers(batch.column("text")), k)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * 8
             sets = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
@@ -138,13 +151,13 @@ def confirmer(percent: int):
 def confirmed_links(pairs: DataFrame, base: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the distinct ``pairs`` (hub, node) those whose full sets reach the threshold: a, b.
 
-    Sets are made for the nodes concerned only; a hub's set goes to each slice of about ``BLOCK`` partners.
+    Sets are made for the nodes concerned only; a hub's set goes to each slice of about ``SET_BLOCK`` partners.
     """
     pairs = materialize(pairs, "pairs")
     nodes = small_side(pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct())
     texts = base.join(nodes, base["row"] == nodes["node"]).select("node", "text")
     sets = materialize(texts.mapInArrow(set_maker(k), "node long, set binary"), "sets")
-    sizes = pairs.groupBy(F.col("hub").alias("h")).agg(F.ceil(F.count("*") / BLOCK).alias("slices"))
+    sizes = pairs.groupBy(F.col("hub").alias("h")).agg(F.ceil(F.count("*") / SET_BLOCK).alias("slices"))
     sliced = pairs.join(sizes, F.col("hub") == F.col("h")).select("hub", "node", F.pmod(F.xxhash64("node"), "slices").alias("slice"))
     left = sliced.join(sets, "node").select("hub", "slice", "node", "set")
     right = sliced.select("hub", "slice").distinct().join(sets, F.col("hub") == F.col("node")).select(
@@ -170,29 +183,44 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def block_pairs(percent: int, limit: int):
-    """Cogroup function: blocks of nodes of one bucket, sketch comparison between components."""
-    step = max(1, (1 << 22) // (BLOCK * SKETCH_WORDS))
+def block_pairs(percent: int, limit: int, closest: bool):
+    """Cogroup function: blocks of nodes of one bucket, sketch comparison between components.
+
+    Emits all pairs that may be links, or with ``closest`` just the best one of each node on the left.
+    """
+    step = 256
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         def columns(t: pa.Table):
-            sketch = np.asarray(t.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(-1, SKETCH_WORDS)
-            return t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("n_shingles").to_numpy(), sketch
+            lists = [np.asarray(t.column(n).combine_chunks().flatten()).view(np.uint64).reshape(t.num_rows, -1) for n in ("sketch", "bands")]
+            return t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("n_shingles").to_numpy(), *lists
 
-        out_a, out_b = [], []
+        out_a, out_b, out_d = [], [], []
         if left.num_rows and right.num_rows:
-            ln, lc, ls, lk = columns(left)
-            rn, rc, rs, rk = columns(right)
+            ln, lc, ls, lk, lb = columns(left)
+            rn, rc, rs, rk, rb = columns(right)
+            band = left.column("band")[0].as_py()
             for i in range(0, len(ln), step):
                 part = slice(i, i + step)
-                ok = (lc[part, None] != rc[None, :]) & (ln[part, None] != rn[None, :])
+                ok = lc[part, None] != rc[None, :]
                 ok &= (100 * np.minimum(ls[part, None], rs[None, :]) >= percent * np.maximum(ls[part, None], rs[None, :]))
-                ok &= np.bitwise_count(lk[part, None, :] ^ rk[None, :, :]).sum(axis=2) <= limit
                 a, b = np.nonzero(ok)
+                apart = np.concatenate([np.bitwise_count(lk[part][a[k:k + 65536]] ^ rk[b[k:k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
+                near = apart <= limit
+                a, b, apart = a[near], b[near], apart[near]
+                if closest:
+                    order = np.lexsort((rn[b], apart, a))
+                    first = np.ones(len(order), bool)
+                    first[1:] = a[order[1:]] != a[order[:-1]]
+                    a, b, apart = a[order[first]], b[order[first]], apart[order[first]]
+                else:
+                    new = (lb[part][a] == rb[b]).argmax(axis=1) == band
+                    a, b, apart = a[new], b[new], apart[new]
                 out_a.append(ln[part][a])
                 out_b.append(rn[b])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"hub": pa.array(np.minimum(a, b)), "node": pa.array(np.maximum(a, b))})
+                out_d.append(apart)
+        a, b, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b, out_d))
+        return pa.table({"asker": pa.array(a), "hub": pa.array(np.minimum(a, b)), "node": pa.array(np.maximum(a, b)), "apart": pa.array(d)})
 
     return compare
 
@@ -201,11 +229,35 @@ def _sketch_distance(a: str, b: str):
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
 
+def _apart(shared: DataFrame, comps: DataFrame, full: DataFrame, percent: int, limit: int, closest: bool) -> DataFrame:
+    """Pairs (hub, node) of one bucket but different components whose sketches allow a link."""
+    labelled = shared.filter("size > 2").select("key", "band", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("key").agg(F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("most")).filter("most < size")
+    mixed = labelled.join(materialize(mixed, "mixed"), "key").join(full, "node")
+    slices = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK))
+    left_slices, right_slices = slices(F.col("size") - F.col("most")), slices(F.col("size"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    cols = ["band", "node", "comp", "n_shingles", "sketch", "bands"]
+    left = mixed.filter("comp <> major").select("key", *cols, F.pmod(F.xxhash64("node"), left_slices).alias("i"), upto(right_slices).alias("j"))
+    right = mixed.select(F.col("key").alias("r_key"), *[F.col(c).alias(c) for c in cols], F.pmod(F.xxhash64("node"), right_slices).alias("r_j"), upto(left_slices).alias("r_i"))
+    pairs = left.groupBy("key", "i", "j").cogroup(right.groupBy("r_key", "r_i", "r_j")).applyInArrow(
+        block_pairs(percent, limit, closest), "asker long, hub long, node long, apart long")
+    if closest:
+        best = F.min_by(F.struct("hub", "node"), F.struct("apart", "hub", "node")).alias("b")
+        pairs = pairs.groupBy("asker").agg(best).select("b.hub", "b.node")
+    return pairs.select("hub", "node").distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: row, doc_id, n_shingles, component_id, keep_row (one row of each component)."""
-    rows, bands = banding(percent)
-    limit = sketch_limit(percent, rows * bands)
-    base = materialize(docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")), "texts")
+    base = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    return _grouped(materialize(base, "texts"), k, percent)
+
+
+def _grouped(base: DataFrame, k: int, percent: int) -> DataFrame:
+    """``base``: row, doc_id, text, with row numbers that reading again does not change."""
+    limit = sketch_limit(percent, sample_count(percent))
     signed = materialize(base.mapInArrow(signer(k, percent), SIGNATURE), "signed")
     by = ["digest", "digest2", "n_shingles"]
     some = signed.filter("n_shingles > 0")
@@ -213,7 +265,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = materialize(some.groupBy(*by).agg(F.min("row").alias("node"), F.min(lead).alias("lead"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     about = classes.select("node", "n_shingles", "sketch")
 
-    members = classes.select("node", F.explode("bands").alias("key"))
+    members = classes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
     shared = materialize(members.join(buckets, "key"), "buckets")
     star = shared.filter("hub <> node").select("hub", "node").distinct()
@@ -223,20 +275,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comps = materialize(components(links), "components")
 
     # buckets of three or more that hold several components: those outside the largest meet the others
-    labelled = shared.filter("size > 2").select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = per.groupBy("key").agg(F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("most")).filter("most < size")
-    mixed = labelled.join(materialize(mixed, "mixed"), "key").join(about, "node")
-    turns = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK))
-    left_slices, right_slices = turns(F.col("size") - F.col("most")), turns(F.col("size"))
-    cols = ["key", "node", "comp", "n_shingles", "sketch"]
-    left = mixed.filter("comp <> major").select(*cols, F.pmod(F.xxhash64("node"), left_slices).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), right_slices - 1)).alias("j"))
-    right = mixed.select(F.col("key").alias("r_key"), *[F.col(c).alias(c) for c in cols[1:]], F.pmod(F.xxhash64("node"), right_slices).alias("r_j"), F.explode(F.sequence(F.lit(0).cast("bigint"), left_slices - 1)).alias("r_i"))
-    rest = left.groupBy("key", "i", "j").cogroup(right.groupBy("r_key", "r_i", "r_j")).applyInArrow(block_pairs(percent, limit), "hub long, node long").distinct()
-    rest = materialize(rest.join(star.select("hub", "node"), ["hub", "node"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = confirmed_links(rest, base, k, percent)
-        comps = materialize(components(links.union(more)), "components")
+    full = classes.select("node", "n_shingles", "sketch", "bands")
+    seen = star.select("hub", "node")
+    for closest in (True, False):
+        rest = materialize(_apart(shared, comps, full, percent, limit, closest).join(seen, ["hub", "node"], "left_anti"), "rest")
+        if rest.isEmpty():
+            continue
+        links = links.union(materialize(confirmed_links(rest, base, k, percent), "links"))
+        comps = materialize(components(links), "components")
+        seen = seen.union(rest)
 
     labels = classes.select(*by, "node", "lead").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     leads = labels.groupBy("comp").agg(F.min("lead").alias("first"))
@@ -251,10 +298,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One document of each component, the one with the smallest id, with all its columns."""
     row = free_name(docs, "_row")
     kept = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    groups = near_groups(kept.select(F.col(row).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).alias("real_id")), "doc_id", "text", k, percent)
-    # groups' own ids are row numbers here; the smallest real id of a component stays
-    ids = kept.select(F.col(row).alias("doc_id"), F.col(id_col).alias("real_id"))
-    named = groups.join(ids, "doc_id")
-    stay = named.groupBy("component_id").agg(F.min(F.struct(F.col("real_id").isNull().alias("void"), "real_id", "doc_id")).alias("best"))
-    stay = materialize(stay.select(F.col("best.doc_id").alias("_stay")), "stay")
+    base = kept.select(F.col(row).alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    stay = materialize(_grouped(base, k, percent).filter("row = keep_row").select(F.col("row").alias("_stay")), "stay")
     return kept.join(stay, F.col(row) == F.col("_stay"), "left_semi").drop(row)

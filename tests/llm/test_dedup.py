@@ -108,16 +108,15 @@ def test_banding_misses_are_rare():
 
 def test_odd_sketch_limit_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(1)
-    rows, bands = near_dedup.banding(85)
-    limit = near_dedup.sketch_limit(85, rows * bands)
-    worst = 0
-    for _ in range(300):
-        common, own = rng.integers(0, 2**63, 850), rng.integers(0, 2**63, 150)
-        same = rng.random(rows * bands) < 0.85
-        a = rng.integers(0, 512, rows * bands)
-        b = np.where(same, a, rng.integers(0, 512, rows * bands))
-        worst = max(worst, int((np.bincount(a, minlength=512) % 2 != np.bincount(b, minlength=512) % 2).sum()))
-    assert worst <= limit
+    samples, bits = near_dedup.sample_count(85), 64 * near_dedup.SKETCH_WORDS
+    limit = near_dedup.sketch_limit(85, samples)
+    counts = []
+    for similarity in [0.85] * 400 + [0.6] * 400:
+        same = rng.random(samples) < similarity
+        a = rng.integers(0, bits, samples)
+        b = np.where(same, a, rng.integers(0, bits, samples))
+        counts.append(int((np.bincount(a, minlength=bits) % 2 != np.bincount(b, minlength=bits) % 2).sum()))
+    assert max(counts[:400]) <= limit < min(counts[400:])
 
 
 def repeats(rows):
