@@ -1,22 +1,26 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with weighted backoff, counted and weighted in exchanges between blocks and key buckets.
 
 1. Blocks of documents are coded: every word becomes a number of the block's own
    sorted vocabulary of 64-bit word hashes.
 2. One packed exchange adds up the training counts of every word of the corpus
    and sends each block the totals of its words.
-3. Words with at least ``word_share`` of all training tokens are symbols of the
-   automaton (at most 1 / word_share of them); all others, unseen ones included,
-   share one rare symbol, below which they keep their own exact counts.
-4. n-grams of symbols are counted by the same exchange, level by level; an
-   n-gram stays if it has ``ngram_share`` of all training tokens (so at most
-   1 / ngram_share per order), and only n-grams whose two shorter parts stay are
-   counted at the next level.
+3. Words with at least ``least`` training tokens are symbols; all others, unseen
+   ones included, share one rare symbol, below which they keep their own exact
+   counts.
+4. n-grams of symbols are counted by the same exchange, level by level; an n-gram
+   stays if it has at least ``least`` training tokens, whatever the size of the
+   corpus, and only n-grams whose two shorter parts stay are sent to the next
+   level.  A block gets the totals of its own n-grams, so the model is never in
+   one place and grows with the text.
 5. Absolute discounting makes probabilities, and backoff weights make every
-   history sum to one.  Histories are states, n-grams are arcs, a state's failure
-   arc leads to its next shorter history and costs the backoff weight.  The
-   automaton's size is bounded by the two shares and is broadcast.
-6. Each text is traversed once, left to right; the state is carried from word to
-   word and log10 probabilities add up.
+   history sum to one.  Of the blocks that hold an n-gram one owns it and adds it
+   to its history; a second exchange adds up the histories' followers (count,
+   number and lower-order probability), of which each block gets its own
+   histories back.  A frequent history costs one entry a block.
+6. Each block scores its tokens by array arithmetic.
+
+``build_automaton`` and ``traverse`` are the same model in one piece, for small
+corpora: the tests compare both.
 
 The texts held out of training are those with ``crc32(id) % 7 = 2``.
 
@@ -43,6 +47,11 @@ RARE, END, START, FIRST = 0, 1, 2, 3
 SYMBOL_BITS = 20
 BUCKET_KEYS = 2_000_000
 DISCOUNT = 0.5
+#: Keys of the three symbols that are no words, and the multiplier that joins a history's key with a symbol's.
+RARE_KEY, END_KEY, START_KEY = kernels.mix64(np.array([0x52415245, 0x454E44, 0x5354415254], np.uint64))
+JOIN = np.uint64(0xD6E8FEB86659FD93)
+#: A bucket's number has its exchange above this bit: 2 k for n-grams of order k (words are order 1), 2 k + 1 for their histories.
+KIND_BIT = 40
 
 CODED = "block long, ids array<long>, held binary, words binary, codes binary, vocab binary, trained binary, n_vocab long, train_words long, train_docs long"
 
@@ -74,11 +83,11 @@ def send_words(bits: int):
     return send
 
 
-TOTALS = "block long, bucket long, totals binary, kinds long, rare_kinds long, rare_tokens long, top_keys binary, top_counts binary"
+TOTALS = "block long, bucket long, totals binary, rare_kinds long, rare_tokens long, kinds long"
 
 
-def add_words(least: float):
-    """Grouped Arrow function of one bucket: totals back to each block, and the bucket's symbols and statistics in a row with block -1."""
+def add_words(least: int):
+    """Grouped Arrow function of one bucket: totals back to each block, and the bucket's statistics in a row with block -1."""
 
     def add(group: pa.Table) -> pa.Table:
         keys, counts = packed(group.column("keys"), np.uint64), packed(group.column("counts"), np.uint32)
@@ -86,30 +95,17 @@ def add_words(least: float):
         total = np.bincount(at, weights=np.concatenate(counts).astype(np.float64), minlength=len(every)).astype(np.int64)
         cut = np.cumsum([0, *map(len, keys)])
         answers = [total[at[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-        top, rare = total >= least, (total > 0) & (total < least)
+        rare = (total > 0) & (total < least)
         n, bucket = len(keys), group.column("bucket")[0].as_py()
         none = [None] * n
         return pa.table({
             "block": pa.array([*group.column("block").to_pylist(), -1], pa.int64()), "bucket": pa.array([bucket] * (n + 1), pa.int64()),
-            "totals": pa.array([*answers, None], pa.binary()), "kinds": pa.array([*none, int((total > 0).sum())], pa.int64()),
-            "rare_kinds": pa.array([*none, int(rare.sum())], pa.int64()), "rare_tokens": pa.array([*none, int(total[rare].sum())], pa.int64()),
-            "top_keys": pa.array([*none, every[top].tobytes()], pa.binary()), "top_counts": pa.array([*none, total[top].tobytes()], pa.binary())})
+            "totals": pa.array([*answers, None], pa.binary()), "rare_kinds": pa.array([*none, int(rare.sum())], pa.int64()),
+            "rare_tokens": pa.array([*none, int(total[rare].sum())], pa.int64()), "kinds": pa.array([*none, int((total > 0).sum())], pa.int64())})
 
     return add
 
 
-def block_symbols(vocab: np.ndarray, codes: np.ndarray, words: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of every token of a block, end tokens included, and where each document starts."""
-    at = np.minimum(np.searchsorted(symbols, vocab), max(0, len(symbols) - 1))
-    of_word = np.where(symbols[at] == vocab, at + FIRST, RARE) if len(symbols) else np.zeros(len(vocab), np.int64)
-    starts = np.cumsum(words + 1) - (words + 1)
-    out = np.full(int(words.sum()) + len(words), END, np.int64)
-    place = np.ones(len(out), bool)
-    place[starts + words] = False
-    out[place] = of_word[codes]
-    return out, starts
-
-
 def ngram_keys(tokens: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
     """Key of the n-gram that ends at each token, -1 where the text is too short; the start symbol precedes each text."""
     previous = [tokens]
@@ -128,35 +124,6 @@ def ngram_keys(tokens: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray
     return np.where(previous[-1] < 0, -1, key)
 
 
-def isin_sorted(values: np.ndarray, pool: np.ndarray) -> np.ndarray:
-    if not len(pool):
-        return np.zeros(len(values), bool)
-    return pool[np.minimum(np.searchsorted(pool, values), len(pool) - 1)] == values
-
-
-def send_ngrams(model, order: int, bits: int):
-    """Counts of a block's training n-grams whose shorter parts stayed."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, shorter = model.value
-        mask = (1 << SYMBOL_BITS * (order - 1)) - 1
-        for batch in batches:
-            parts = [packed(batch.column(n), t) for n, t in (("vocab", np.uint64), ("codes", np.int32), ("words", np.int64), ("held", np.uint8))]
-            for vocab, codes, words, held in zip(*parts):
-                tokens, starts = block_symbols(vocab, codes, words, symbols)
-                keys = ngram_keys(tokens, starts, order)
-                keys = keys[np.repeat(held == 0, words + 1)]
-                keys = keys[keys >= 0]
-                if order > 2:
-                    keys = keys[isin_sorted(keys & mask, shorter) & isin_sorted(keys >> SYMBOL_BITS, shorter)]
-                # spread over buckets by an invertible mix, so that a bucket is a range of sorted keys
-                mixed, counts = np.unique(kernels.mix64(keys.astype(np.uint64)), return_counts=True)
-                rows = [(b, mixed[i:j].tobytes(), counts[i:j].astype(np.uint32).tobytes()) for b, i, j in slices(mixed, bits)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "keys", "counts"])
-
-    return send
-
-
 def unmix64(x: np.ndarray) -> np.ndarray:
     """Inverse of ``kernels.mix64``."""
     def unshift(v, s):
@@ -170,17 +137,6 @@ def unmix64(x: np.ndarray) -> np.ndarray:
     return unshift(x, 30)
 
 
-def add_ngrams(least: float):
-    def add(group: pa.Table) -> pa.Table:
-        keys, counts = np.concatenate(packed(group.column("keys"), np.uint64)), np.concatenate(packed(group.column("counts"), np.uint32))
-        every, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, weights=counts.astype(np.float64), minlength=len(every)).astype(np.int64)
-        stay = total >= least
-        return pa.table({"keys": pa.array([unmix64(every[stay]).tobytes()], pa.binary()), "counts": pa.array([total[stay].tobytes()], pa.binary())})
-
-    return add
-
-
 @dataclass
 class Automaton:
     """States are histories; ``arcs`` maps state << SYMBOL_BITS | symbol to (log10 probability, next state)."""
@@ -196,7 +152,7 @@ class Automaton:
 
 
 def build_automaton(symbols: np.ndarray, counts: np.ndarray, ngrams: list[tuple[np.ndarray, np.ndarray]], n_docs: int, rare_tokens: int, rare_kinds: int, kinds: int) -> Automaton:
-    """From symbol counts and the n-grams that stayed (order 2 first); sizes are bounded by the shares."""
+    """From symbol counts and the n-grams that stayed (order 2 first)."""
     unigram = np.zeros(FIRST + len(symbols), np.int64)
     unigram[RARE], unigram[END], unigram[FIRST:] = rare_tokens, n_docs, counts
     n = int(unigram.sum())
@@ -275,34 +231,166 @@ def traverse(tokens: list[int], model: Automaton) -> float:
     return score
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """What every block has to know: sums over the training texts."""
+
+    order: int
+    least: int
+    n_docs: int
+    n_tokens: int
+    rare_tokens: int
+    rare_kinds: int
+    kinds: int
+
+
+def _lagged(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """Each token's predecessor's value; ``first`` at the start of a text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[starts] = first
+    return out
+
+
+def walk(vocab: np.ndarray, codes: np.ndarray, words: np.ndarray, held: np.ndarray, totals: np.ndarray, known: dict[int, list[np.ndarray]], about: Corpus):
+    """Probabilities of a block's tokens as far as ``known`` answers go, and what is to be asked next.
+
+    ``known`` has for exchange 2 k twice the total of each of the block's n-grams plus 1 where the block owns it, for 2 k + 1
+    the count, number and lower-order probability of all followers of each of its histories.  Returns the probabilities
+    (None as long as an answer is missing) and per exchange to be made its sorted keys and their summands.
+    """
+    n = about.n_tokens + 1
+    plain = totals >= about.least
+    starts = np.cumsum(words + 1) - (words + 1)
+    place = np.ones(int(words.sum()) + len(words), bool)
+    place[starts + words] = False
+
+    def per_token(of_word, end):
+        out = np.full(len(place), end, of_word.dtype)
+        out[place] = of_word[codes]
+        return out
+
+    symbol = per_token(np.where(plain, vocab, RARE_KEY), END_KEY)
+    count = per_token(np.where(plain, totals, about.rare_tokens), about.n_docs)
+    # the rare symbol also covers unseen words
+    p = per_token(np.where(plain, totals, about.rare_tokens + 1) / n, about.n_docs / n if about.n_docs else 1.0)
+    trained = np.repeat(held == 0, words + 1)
+    at = np.arange(len(place)) - np.repeat(starts, words + 1)
+    key, stay, asks = symbol, np.ones(len(place), bool), {}
+    for level in range(2, about.order + 1):
+        history = _lagged(key, starts, START_KEY)
+        whole = _lagged(count, starts, about.n_docs)
+        behind = _lagged(stay, starts, level == 2) & (at >= level - 2)
+        key = kernels.mix64(history * JOIN + symbol)
+        sent = np.nonzero(behind & stay)[0]
+        grams, first, back = np.unique(key[sent], return_index=True, return_inverse=True)
+        if 2 * level not in known:
+            asks[2 * level] = grams, [np.bincount(back, weights=trained[sent], minlength=len(grams)).astype(np.int64)]
+            return None, asks
+        answer = known[2 * level][0]
+        count = np.zeros(len(place), np.int64)
+        count[sent] = answer[back] >> 1
+        stay = count >= about.least
+        followed = np.nonzero(behind)[0]
+        histories, of = np.unique(history[followed], return_inverse=True)
+        if 2 * level + 1 not in known:
+            mine = sent[first[(answer & 1 == 1) & (answer >> 1 >= about.least)]]
+            to = np.searchsorted(histories, history[mine])
+            asks[2 * level + 1] = histories, [np.bincount(to, weights=w, minlength=len(histories)).astype(t) for w, t in ((count[mine], np.int64), (None, np.int64), (p[mine], np.float64))]
+            p = None
+            continue
+        seen, kinds, lower = (v[of] for v in known[2 * level + 1])
+        # a history that every symbol follows has nobody to give the discounts to
+        full = lower > 1.0 - 1e-9
+        left = np.maximum(1e-12, 1.0 - (seen - DISCOUNT * kinds) / np.maximum(whole[followed], 1))
+        backoff = np.where(full | (kinds == 0), 1.0, left / np.where(full, 1.0, 1.0 - lower))
+        own = np.where(full, count[followed] / np.maximum(seen, 1), (count[followed] - DISCOUNT) / np.maximum(whole[followed], 1))
+        p = p.copy()
+        p[followed] = np.where(stay[followed], own, backoff * p[followed])
+    return p, asks
+
+
+def _cells(block: pa.Table, answers: pa.Table, done: tuple[int, ...]):
+    """Per row of a block: its arrays, the totals of its words and the answers of the exchanges ``done``."""
+    kinds = answers.column("bucket").to_numpy() >> KIND_BIT if answers.num_rows else np.zeros(0, np.int64)
+    order = np.argsort(answers.column("bucket").to_numpy()) if answers.num_rows else np.zeros(0, np.int64)
+
+    def joined(kind: int, name: str, dtype) -> np.ndarray:
+        column = answers.column(name)
+        parts = [np.frombuffer(column[int(i)].as_buffer(), dtype) for i in order[kinds[order] == kind]]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+    for row in range(block.num_rows):
+        arrays = [np.frombuffer(block.column(n)[row].as_buffer(), t) for n, t in (("vocab", np.uint64), ("codes", np.int32), ("words", np.int64), ("held", np.uint8))]
+        known = {k: [joined(k, n, t) for n, t in ((("a", np.int64), ("b", np.int64), ("c", np.float64)) if k & 1 else (("a", np.int64),))] for k in done}
+        yield row, arrays, joined(2, "a", np.int64), known
+
+
+SENT = "bucket long, block long, keys binary, a binary, b binary, c binary"
+ANSWERS = "block long, bucket long, a binary, b binary, c binary"
+
+
+def send_keys(about: Corpus, done: tuple[int, ...], bits: dict[int, int]):
+    """Cogroup function: a block and the answers so far to the keys of its next exchanges."""
+
+    def send(block: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
+        for row, arrays, totals, known in _cells(block, answers, done):
+            _, asks = walk(*arrays, totals, known, about)
+            for kind, (keys, values) in asks.items():
+                for b, i, j in slices(keys, bits[kind]):
+                    parts = [v[i:j].tobytes() for v in values]
+                    rows.append((kind << KIND_BIT | b, block.column("block")[row].as_py(), keys[i:j].tobytes(), *parts, *[None] * (3 - len(parts))))
+        types = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("bucket", "block", "keys", "a", "b", "c"), types))})
+
+    return send
+
+
+def add_keys(least: int):
+    """Grouped Arrow function of one bucket: the sums of every key back to each block that sent it."""
+
+    def add(group: pa.Table) -> pa.Table:
+        group = group.take(pa.array(np.argsort(group.column("block").to_numpy(), kind="stable")))
+        keys, histories = packed(group.column("keys"), np.uint64), group.column("bucket")[0].as_py() >> KIND_BIT & 1
+        every, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        total = lambda n, t: np.bincount(at, weights=np.concatenate(packed(group.column(n), t)), minlength=len(every)).astype(t)[at]
+        if histories:
+            sums = {"a": total("a", np.int64), "b": total("b", np.int64), "c": total("c", np.float64)}
+        else:
+            found = total("a", np.int64)
+            # the first block that has an n-gram owns it
+            sums = {"a": 2 * np.where(found >= least, found, 0) + (first[at] == np.arange(len(at)))}
+        cut = np.cumsum([0, *map(len, keys)])
+        none = pa.nulls(len(keys), pa.binary())
+        return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), **{n: pa.array(
+            [sums[n][a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) if n in sums else none for n in "abc"}})
+
+    return add
+
+
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_blocks(model):
-    """Cogroup function: a block and the totals of its words to one row per document."""
+def score_blocks(about: Corpus, done: tuple[int, ...]):
+    """Cogroup function: a block and all its answers to one row per document."""
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
-        a: Automaton = model.value
         out = {n: [] for n in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
-        for row in range(block.num_rows):
-            cell = lambda n, t: np.frombuffer(block.column(n)[row].as_buffer(), t)  # noqa: B023, E731
-            vocab, codes, words, held = cell("vocab", np.uint64), cell("codes", np.int32), cell("words", np.int64), cell("held", np.uint8)
-            order = np.argsort(answers.column("bucket").to_numpy()) if answers.num_rows else []
-            totals = packed(answers.column("totals"), np.int64)
-            count = np.concatenate([totals[i] for i in order]) if len(order) else np.zeros(0, np.int64)
-            tokens, starts = block_symbols(vocab, codes, words, a.symbols)
-            per_word = (np.log10(count + 1.0) - a.base_denominator)[codes]
-            rare = np.where(isin_sorted(vocab, a.symbols), 0.0, np.log10(count + 1.0) - a.rare_base)[codes]
-            base, rare, known = _segment_sums(per_word, words), _segment_sums(rare, words), _segment_sums((count > 0)[codes].astype(np.float64), words)
-            every, bounds = tokens.tolist(), [*starts.tolist(), len(tokens)]
-            walked = np.array([traverse(every[i:j], a) for i, j in zip(bounds[:-1], bounds[1:])])
+        rare_base, base = np.log10(about.rare_tokens + about.rare_kinds + 1), np.log10(about.n_tokens + about.kinds + 1)
+        for row, (vocab, codes, words, held), count, known in _cells(block, answers, done):
+            p, _ = walk(vocab, codes, words, held, count, known, about)
+            walked = _segment_sums(np.log10(np.maximum(p, 1e-300)), words + 1)
+            per_word = (np.log10(count + 1.0) - base)[codes]
+            rare = np.where(count >= about.least, 0.0, np.log10(count + 1.0) - rare_base)[codes]
+            known_words = _segment_sums((count > 0)[codes].astype(np.float64), words)
             out["doc_id"] += block.column("ids")[row].as_py()
             out["held_out"] += held.astype(bool).tolist()
             out["n_tokens"] += (words + 1).tolist()
-            out["n_known"] += (known.astype(np.int64) + int(a.end_count > 0)).tolist()
-            out["train_tokens"] += [a.n_tokens] * len(words)
-            out["base_score"] += (base + np.log10(a.end_count + 1.0) - a.base_denominator).tolist()
-            out["score"] += (walked + rare).tolist()
+            out["n_known"] += (known_words.astype(np.int64) + int(about.n_docs > 0)).tolist()
+            out["train_tokens"] += [about.n_tokens] * len(words)
+            out["base_score"] += (_segment_sums(per_word, words) + np.log10(about.n_docs + 1.0) - base).tolist()
+            out["score"] += (walked + _segment_sums(rare, words)).tolist()
         types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), types)})
 
@@ -318,39 +406,29 @@ def _segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, word_share: float = 1e-5, ngram_share: float = 2e-6) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, least: int = 2) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  Words and n-grams of ``least`` training tokens are in the model."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
     key = F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary")
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), (F.crc32(key) % 7 == 2).alias("held_out"), docs[text_col].cast("string").alias("text"))
     n_buckets = bucket_count(docs)
     coded = materialize_bucketed(rows.mapInArrow(code_blocks, CODED), "coded", "block", n_buckets)
-    sums = coded.agg(F.sum("train_words").alias("words"), F.sum("train_docs").alias("docs"), F.sum("n_vocab").alias("entries")).first()
+    sums = coded.agg(F.sum("train_words").alias("words"), F.sum("train_docs").alias("docs"), F.sum("n_vocab").alias("entries"), F.sum(F.length("codes") / 4 + F.size("ids")).cast("bigint").alias("tokens")).first()
     n_docs, n = sums.docs or 0, (sums.words or 0) + (sums.docs or 0)
     least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = coded.select("block", "vocab", "trained").mapInArrow(send_words(key_bits(sums.entries or 0, BUCKET_KEYS, least_parts)), "bucket long, block long, keys binary, counts binary")
-    totals = materialize(sent.groupBy("bucket").applyInArrow(add_words(max(2.0, word_share * n)), TOTALS), "totals")
-    stats = totals.filter("block < 0")
-    about = stats.agg(F.sum("kinds").alias("kinds"), F.sum("rare_kinds").alias("rare_kinds"), F.sum("rare_tokens").alias("rare_tokens")).first()
-    # at most 1 / word_share symbols
-    tops = stats.select("top_keys", "top_counts").filter("length(top_keys) > 0").collect()
-    symbols = np.concatenate([np.frombuffer(r.top_keys, np.uint64) for r in tops]) if tops else np.zeros(0, np.uint64)
-    counts = np.concatenate([np.frombuffer(r.top_counts, np.int64) for r in tops]) if tops else np.zeros(0, np.int64)
-    by_key = np.argsort(symbols)
-    symbols, counts = symbols[by_key], counts[by_key]
-    if len(symbols) + FIRST >= 1 << SYMBOL_BITS:
-        raise ValueError("word_share is too small for the automaton's symbols")
-    ngrams, shorter = [], np.zeros(0, np.int64)
-    for level in range(2, order + 1):
-        shared = sc.broadcast((symbols, shorter))
-        sent = coded.select("vocab", "codes", "words", "held").mapInArrow(send_ngrams(shared, level, key_bits(sums.words or 0, BUCKET_KEYS, least_parts)), "bucket long, keys binary, counts binary")
-        found = sent.groupBy("bucket").applyInArrow(add_ngrams(max(2.0, ngram_share * n)), "keys binary, counts binary").filter("length(keys) > 0").collect()  # at most 1 / ngram_share n-grams
-        keys = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in found]) if found else np.zeros(0, np.int64)
-        seen = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in found]) if found else np.zeros(0, np.int64)
-        by_key = np.argsort(keys)
-        shorter, seen = keys[by_key], seen[by_key]
-        ngrams.append((shorter, seen))
-    model = build_automaton(symbols, counts, ngrams, n_docs, about.rare_tokens or 0, about.rare_kinds or 0, (about.kinds or 0) + int(n_docs > 0))
-    answers = totals.filter("block >= 0").select(F.col("block").alias("to"), "bucket", "totals")
-    return coded.select("block", "ids", "held", "words", "codes", "vocab").groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(score_blocks(sc.broadcast(model)), SCORED)
+    totals = materialize(sent.groupBy("bucket").applyInArrow(add_words(least), TOTALS), "totals")
+    stats = totals.filter("block < 0").agg(F.sum("kinds").alias("kinds"), F.sum("rare_kinds").alias("rare_kinds"), F.sum("rare_tokens").alias("rare_tokens")).first()
+    about = Corpus(order, least, n_docs, n, stats.rare_tokens or 0, stats.rare_kinds or 0, (stats.kinds or 0) + int(n_docs > 0))
+    none = F.lit(None).cast("binary")
+    answers = totals.filter("block >= 0").select("block", (F.col("bucket") + F.lit(2 << KIND_BIT)).alias("bucket"), F.col("totals").alias("a"), none.alias("b"), none.alias("c"))
+    grams, words = key_bits(sums.tokens or 0, BUCKET_KEYS, least_parts), key_bits(sums.entries or 0, BUCKET_KEYS, least_parts)
+    bits = {kind: words if kind == 5 else grams for kind in range(4, 2 * order + 2)}
+    texts = coded.select("block", "ids", "held", "words", "codes", "vocab").groupBy("block")
+    done: tuple[int, ...] = ()
+    # n-grams of an order go together with the histories of the order before
+    for level in range(2, order + 2 if order > 1 else 2):
+        sent = texts.cogroup(answers.withColumnRenamed("block", "to").groupBy("to")).applyInArrow(send_keys(about, done, bits), SENT)
+        answers = answers.union(materialize(sent.groupBy("bucket").applyInArrow(add_keys(least), ANSWERS), f"answers{level}"))
+        done += tuple(k for k in (2 * level - 1, 2 * level) if k in bits)
+    return texts.cogroup(answers.withColumnRenamed("block", "to").groupBy("to")).applyInArrow(score_blocks(about, done), SCORED)

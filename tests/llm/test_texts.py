@@ -208,3 +208,40 @@ def test_cutting_stock_is_near_the_bound():
     plan = packing.integer_plan(sizes, demand, 100, 0.05)
     used = sum(n * p for p, n in plan)
     assert (used <= demand).all() and used.sum() > 0.9 * demand.sum()
+
+
+def one_piece_scores(rows, least=2):
+    """Scores by the automaton of all counts in one place."""
+    texts = [((t or "").translate(LOW).encode().split(), zlib.crc32((str(i) if i is not None else "").encode()) % 7 == 2) for i, t in rows]
+    count = Counter(w for ws, held in texts for w in ws if not held)
+    names = sorted(w for w, c in count.items() if c >= least)
+    code = {w: k for k, w in enumerate(names, lm_scoring.FIRST)}
+    coded = [[code.get(w, lm_scoring.RARE) for w in ws] + [lm_scoring.END] for ws, _ in texts]
+    trained = [c for c, (_, held) in zip(coded, texts) if not held]
+    grams = []
+    for order in (2, 3):
+        keys = [lm_scoring.ngram_keys(np.array(c), np.zeros(1, np.int64), order) for c in trained]
+        k, c = np.unique(np.concatenate(keys), return_counts=True)
+        grams.append((k[(c >= least) & (k >= 0)], c[(c >= least) & (k >= 0)]))
+    rare = [c for c in count.values() if c < least]
+    model = lm_scoring.build_automaton(np.arange(len(names), dtype=np.uint64), np.array([count[w] for w in names], np.int64), grams, len(trained), sum(rare), len(rare), len(count) + 1)
+    below = lambda w: math.log10(count[w] + 1) - model.rare_base
+    return [lm_scoring.traverse(c, model) + sum(below(w) for w in ws if w not in code) for c, (ws, _) in zip(coded, texts)]
+
+
+def test_scores_of_the_exchanges_are_those_of_one_automaton(odd):
+    rows = [(r[0], r[1]) for r in odd_rows()]
+    want = sorted((str(i), round(s, 6)) for (i, _), s in zip(rows, one_piece_scores(rows)))
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in lm_scoring.score_texts(odd).collect()) == want
+
+
+def test_a_phrase_seen_twice_counts_in_a_large_corpus(spark):
+    """Two of 400 000 tokens are below any share, and still the phrase is in the model."""
+    rng = np.random.default_rng(8)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2][:42]
+    held = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 50, 10_000).tolist())) for i in ids[:40]]
+    rows += [(ids[40], "w1 amber bridge crossing w2"), (ids[41], "w3 amber bridge crossing w4"), (held, "amber bridge crossing")]
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for (i, _), s in zip(rows, one_piece_scores(rows)):
+        assert got[i] == pytest.approx(s, rel=1e-9)
