@@ -19,11 +19,15 @@ a long tie are ever sorted, one suffix bucket at a time:
    few bytes after it, so a tie of 70 bytes costs one comparison of ranks.
    Distances from the anchor are the same in equal windows, so both meet the
    same sample.
-4. The first suffix of each group of ties is the earliest one.  One bit per
+4. An anchor with more than ``HOT`` segments in the corpus (a line that stands in very
+   many documents, say) would fill one bucket: its suffixes go by the 64-bit hash of
+   their own window instead, one hash a block and distinct window, and so spread evenly;
+   equal windows still meet.
+5. The first suffix of each group of ties is the earliest one.  One bit per
    suffix goes back to the blocks, which mark bytes and cut the texts.
 
-Memory is bounded by a block or a bucket; the number of buckets follows the
-data.  Blocks lie in a table laid out by block number, so texts are not shuffled.
+Memory is bounded by a block, a bucket's share of the anchors and ``HOT`` segments;
+the number of buckets follows the data.  Blocks lie in a table laid out by block number, so texts are not shuffled.
 
 Defined results: a null text is empty; matches never cross documents; null ids
 come after all others; repeated rows and ids count as documents in the order of
@@ -53,6 +57,9 @@ BLOCK = 3 << 20
 #: Bytes of corpus text per suffix bucket; about a third of them are sorted, at some hundred bytes each.
 BUCKET = 8 << 20
 PLACE_BITS = np.uint64(31)
+#: Segments of one anchor that one bucket takes, and window hashes per bucket for anchors with more.
+HOT = 4096
+WINDOWS = 1_000_000
 
 BLOCKS = "block long, ids array<long>, sizes binary, text binary, n_bytes long"
 _BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("text", pa.binary()), ("n_bytes", pa.int64())])
@@ -111,21 +118,26 @@ def send_anchors(bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, sizes, data in zip(batch.column("block").to_pylist(), packed(batch.column("sizes"), np.int64), packed(batch.column("text"), np.uint8)):
-                keys = np.unique(segments(data, sizes)[3])
-                rows = [(b, block, keys[i:j].tobytes()) for b, i, j in slices(keys, bits)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "block", "keys"])
+                keys, counts = np.unique(segments(data, sizes)[3], return_counts=True)
+                rows = [(b, block, keys[i:j].tobytes(), counts[i:j].astype(np.uint32).tobytes()) for b, i, j in slices(keys, bits)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "block", "keys", "counts"])
 
     return send
 
 
-def find_repeated(group: pa.Table) -> pa.Table:
-    """One bucket of anchors: a bit per key and block, set where another block has the key too."""
-    keys = packed(group.column("keys"), np.uint64)
-    _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    again = n[at] > 1
-    cut = np.cumsum([0, *map(len, keys)])
-    return pa.table({"block": group.column("block"), "bucket": group.column("bucket"),
-                     "bits": pa.array([np.packbits(again[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+def find_repeated(hot: int):
+    """Grouped Arrow function of one bucket of anchors: a bit per key and block where another block has the key too, and one where it has more than ``hot`` segments."""
+
+    def find(group: pa.Table) -> pa.Table:
+        keys = packed(group.column("keys"), np.uint64)
+        _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        again = n[at] > 1
+        many = np.bincount(at, weights=np.concatenate(packed(group.column("counts"), np.uint32)))[at] > hot
+        cut = np.cumsum([0, *map(len, keys)])
+        return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), **{
+            name: pa.array([np.packbits(x[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for name, x in (("bits", again), ("hot", many))}})
+
+    return find
 
 
 def _ordered(answers: pa.Table, name: str) -> list[bytes]:
@@ -137,34 +149,44 @@ def _ordered(answers: pa.Table, name: str) -> list[bytes]:
 
 
 def _chosen(data: np.ndarray, sizes: np.ndarray, answers: pa.Table, key_count_bits: int):
-    """Repeated segments of a block, with the first of equal ones marked; the same order in every pass."""
+    """Repeated segments of a block, with the first of equal ones marked; the same order in every pass.
+
+    Then, for anchors with too many segments: every start, the sorted hashes of their distinct windows, the first start of each and the hash of every start.
+    """
     starts, counts, anchors, hashes = segments(data, sizes)
     keys, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
-    again = np.zeros(len(keys), bool)
-    for buffer, (_, i, j) in zip(_ordered(answers, "bits"), slices(keys, key_count_bits)):
-        again[i:j] = np.unpackbits(np.frombuffer(buffer, np.uint8))[:j - i].astype(bool)
-    pick = np.nonzero((again | (n > 1))[at])[0]
+    again, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    for name, flags in (("bits", again), ("hot", hot)):
+        for buffer, (_, i, j) in zip(_ordered(answers, name), slices(keys, key_count_bits)):
+            flags[i:j] = np.unpackbits(np.frombuffer(buffer, np.uint8))[:j - i].astype(bool)
+    prefix = kernels.prefix_hashes(data)
+    spread = hot[at]
+    single = np.repeat(starts[spread] - np.cumsum(counts[spread]) + counts[spread], counts[spread]) + np.arange(int(counts[spread].sum()))
+    windows = (single, *np.unique(kernels.range_hashes(prefix, single, single + WINDOW), return_index=True, return_inverse=True))
+    pick = np.nonzero((again | (n > 1))[at] & ~spread)[0]
     pick = pick[np.argsort(hashes[pick], kind="stable")]  # by anchor; the earliest document first
     starts, counts, anchors, hashes = starts[pick], counts[pick], anchors[pick], hashes[pick]
-    prefix = kernels.prefix_hashes(data)
     text = kernels.range_hashes(prefix, starts, starts + counts + WINDOW - 1)
     # equal segments of one block: same text and same anchor place inside
     name = kernels.mix64(text + (anchors - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, first = np.unique(name, return_index=True)
     lead = np.zeros(len(name), bool)
     lead[first] = True
-    return starts, counts, anchors, hashes, lead
+    return starts, counts, anchors, hashes, lead, windows
 
 
-def send_segments(anchor_bits: int, bits: int):
-    """Cogroup function: a block and its anchor answers to the packed texts of its repeated segments."""
+def send_segments(anchor_bits: int, bits: int, window_bits: int):
+    """Cogroup function: a block and its anchor answers to the packed texts of its repeated segments, and to window hashes (buckets below zero) where an anchor has too many."""
 
     def send(block: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         for r in range(block.num_rows):
             data, sizes = np.frombuffer(block.column("text")[r].as_buffer(), np.uint8), np.frombuffer(block.column("sizes")[r].as_buffer(), np.int64)
             ids = np.array([np.iinfo(np.int64).max if i is None else i for i in block.column("ids")[r].as_py()], np.int64)
-            starts, counts, anchors, hashes, lead = _chosen(data, sizes, answers, anchor_bits)
+            starts, counts, anchors, hashes, lead, (single, keys, earliest, _) = _chosen(data, sizes, answers, anchor_bits)
+            owner = ids[np.searchsorted(np.cumsum(sizes), single[earliest], side="right")]
+            for b, i, j in slices(keys, window_bits):
+                rows.append((-1 - b, block.column("block")[r].as_py(), keys[i:j].tobytes(), None, None, owner[i:j].tobytes()))
             starts, counts, anchors, hashes = starts[lead], counts[lead], anchors[lead], hashes[lead]
             doc = np.searchsorted(np.cumsum(sizes), starts, side="right")
             lengths = counts + WINDOW - 1
@@ -183,6 +205,8 @@ _NEXT_SAMPLE = np.array([min((c - r) % MODULUS for c in COVER) for r in range(MO
 def sort_bucket(group: pa.Table) -> pa.Table:
     """One suffix bucket: which suffixes of each segment also start earlier, a 64-bit mask per segment."""
     order = np.argsort(group.column("block").to_numpy(), kind="stable")
+    if group.column("bucket")[0].as_py() < 0:
+        return sort_windows(group.take(pa.array(order)))
     take = lambda n, t: [packed(group.column(n), t)[i] for i in order]
     counts_of = take("counts", np.uint8)
     text, counts = np.concatenate(take("text", np.uint8)), np.concatenate(counts_of).astype(np.int64)
@@ -216,19 +240,40 @@ def sort_bucket(group: pa.Table) -> pa.Table:
                      "masks": pa.array([mask[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
 
 
+def sort_windows(group: pa.Table) -> pa.Table:
+    """One bucket of window hashes, in the order of the blocks: which of them also start earlier, a bit per hash."""
+    keys, docs = packed(group.column("text"), np.uint64), np.concatenate(packed(group.column("docs"), np.int64))
+    key = np.concatenate(keys)
+    by = np.lexsort((docs, key))
+    same = np.zeros(len(by), bool)
+    same[by[1:]] = key[by[1:]] == key[by[:-1]]
+    cut = np.cumsum([0, *map(len, keys)])
+    return pa.table({"block": group.column("block"), "bucket": group.column("bucket"),
+                     "masks": pa.array([np.packbits(same[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+
+
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>"
 
 
-def cut_texts(anchor_bits: int):
+def cut_texts(anchor_bits: int, window_bits: int):
     """Cogroup function: a block with both kinds of answers to its documents' spans and remaining bytes."""
 
     def cut(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         first = answers.filter(pc.is_valid(answers.column("bits")))
         second = answers.filter(pc.is_valid(answers.column("masks")))
+        below = pc.less(second.column("bucket"), 0)
+        second, third = second.filter(pc.invert(below)), second.filter(below)
+        third = third.set_column(third.schema.get_field_index("bucket"), "bucket", pc.subtract(-1, third.column("bucket")))
         for r in range(block.num_rows):
             data, sizes = np.frombuffer(block.column("text")[r].as_buffer(), np.uint8), np.frombuffer(block.column("sizes")[r].as_buffer(), np.int64)
-            starts, counts, _, _, lead = _chosen(data, sizes, first, anchor_bits)
+            starts, counts, _, _, lead, (single, keys, earliest, _) = _chosen(data, sizes, first, anchor_bits)
+            later = np.zeros(len(keys), bool)
+            for buffer, (_, i, j) in zip(_ordered(third, "masks"), slices(keys, window_bits)):
+                later[i:j] = np.unpackbits(np.frombuffer(buffer, np.uint8))[:j - i].astype(bool)
+            # all but the block's first of equal windows start earlier there
+            again = np.ones(len(single), bool)
+            again[earliest] = later
             masks = _ordered(second, "masks")
             mask = np.full(len(starts), np.uint64(2**64 - 1), np.uint64)  # repeats inside the block start earlier there
             if masks:
@@ -236,7 +281,7 @@ def cut_texts(anchor_bits: int):
             seg = np.repeat(np.arange(len(starts)), counts)
             inner = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts)
             hit = (mask[seg] >> inner.astype(np.uint64)) & np.uint64(1) == 1
-            where = starts[seg[hit]] + inner[hit]
+            where = np.concatenate([starts[seg[hit]] + inner[hit], single[again]])
             edge = np.zeros(len(data) + 1, np.int32)
             np.add.at(edge, where, 1)
             np.add.at(edge, where + WINDOW, -1)
@@ -253,7 +298,7 @@ def cut_texts(anchor_bits: int):
     return cut
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (bytes), starts and ends of the removed spans."""
     spark = docs.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -261,14 +306,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = materialize_bucketed(rows.mapInArrow(make_blocks, BLOCKS), "blocks", "block", bucket_count(docs))
     total = blocks.agg(F.sum("n_bytes").alias("n")).first().n or 0
     anchor_bits, bits = key_bits(total // 26, 1_000_000, least), key_bits(total, BUCKET, least)
-    anchors = blocks.select("block", "sizes", "text").mapInArrow(send_anchors(anchor_bits), "bucket long, block long, keys binary")
-    repeated = materialize(anchors.groupBy("bucket").applyInArrow(find_repeated, "block long, bucket long, bits binary"), "repeated")
-    first = repeated.select(F.col("block").alias("to"), "bucket", "bits")
+    window_bits = key_bits(total, WINDOWS, least)
+    anchors = blocks.select("block", "sizes", "text").mapInArrow(send_anchors(anchor_bits), "bucket long, block long, keys binary, counts binary")
+    repeated = materialize(anchors.groupBy("bucket").applyInArrow(find_repeated(hot), "block long, bucket long, bits binary, hot binary"), "repeated")
+    first = repeated.select(F.col("block").alias("to"), "bucket", "bits", "hot")
     sent = blocks.groupBy("block").cogroup(first.groupBy("to")).applyInArrow(
-        send_segments(anchor_bits, bits), "bucket long, block long, text binary, counts binary, places binary, docs binary")
+        send_segments(anchor_bits, bits, window_bits), "bucket long, block long, text binary, counts binary, places binary, docs binary")
     sorted_ = materialize(sent.groupBy("bucket").applyInArrow(sort_bucket, "block long, bucket long, masks binary"), "masks")
     none = F.lit(None).cast("binary")
-    answers = repeated.select(F.col("block").alias("to"), "bucket", "bits", none.alias("masks")).union(
-        sorted_.select(F.col("block").alias("to"), "bucket", none.alias("bits"), "masks"))
-    return blocks.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(cut_texts(anchor_bits), CUT)
+    answers = repeated.select(F.col("block").alias("to"), "bucket", "bits", "hot", none.alias("masks")).union(
+        sorted_.select(F.col("block").alias("to"), "bucket", none.alias("bits"), none.alias("hot"), "masks"))
+    return blocks.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(cut_texts(anchor_bits, window_bits), CUT)
 

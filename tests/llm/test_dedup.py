@@ -1,8 +1,10 @@
 import hashlib
+import random
 import string
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from phasefold.llm import exact_dedup, kernels, near_dedup, suffix_dedup
 from tests.llm.conftest import odd_rows
@@ -152,6 +154,39 @@ def test_many_blocks_agree_with_one(spark, monkeypatch):
     assert got == sorted(repeats(rows))
 
 
+@pytest.mark.parametrize("hot", [0, 2])
+def test_anchors_with_many_segments_agree(spark, hot):
+    rng = random.Random(6)
+    line = "".join(rng.choices(string.ascii_lowercase, k=75))
+    own = lambda: "".join(rng.choices(string.ascii_lowercase, k=rng.choice([5, 60])))
+    rows = [(i, r[1]) for i, r in enumerate(odd_rows())] + [(None, odd_rows()[15][1])]
+    rows += [(100 + i, own() + line + own() + ("tail of many " * 9)[:i % 120]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, hot=hot).collect())
+    assert got == sorted(repeats(rows))
+
+
+def test_a_frequent_line_spreads_over_buckets():
+    """A line in 6 000 documents between differing neighbours: no bucket gets more than a few percent of what is sent, with an anchor's bound far below its segments."""
+    import pyarrow as pa
+
+    hot = 200
+    rng = random.Random(7)
+    line = "".join(rng.choices(string.ascii_lowercase, k=75))
+    texts = ["".join(rng.choices(string.ascii_lowercase, k=60)) + line + "".join(rng.choices(string.ascii_lowercase, k=60)) for _ in range(6000)]
+    block = pa.Table.from_batches([pa.record_batch({
+        "block": pa.array([0]), "ids": pa.array([list(range(6000))], pa.list_(pa.int64())), "sizes": pa.array([np.full(6000, 195, np.int64).tobytes()], pa.binary()),
+        "text": pa.array(["".join(texts).encode()], pa.binary()), "n_bytes": pa.array([195 * 6000])})])
+    sent = pa.Table.from_batches(list(suffix_dedup.send_anchors(5)(iter(block.to_batches()))))
+    groups = [sent.filter(pa.compute.equal(sent.column("bucket"), b)) for b in sorted(set(sent.column("bucket").to_pylist()))]
+    answers = pa.concat_tables([suffix_dedup.find_repeated(hot)(g) for g in groups])
+    out = suffix_dedup.send_segments(5, 6, 6)(block, answers).to_pylist()
+    load = defaultdict(int)
+    for r in out:
+        load[r["bucket"]] += len(r["text"])
+    assert sum(load.values()) > 1_000_000 and max(load.values()) < 0.05 * sum(load.values())
+
+
 def test_cover_has_every_difference():
     m = suffix_dedup.MODULUS
     assert {(a - b) % m for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(m))
