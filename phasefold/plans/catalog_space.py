@@ -533,7 +533,7 @@ def chunk_table(spark, sf_dir):
 
 @query("chunk_table_augmented")
 def chunk_table_augmented(spark, sf_dir):
-    return pipelines.chunk_table(p_vol(spark, sf_dir), centres(spark, sf_dir), grid_size=GRID_SIZE, max_raw=CAP, max_cells=150, augmented=True, relative=True, seed=11)
+    return pipelines.chunk_table(p_vol(spark, sf_dir), centres(spark, sf_dir), grid_size=GRID_SIZE, augmented=True, relative=True, seed=11)
 
 
 _MIXED = f"SELECT centre_id AS query_id, rank, neigh_id FROM ({patch_sql(K, BOX)})"

@@ -155,3 +155,19 @@ def test_no_cap_keeps_every_row(spark):
 
     df = spark.createDataFrame([(1, i, i % 4 == 0) for i in range(100)], "chunk int, particle_id long, s boolean").withColumn("is_stream", F.col("s").cast("int"))
     assert sampling.chunk_cap(df, ["chunk"], max_raw=0).count() == 100
+
+
+def test_augmented_chunks_keep_their_rows(spark):
+    """Every row of a chunk is in one of its cells, in chunks with more rows than the small cap of ``chunk_cap`` too."""
+    from pyspark.sql import functions as F
+
+    import __spark_entry__ as entry
+    from phasefold.operators import spatial
+    from phasefold.plans import catalog_space
+    from phasefold.plans.fixtures import centres, p_vol
+
+    sf = "/root/testdata/sf0.01"
+    rows = p_vol(spark, sf).select("particle_id", "x", "y", "z")
+    want = {r.centre_id: r["count"] for r in spatial.box_query(centres(spark, sf), rows, 128.0).groupBy("centre_id").count().collect()}
+    got = {r.centre_id: r.n for r in entry.queries()["chunk_table_augmented"](spark, sf).groupBy("centre_id").agg(F.sum("n").alias("n")).collect()}
+    assert max(want.values()) > catalog_space.CAP and got == want
