@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phasefold.llm import chat, exact_dedup, filter_audit, lm_scoring, merkle, mixing, near_dedup, packing, quality, suffix_dedup, token_counts
+from phasefold.llm import chat, exact_dedup, filter_audit, language_id, lm_scoring, merkle, mixing, near_dedup, packing, quality, repair, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -208,3 +208,91 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
        good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM summed""")
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+#: Edits of the repair search as SQL over labels "cost, six digits, then the audit" of the four grammar states.
+def _step(label: str, cost: str, edit: str) -> str:
+    return f"CASE WHEN {label} IS NOT NULL THEN printf('%06d', CAST({label}[1:6] AS INTEGER) + {cost}) || {label}[7:] || '{edit}' END"
+
+
+_CLOSED = f"""SELECT *, least(l3, {_step('m2', '2', 'I')}) AS m3 FROM (
+    SELECT *, least(l2, {_step('l0', '2', 'I')}, {_step('l1', '2', 'I')}, {_step('l3', '2', 'I')}) AS m2 FROM"""
+_TO_USER = f"least({', '.join(_step(m, 'extra', 'K') for m in ('l0', 'l1', 'm3'))})"
+_TO_USER_R = f"least({', '.join(_step(m, '2 + extra', 'R') for m in ('l0', 'l1', 'm3'))})"
+
+
+@query("op12_repair_conversations", rf"""
+WITH RECURSIVE crcs AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS crc_table),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hit AS (
+  SELECT raw.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))),
+                    lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h FROM raw, crcs),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM hit)),
+placed AS (
+  SELECT *, row_number() OVER w AS i, lag(role[1]) OVER w || role[1] AS pair
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+judged AS (
+  SELECT conv_id, i, turn, role, text, role[1] AS x, pair, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' 
+         WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'd'
+         WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 't' ELSE '.' END AS fault FROM placed),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+lattice AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000' AS l0, CAST(NULL AS VARCHAR) AS l1, CAST(NULL AS VARCHAR) AS l2, CAST(NULL AS VARCHAR) AS l3 FROM judged
+  UNION ALL
+  SELECT conv_id, i, {_step('l0', '3', 'D')}, CASE WHEN fault IN ('b', 'd') THEN {_step('l1', '3', 'D')} ELSE least({_step('l1', '3', 'D')}, CASE WHEN x = 's' THEN {_step('l0', 'extra', 'K')} END) END,
+         CASE WHEN fault IN ('b', 'd') THEN {_step('m2', '3', 'D')} ELSE least({_step('m2', '3', 'D')}, CASE WHEN x = 'u' THEN {_TO_USER} END, {_TO_USER_R}) END,
+         CASE WHEN fault IN ('b', 'd') THEN {_step('m3', '3', 'D')} ELSE least({_step('m3', '3', 'D')}, CASE WHEN x = 'a' THEN {_step('m2', 'extra', 'K')} END, {_step('m2', '2 + extra', 'R')}) END
+  FROM ({_CLOSED} (SELECT j.conv_id, j.i, j.x, j.fault, CASE WHEN j.fault = 't' THEN 1 ELSE 0 END AS extra, l0, l1, l2, l3
+        FROM lattice l JOIN judged j ON j.conv_id IS NOT DISTINCT FROM l.conv_id AND j.i = l.i + 1)))),
+found AS (
+  SELECT conv_id, CAST(label[1:6] AS BIGINT) AS cost, label[7:] AS audit
+  FROM (SELECT conv_id, least(l0, m3) AS label FROM ({_CLOSED} (SELECT l.* FROM lattice l JOIN counts c ON l.conv_id IS NOT DISTINCT FROM c.conv_id AND l.i = c.n))))),
+walked AS (
+  SELECT conv_id, audit, CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS i, '' AS last_, '' AS body FROM found
+  UNION ALL
+  SELECT conv_id, audit, p + 1, at_, CASE WHEN e = 'D' THEN last_ WHEN e = 'K' THEN x ELSE CASE WHEN last_ = 'u' THEN 'a' ELSE 'u' END END,
+         CASE WHEN e = 'D' THEN body ELSE body || CASE WHEN last_ = '' THEN '' ELSE chr(10) END
+           || CASE WHEN e = 'K' THEN role WHEN last_ = 'u' THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END END
+  FROM (SELECT w.conv_id, w.audit, w.p, w.last_, w.body, w.audit[w.p + 1] AS e, w.i + CASE WHEN w.audit[w.p + 1] = 'I' THEN 0 ELSE 1 END AS at_, j.x, j.role, j.text
+        FROM walked w LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1 AND w.audit[w.p + 1] <> 'I' WHERE w.p < length(w.audit)))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(f.cost, 0) AS cost, coalesce(f.audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN found f ON o.conv_id IS NOT DISTINCT FROM f.conv_id LEFT JOIN walked w ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND w.p = length(w.audit)""")
+def op12_repair_conversations(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, messages = repair.repair(damage_turns(rows))
+    digests = repair.message_digests(messages).withColumnRenamed("conv_id", "d")
+    all_ids = rows.select(F.col("conv_id").alias("id")).distinct()
+    joined = all_ids.join(report, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id").join(digests, F.col("id").eqNullSafe(F.col("d")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select(F.col("id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+                         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def damage_turns(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults planted by the hash of their place: dropped, emptied, unpunctuated, repeated, or all users."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = rows.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), (F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20).alias("h"))
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.array_repeat(F.lit(0), F.when(F.col("h") == 3, 2).otherwise(1))
+    return hit.filter("h != 0").select("conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(times).alias("_")).drop("_")
+
+
+@query("op11_language_id")
+def op11_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    model = language_id.train(docs.filter(~held_out))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
