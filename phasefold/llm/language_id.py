@@ -69,8 +69,13 @@ class Model:
 
 def letters(text: Column) -> Column:
     """Lower-cased letters (with their marks); every other run is one space, one at either end; empty without a letter."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " ")
-    return F.when(bare.rlike(r"\p{L}"), F.concat(F.lit(" "), F.trim(bare), F.lit(" "))).otherwise("")
+    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
+    return F.when(has_letter(text), F.concat(F.lit(" "), F.trim(bare), F.lit(" "))).otherwise("")
+
+
+def has_letter(text: Column) -> Column:
+    """False for a null text; looks no further than the first letter."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
 def slots_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,18 +215,18 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     """A model of the rows with a language and a letter; None if there are none."""
     s = settings
     draw = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), draw.alias("draw"), letters(F.col(text_col)).alias("text")).filter("text != ''")
+    rows = docs.filter(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(F.col(lang_col).cast("string").alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
-    frequencies = document_frequencies(rows.select("text"))
+    frequencies = document_frequencies(rows.select(letters(F.col("text")).alias("text")))
     idf = np.log((1.0 + frequencies[-1]) / (1.0 + frequencies[:-1])) + 1.0
     # one row a language: its number and the share of its documents that is drawn
     rates = docs.sparkSession.createDataFrame([(x, i, min(1.0, s.per_class / sizes[x])) for i, x in enumerate(languages)], "lang string, label int, rate double")
     drawn = rows.join(F.broadcast(rates), "lang").filter(F.pmod("draw", F.lit(1 << 20)) < F.col("rate") * (1 << 20))
     fold = F.pmod(F.shiftright("draw", 20), F.lit(10 * s.shards))
-    sample = materialize(drawn.select("label", "text", fold.alias("fold"), "draw"), "sample")
+    sample = materialize(drawn.select("label", letters(F.col("text")).alias("text"), fold.alias("fold"), "draw"), "sample")
     learnt = sample.filter(F.col("fold") >= s.shards).repartition(s.shards, F.pmod("fold", F.lit(s.shards))).sortWithinPartitions("draw", "text").select("label", "text")
     z, n = np.zeros((len(languages), (1 << BITS) + 1)), np.zeros((len(languages), (1 << BITS) + 1))
     model = Model(languages, idf, np.zeros((len(languages), 1 << BITS)), np.zeros(len(languages)))
@@ -249,17 +254,17 @@ def _predict_rows(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
             p = softmax(_scores(model, batch.column("text")) / model.temperature)
-            best = p.argmax(axis=0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.languages[i] for i in best], pa.string()), pa.array(p[best, np.arange(len(best))])],
-                                             names=["doc_id", "lang_pred", "score"])
+            best, top = p.argmax(axis=0), p.max(axis=0)
+            known = np.diff(text_buffers(batch.column("text"))[1]) > 0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.languages[i] if k else UNDETERMINED for i, k in zip(best, known)], pa.string()),
+                                              pa.array(np.where(known, top, 0.0))], names=["doc_id", "lang_pred", "score"])
 
     return predict
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row; only the text decides."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), letters(F.col(text_col)).alias("text"))
-    blank = (rows if model is None else rows.filter("text = ''")).select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    ids = F.col(id_col).cast("bigint").alias("doc_id")
     if model is None:
-        return blank
-    return rows.filter("text != ''").mapInArrow(_predict_rows(model), "doc_id long, lang_pred string, score double").unionByName(blank)
+        return docs.select(ids, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    return docs.select(ids, letters(F.col(text_col)).alias("text")).mapInArrow(_predict_rows(model), "doc_id long, lang_pred string, score double")
