@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
 from phasefold.functions.phase import prior_correct
 from phasefold.operators.metrics import average_precision, roc_auc, select_threshold, select_top_fraction
-from phasefold.session import ensure_checkpoint_dir
+from phasefold.session import cut_lineage, ensure_checkpoint_dir
 
 # Boosting defaults.
 GBT_DEFAULTS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
@@ -51,8 +53,6 @@ def select_scores(scored: DataFrame, pi_train: float = 0.5, pi_test: float = 0.0
 
 def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     """gain, weight, cover and their totals per feature, raw and normalised, ranked by gain."""
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.active()
     path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
     model.stages[-1].write().overwrite().save(path)
@@ -72,26 +72,159 @@ def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFra
     return out.drop(*[f"_{k}" for k in kinds]).orderBy(F.col("gain_norm").desc(), "feature_index")
 
 
-def gbt_eval_history(model: PipelineModel, df: DataFrame, label: str = "is_stream") -> DataFrame:
-    """Log-loss, AUC and average precision after every boosting round.
+def node_table(model: PipelineModel) -> DataFrame:
+    """The trees as rows: tree, node, feature (-1 at a leaf), threshold, left, right, prediction, weight.
 
-    Per-tree predictions are scored once; the running margin of each round is a
-    prefix sum over the row's own tree outputs.
+    At most rounds x 2^(depth + 1) rows, whatever the training data.
     """
+    spark = SparkSession.active()
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    model.stages[-1].write().overwrite().save(path)
+    return read_nodes(spark, path, model.stages[-1].treeWeights)
+
+
+def read_nodes(spark: SparkSession, path: str, weights: Sequence[float]) -> DataFrame:
+    """``node_table`` of saved boosted trees with the given tree weights."""
+    node = F.col("nodeData")
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), node["id"].alias("node"), F.when(node["leftChild"] >= 0, node["split"]["featureIndex"]).otherwise(-1).alias("feature"),
+        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
+        node["prediction"].alias("prediction"), F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("treeID") + 1).alias("weight"))
+
+
+def node_margins(df: DataFrame, nodes: DataFrame, features: Sequence[str], depth: int = GBT_DEFAULTS["maxDepth"]) -> DataFrame:
+    """Adds ``node_margin``: the margin by SQL alone, every tree walked down its node table of at most ``depth`` levels.
+
+    An independent check of a saved model; the trees travel as one row of bounded size.
+    """
+    fields = ("feature", "threshold", "left", "right")
+    trees = nodes.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("node", *fields, (F.col("prediction") * F.col("weight")).alias("value")))).alias("n"))
+    forest = trees.agg(F.transform(F.sort_array(F.collect_list(F.struct("tree", "n"))), lambda t: t["n"]).alias("_forest"))
+    step = "IF(t[at].feature < 0, at, IF(_x[t[at].feature] <= t[at].threshold, t[at].left, t[at].right))"
+    rows = df.withColumn("_x", F.array(*[F.col(f).cast("double") for f in features])).join(F.broadcast(forest))
+    walk = f"2D * aggregate(_forest, 0D, (s, t) -> s + t[aggregate(sequence(1, {depth}), 0, (at, i) -> {step})].value)"
+    return rows.withColumn("node_margin", F.expr(walk)).drop("_x", "_forest")
+
+
+def _staged_kernel(nodes: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Function from (n, features) to (rounds, n): the margin (log-odds) after every boosting round."""
+    rows = nodes.orderBy("tree", "node").toPandas()
+    trees = []
+    for _, t in rows.groupby("tree", sort=True):
+        if not np.array_equal(t.node, np.arange(len(t))):
+            raise ValueError("a tree's nodes must be numbered from 0")
+        trees.append(tuple(t[c].to_numpy() for c in ("feature", "threshold", "left", "right", "prediction")) + (float(t.weight.iloc[0]),))
+
+    def margins(x: np.ndarray) -> np.ndarray:
+        out, every = np.empty((len(trees), len(x))), np.arange(len(x))
+        for i, (feature, threshold, left, right, prediction, weight) in enumerate(trees):
+            at = np.zeros(len(x), np.int64)
+            while True:
+                inner = feature[at] >= 0
+                if not inner.any():
+                    break
+                low = x[every, np.maximum(feature[at], 0)] <= threshold[at]
+                at = np.where(inner, np.where(low, left[at], right[at]), at)
+            out[i] = prediction[at] * weight
+        return 2.0 * np.cumsum(out, axis=0)
+
+    return margins
+
+
+def staged_scores(model: PipelineModel, df: DataFrame, label: str = "is_stream", carry: Sequence[str] = ()) -> DataFrame:
+    """(carry..., y_true, round, prob): one row per row and round, each tree walked once."""
+    features, margins, carry = model.stages[0].getInputCols(), _staged_kernel(node_table(model)), list(carry)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                m = margins(np.column_stack([part.column(f).to_numpy(zero_copy_only=False) for f in features]))
+                take = pa.array(np.tile(np.arange(m.shape[1]), len(m)))
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c).take(take) for c in carry], part.column("y_true").take(take), pa.array(np.repeat(np.arange(len(m), dtype=np.int32), m.shape[1])),
+                     pa.array(1.0 / (1.0 + np.exp(-m.ravel())))], names=[*carry, "y_true", "round", "prob"])
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in carry], "y_true int, round int, prob double"])
+    return df.select(*carry, F.col(label).cast("int").alias("y_true"), *[F.col(f).cast("double") for f in features]).mapInArrow(spread, schema)
+
+
+def _log_loss(prob: Column) -> Column:
+    clipped = F.least(F.greatest(prob, F.lit(1e-15)), F.lit(1.0 - 1e-15))
+    return -F.log(F.when(F.col("y_true") == 1, clipped).otherwise(1.0 - clipped))
+
+
+def staged_losses(model: PipelineModel, df: DataFrame, label: str = "is_stream") -> DataFrame:
+    """(round, logloss): a task sends one sum a round, not its rows."""
+    features, margins = model.stages[0].getInputCols(), _staged_kernel(node_table(model))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = 0.0, 0
+        for batch in batches:
+            x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features])
+            p = np.clip(1.0 / (1.0 + np.exp(-margins(x))), 1e-15, 1.0 - 1e-15)
+            total = total - np.log(np.where(batch.column("y_true").to_numpy() == 1, p, 1.0 - p)).sum(axis=1)
+            n += batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), n))], names=["round", "loss", "n"])
+
+    rows = df.select(F.col(label).cast("int").alias("y_true"), *[F.col(f).cast("double") for f in features]).mapInArrow(sums, "round int, loss double, n bigint")
+    return rows.groupBy("round").agg((F.sum("loss") / F.sum("n")).alias("logloss"))
+
+
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """The round to keep: the best one before ``patience`` rounds passed without a better one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best
+
+
+def first_rounds(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The same model with its first boosting rounds only."""
     trees = model.stages[-1]
-    data = model.stages[0].transform(df).withColumn("y_true", F.col(label).cast("int"))
-    outs = []
-    for i, (tree, weight) in enumerate(zip(trees.trees, trees.treeWeights)):
-        data = tree.setPredictionCol(f"_t{i}").transform(data)
-        outs.append(F.col(f"_t{i}") * F.lit(float(weight)))
-    margin, rounds = F.lit(0.0), []
-    for i, out in enumerate(outs):
-        margin = margin + out
-        rounds.append(F.struct(F.lit(i).alias("round"), (2.0 * margin).alias("m")))
-    long = data.select("y_true", F.inline(F.array(*rounds))).withColumn("prob", 1.0 / (1.0 + F.exp(-F.col("m"))))
-    clipped = F.least(F.greatest(F.col("prob"), F.lit(1e-15)), F.lit(1.0 - 1e-15))
-    loss = long.groupBy("round").agg(F.avg(-F.log(F.when(F.col("y_true") == 1, clipped).otherwise(1.0 - clipped))).alias("logloss"))
-    return loss.join(roc_auc(long, ["round"]), "round").join(average_precision(long, ["round"]), "round").orderBy("round")
+    jvm, gateway = SparkSession.active()._jvm, SparkSession.active().sparkContext._gateway
+    kept = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        kept[i], weights[i] = trees.trees[i]._java_obj, float(trees.treeWeights[i])
+    java = jvm.org.apache.spark.ml.classification.GBTClassificationModel(trees.uid, kept, weights, trees.numFeatures, trees.numClasses)
+    cut = GBTClassificationModel(trees._java_obj.copyValues(java, trees._java_obj.extractParamMap()))
+    cut._resetUid(trees.uid)
+    cut._transfer_params_from_java()
+    return PipelineModel(stages=[*model.stages[:-1], cut])
+
+
+def train_gbt_patient(train: DataFrame, validation: DataFrame, features: Sequence[str], label: str = "is_stream", patience: int = 25, **params) -> tuple[PipelineModel, dict]:
+    """Boosted trees cut at the best validation round: (model, {best_iteration, best_score, rounds}).
+
+    All rounds are grown, then the validation rows are scored once for every round.  The best round is the one that
+    no better one followed within ``patience`` rounds, so later rounds can't change the answer.
+    """
+    full = train_gbt(train, features, label, **params)
+    losses = [r.logloss for r in staged_losses(full, validation, label).orderBy("round").collect()]  # one row per round
+    if not losses:
+        raise ValueError("no validation rows")
+    best = best_round(losses, patience)
+    return first_rounds(full, best + 1), {"best_iteration": best, "best_score": float(losses[best]), "rounds": len(losses)}
+
+
+def gbt_eval_history(model: PipelineModel, sets: DataFrame | dict[str, DataFrame], label: str = "is_stream") -> DataFrame:
+    """Log-loss, AUC and average precision after every boosting round; with named sets one block of rows a set (``set``)."""
+    named = {"": sets} if isinstance(sets, DataFrame) else sets
+    long = None
+    for name, df in named.items():
+        part = staged_scores(model, df, label).withColumn("set", F.lit(name))
+        long = part if long is None else long.unionByName(part)
+    long = cut_lineage(long)
+    keys = ["set", "round"]
+    loss = long.groupBy(*keys).agg(F.avg(_log_loss(F.col("prob"))).alias("logloss"))
+    out = loss.join(roc_auc(long, keys), keys).join(average_precision(long, keys), keys).orderBy(*keys)
+    return out.drop("set") if isinstance(sets, DataFrame) else out
 
 
 def train_mlp(train: DataFrame, features: Sequence[str], label: str = "is_stream", hidden: Sequence[int] = (32, 64), **params) -> PipelineModel:
@@ -108,3 +241,62 @@ def batch_scorer(make_predict: Callable, width: int, batch_size: int = 4096) ->
     a function of a (batch, width) float matrix giving one score per row."""
     scorer = predict_batch_udf(make_predict, return_type=DoubleType(), batch_size=batch_size, input_tensor_shapes=[[width]])
     return lambda cols: scorer(F.array(*[c.cast("float") for c in cols]))
+
+
+def score_tiles(cells: DataFrame, tile: Sequence[str], features: Sequence[str], make_predict: Callable, max_cells: int = 262_144, order: Sequence[str] = (),
+                prob: str = "prob") -> DataFrame:
+    """Score cells by a model that looks at whole tiles: the cells with a column ``prob``.
+
+    ``make_predict()`` loads the model once a task and returns ``f(matrix, offsets)``: the cells of several tiles below
+    each other, tile i in rows offsets[i] to offsets[i + 1], one score per cell.  A call gets at most ``max_cells``
+    cells, the bound of a device's memory; a tile above it is handed over in runs of that many cells, ``order`` first,
+    as tiles of their own.  Cells are streamed, so a task holds one call's cells, whatever a tile holds.
+    """
+    if max_cells < 1 or not tile:
+        raise ValueError("score_tiles needs tile columns and a positive max_cells")
+    tile, features, carried = list(tile), list(features), cells.columns
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict, held, sizes, last = make_predict(), [], [], None
+
+        def call() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            matrix = np.column_stack([rows.column(f).to_numpy(zero_copy_only=False) for f in features])
+            out = np.asarray(predict(matrix, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), dtype=np.float64)
+            if out.shape != (rows.num_rows,):
+                raise ValueError(f"the scorer returned {out.shape} for {rows.num_rows} cells")
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(out)], names=[*carried, prob])
+
+        for batch in batches:
+            keys = list(zip(*[batch.column(t).to_pylist() for t in tile]))
+            at = 0
+            while at < batch.num_rows:
+                end = at + 1
+                while end < batch.num_rows and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != last or not sizes:
+                    sizes.append(0)
+                last = keys[at]
+                if sum(sizes) + end - at > max_cells and len(sizes) > 1:
+                    # the tile that is still growing moves to the next call, the finished ones are scored
+                    flat, grown = pa.Table.from_batches(held), sizes[-1]
+                    held, sizes = flat.slice(0, flat.num_rows - grown).to_batches(), sizes[:-1]
+                    yield call()
+                    held, sizes = flat.slice(flat.num_rows - grown).to_batches() if grown else [], [grown]
+                elif sizes[0] == max_cells:
+                    yield call()  # a tile above the bound goes on as a tile of its own
+                    held, sizes = [], [0]
+                take = min(end - at, max_cells - sum(sizes))
+                held.append(batch.slice(at, take))
+                sizes[-1] += take
+                at += take
+        if sum(sizes):
+            yield call()
+
+    laid = cells.repartition(*tile).sortWithinPartitions(*tile, *order)
+    schema = ", ".join([*_typed(cells), f"{prob} double"])
+    return laid.mapInArrow(score, schema)
+
+
+def _typed(df: DataFrame) -> list[str]:
+    return [f"`{name}` {kind}" for name, kind in df.dtypes]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phasefold.functions.linalg import with_eigenvalues
@@ -40,44 +42,73 @@ def explode_patch(patches: DataFrame, id_col: str, floor_radius: bool = False, k
     return q.withColumns({f"d{c}": F.col(f"n_{c}") - F.col(f"q_{c}") for c in ("x", "y", "z")})
 
 
-def _summaries(edges: DataFrame, id_col: str, keep: Sequence[str], align: str) -> DataFrame:
-    """All summaries in one hash aggregate; the edges of a centre arrive together, so partial aggregation folds them."""
-    dist = norm(F.col("dx"), F.col("dy"), F.col("dz"))
-    lmag = F.greatest(F.col("n_lmag"), F.lit(1e-6)) if align == "floor" else F.col("n_lmag") + F.lit(1e-6)
-    pairs = {"xx": ("dx", "dx"), "yy": ("dy", "dy"), "zz": ("dz", "dz"), "xy": ("dx", "dy"), "xz": ("dx", "dz"), "yz": ("dy", "dz")}
-    out = edges.groupBy(id_col, *keep).agg(
-        *[F.first(f"q_{c}").alias(f"centre_{c}") for c in ("r", "vr", "speed", "vt", "lmag")],
-        F.avg(dist).alias("mean_dist"), F.max(dist).alias("max_dist"),
-        F.max(F.when(F.col("rank") == F.floor(F.col("_len") / 2), dist)).alias("kth_dist"),
-        *[f(f"n_{v}").alias(f"_{n}_{v}") for v in ("vx", "vy", "vz") for n, f in (("m", F.avg), ("s", F.var_pop))],
-        F.stddev_pop("n_vr").alias("sigma_vr"),
-        *[F.covar_pop(a, b).alias(f"_c{n}") for n, (a, b) in pairs.items()],
-        *[F.avg(F.col(f"n_{c}") / lmag).alias(f"_h{c}") for c in ("lx", "ly", "lz")],
-        F.avg(F.col("n_speed") / F.greatest(F.col("q_speed"), F.lit(1e-6))).alias("mean_speed_ratio"),
-        F.avg(F.abs(F.col("n_vr") - F.col("q_vr"))).alias("mean_abs_dvr"),
-        F.avg("n_vt").alias("mean_vt"), F.avg("n_lmag").alias("_lm"),
-    )
-    mean = (F.col("_m_vx") + F.col("_m_vy") + F.col("_m_vz")) / 3.0
-    pooled = F.lit(0.0)
-    for v in ("vx", "vy", "vz"):
-        pooled = pooled + F.col(f"_s_{v}") + (F.col(f"_m_{v}") - mean) * (F.col(f"_m_{v}") - mean)
-    out = out.withColumns({
-        "sigma_v": F.sqrt(pooled / 3.0), "l_align": norm(F.col("_hlx"), F.col("_hly"), F.col("_hlz")),
-        "lmag_ratio": F.col("_lm") / F.greatest(F.col("centre_lmag"), F.lit(1e-6)),
-    })
-    out = with_eigenvalues(out, ["_cxx", "_cyy", "_czz", "_cxy", "_cxz", "_cyz"])
+_AXES = {"xx": (0, 0), "yy": (1, 1), "zz": (2, 2), "xy": (0, 1), "xz": (0, 2), "yz": (1, 2)}
+_MOMENTS = [*[f"centre_{c}" for c in ("r", "vr", "speed", "vt", "lmag")], "mean_dist", "max_dist", "kth_dist", "sigma_v", "sigma_vr",
+            *[f"_c{n}" for n in _AXES], "l_align", "mean_speed_ratio", "mean_abs_dvr", "mean_vt", "lmag_ratio"]
+
+
+def _length(v: np.ndarray) -> np.ndarray:
+    return np.sqrt(v[:, 0] ** 2 + v[:, 1] ** 2 + v[:, 2] ** 2)
+
+
+def _phase_rows(rows: np.ndarray, floor_radius: bool) -> tuple[np.ndarray, ...]:
+    """r, vr, speed, vt and the angular momentum of (n, 6) base rows."""
+    pos, vel = rows[:, :3], rows[:, 3:]
+    r, speed = _length(pos), _length(vel)
+    vr = (pos * vel).sum(axis=1) / (np.maximum(r, 1e-8) if floor_radius else np.where(r == 0.0, 1e-8, r))
+    return r, vr, speed, np.sqrt(np.maximum(speed * speed - vr * vr, 0.0)), np.cross(pos, vel)
+
+
+def _moments(centres: np.ndarray, rows: np.ndarray, sizes: np.ndarray, floor_radius: bool, align: str) -> list[np.ndarray]:
+    """The columns ``_MOMENTS`` of patches whose rows follow each other, ``sizes`` rows each."""
+    starts = np.cumsum(sizes) - sizes
+    mean = lambda v: np.add.reduceat(v, starts) / sizes
+    spread = lambda v: np.repeat(v, sizes)
+    q_r, q_vr, q_speed, q_vt, q_mom = _phase_rows(centres, floor_radius)
+    _, vr, speed, vt, mom = _phase_rows(rows, floor_radius)
+    offset = rows[:, :3] - np.repeat(centres[:, :3], sizes, axis=0)
+    dist, lmag, q_lmag = _length(offset), _length(mom), _length(q_mom)
+    scale = np.maximum(lmag, 1e-6) if align == "floor" else lmag + 1e-6
+    variance = lambda v: mean((v - spread(mean(v))) ** 2)
+    v_mean = np.mean([mean(rows[:, i]) for i in (3, 4, 5)], axis=0)
+    pooled = np.mean([mean((rows[:, i] - spread(v_mean)) ** 2) for i in (3, 4, 5)], axis=0)
+    apart = [offset[:, i] - spread(mean(offset[:, i])) for i in range(3)]
+    heading = _length(np.column_stack([mean(mom[:, i] / scale) for i in range(3)]))
+    return [q_r, q_vr, q_speed, q_vt, q_lmag, mean(dist), np.maximum.reduceat(dist, starts), dist[starts + sizes // 2], np.sqrt(pooled), np.sqrt(variance(vr)),
+            *[mean(apart[i] * apart[j]) for i, j in _AXES.values()], heading, mean(speed / spread(np.maximum(q_speed, 1e-6))),
+            mean(np.abs(vr - spread(q_vr))), mean(vt), mean(lmag) / np.maximum(q_lmag, 1e-6)]
+
+
+def _summaries(patches: DataFrame, id_col: str, keep: Sequence[str], floor_radius: bool, align: str) -> DataFrame:
+    """All summaries of a patch from its own array, without a row per neighbour and without a shuffle; empty patches have none."""
+    carried = list(dict.fromkeys([id_col, *keep]))
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("patch")
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            flat = lists.flatten()
+            rows = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in BASE])
+            centres = np.column_stack([batch.column(f"_{c}").to_numpy(zero_copy_only=False) for c in BASE])
+            columns = _moments(centres, rows, sizes, floor_radius, align) if len(sizes) else [np.zeros(0)] * len(_MOMENTS)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *[pa.array(c, pa.float64()) for c in columns]], names=[*carried, *_MOMENTS])
+
+    kinds = dict(patches.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in carried], *[f"{m} double" for m in _MOMENTS]])
+    rows = patches.where(F.size("patch") > 0).select(*carried, *[F.col(c).cast("double").alias(f"_{c}") for c in BASE], "patch")
+    out = with_eigenvalues(rows.mapInArrow(summarise, schema), [f"_c{n}" for n in _AXES])
     return out.withColumns({"anis_ratio": F.col("l_max") / F.col("l_min"), "flatness": F.col("l_mid") / F.col("l_max")})
 
 
 def patch_features16(patches: DataFrame, id_col: str = "particle_id", keep: Sequence[str] = ()) -> DataFrame:
     """The 16 scalar features of the boosted-tree classifier: 5 of the centre, 11 of its patch."""
-    out = _summaries(explode_patch(patches, id_col, floor_radius=True, keep=keep), id_col, keep, align="floor")
+    out = _summaries(patches, id_col, keep, floor_radius=True, align="floor")
     return out.select(id_col, *keep, *CENTRE_FEATURES, *[F.col(s).alias(f"patch_{s}") for s in SUMMARY_11])
 
 
 def patch_summary12(patches: DataFrame, id_col: str = "particle_id", keep: Sequence[str] = ()) -> DataFrame:
     """The 12 summaries of the patch classifier."""
-    out = _summaries(explode_patch(patches, id_col, keep=keep), id_col, keep, align="add")
+    out = _summaries(patches, id_col, keep, floor_radius=False, align="add")
     return out.select(id_col, *keep, *SUMMARY_12)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from phasefold.functions import phase
 from phasefold.functions.hashing import hash32, hash32_sql
-from phasefold.operators import augment, blending, neighbours, patches, sampling, serial, spatial, voxels
+from phasefold.operators import augment, blending, learning, neighbours, patches, sampling, serial, spatial, voxels
 from phasefold.plans import pipelines
 from phasefold.plans.catalog_rows import BASE, eigen_sql, scales_sql
 from phasefold.plans.fixtures import centres, p_patch, p_vol, phase_sql, query, rd_sql, rounded, with_views
@@ -619,6 +619,30 @@ def tiled_inference(spark, sf_dir):
     return rounded(pipelines.tiled_inference(p_vol(spark, sf_dir), _analytic, grid_size=GRID_SIZE)["predictions"], BLEND_DIGITS)
 
 
+def _mean_centred():
+    """A stand-in for a network over a tile: how far a cell's radius lies above the tile's mean."""
+
+    def predict(matrix, offsets):
+        import numpy as np
+
+        means = np.add.reduceat(matrix[:, 0], offsets[:-1]) / np.diff(offsets)
+        return 1.0 / (1.0 + np.exp(-4.0 * (matrix[:, 0] - np.repeat(means, np.diff(offsets)))))
+
+    return predict
+
+
+@query("tile_scorer", with_views(
+    blend_sql("pairs"), "p_vol", **TILED_VIEWS,
+    percell="SELECT ck, " + ", ".join(f"floor(c{i} / grid_eff) AS f{i}" for i in range(6)) + ", avg(s_r) AS mean_r FROM ready GROUP BY ALL",
+    centred="SELECT *, 1 / (1 + exp(-4 * (mean_r - avg(mean_r) OVER (PARTITION BY ck)))) AS prob FROM percell",
+    pairs="SELECT m.ck, particle_id, x, y, z, cx, cy, cz, prob FROM (SELECT *, " + ", ".join(f"floor(c{i} / grid_eff) AS f{i}" for i in range(6))
+          + " FROM ready) m JOIN centred USING (ck, f0, f1, f2, f3, f4, f5)"))
+def tile_scorer(spark, sf_dir):
+    """Tiles scored by a function that sees a tile's whole cell set."""
+    scorer = lambda cells: learning.score_tiles(cells, pipelines.TILE, ["mean_r"], _mean_centred, order=voxels.GRID)
+    return rounded(pipelines.tiled_inference(p_vol(spark, sf_dir), scorer, grid_size=GRID_SIZE)["predictions"], BLEND_DIGITS)
+
+
 @query("coverage_summary", with_views(
     "SELECT CAST(count(DISTINCT particle_id) AS BIGINT) AS covered_particles, CAST((SELECT count(*) FROM p_vol) - count(DISTINCT particle_id) AS BIGINT) AS uncovered_particles FROM members",
     "p_vol", full14="SELECT * FROM p_vol", tiled=TILES, kept=KEPT, members=TILE_MEMBERS))

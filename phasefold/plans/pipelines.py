@@ -10,10 +10,8 @@ from phasefold.functions.hashing import hash32
 from phasefold.functions.order import HELD_ROWS, exact_quantiles, held_quantiles, largest_group
 from phasefold.functions.phase import (BASE, MIN_SCALE, SCALE_QUANTILE, dimensionless, feature_stats, norm, phase_columns,
                                        phase_coord6, resolve_context, resolve_features)
-from phasefold.operators import augment, blending, learning, neighbours, patches, sampling, spatial, voxels
+from phasefold.operators import augment, blending, flagship, learning, neighbours, patches, sampling, spatial, voxels
 from phasefold.session import cut_lineage, small_side
-from phasefold.sources.cleaning import clean_snapshot, default_columns
-from phasefold.sources.sinks import particle_outputs
 
 TILE = ("ti", "tj", "tk")
 PAYLOAD = list(BASE)
@@ -75,20 +73,24 @@ def tiled_members(particles: DataFrame, size: float, stride: float, min_particle
     return members, tiles
 
 
-def tiled_inference(particles: DataFrame, scorer: Callable[[DataFrame], Column], size: float = 128.0, stride: float = 64.0,
+def tiled_inference(particles: DataFrame, scorer: Callable[[DataFrame], Column | DataFrame], size: float = 128.0, stride: float = 64.0,
                     min_particles: int = 1, strategy: str = "central_shell", grid_size: float = 4.0, feature_set: str = "all",
                     edge_weight: float = 0.10) -> dict[str, DataFrame]:
     """Tile -> sparse cells -> score -> back-map -> Gaussian blend, all tiles in parallel.
 
-    ``scorer`` turns the cell table into a probability column.  Returns the
+    ``scorer`` turns the cell table into a probability column, or into the table with one
+    (``learning.score_tiles`` for models that need a tile's whole cell set).  Returns the
     blended predictions, the per-(tile, particle) scores and the tile table.
     """
-    members, tiles = tiled_members(phase_columns(particles), size, stride, min_particles, strategy)
-    # scales, cells, back-map and summary all read the members: tiles are assigned once
+    narrow = particles.select("particle_id", *BASE, *[c for c in ("is_stream",) if c in particles.columns])
+    members, tiles = tiled_members(narrow, size, stride, min_particles, strategy)
+    # scales, cells, back-map and summary all read the members: tiles are assigned once, derived columns made after
     members = cut_lineage(members)
     centre = [F.col(c) for c in spatial.CENTRE]
-    ready, cells = cell_pipeline(members, TILE, centre, feature_set, grid_size, keep_raw=True)
-    scored_cells = cells.withColumn("prob", scorer(cells))
+    ready, cells = cell_pipeline(phase_columns(members), TILE, centre, feature_set, grid_size, keep_raw=True,
+                                 label="is_stream" if "is_stream" in particles.columns else None)
+    answer = scorer(cells)
+    scored_cells = answer if isinstance(answer, DataFrame) else cells.withColumn("prob", answer)
     pairs = voxels.cell_to_particle(
         ready.select("particle_id", "x", "y", "z", *spatial.CENTRE, *TILE, *voxels.COORD6, "grid_eff"), scored_cells, TILE, ["prob"])
     blended = blending.gaussian_blend(pairs, size, edge_weight, particles=particles)
@@ -146,11 +148,8 @@ def gbt_pipeline(train: DataFrame, snapshot: DataFrame, k: int = 48, pi_test: fl
 def gbt_infer(model, snapshot: DataFrame, k: int = 48, pi_test: float = 0.07, top_fraction: float | None = 0.07, prior: bool = True,
               threshold: float = 0.5) -> DataFrame:
     """Clean -> features -> model -> prior correction -> selection -> rich outputs."""
-    clean = phase_columns(default_columns(clean_snapshot(snapshot), order="particle_id"), 8, "floor")
-    features = patch_feature_table(clean, k)
-    scored = learning.score(model, features).withColumn("logit", F.col("margin"))
-    chosen = learning.select_scores(scored, pi_test=pi_test, prior=prior, top_fraction=top_fraction, threshold=threshold)
-    return particle_outputs(clean.join(chosen, "particle_id"), patches.FEATURES_16)
+    chosen = {"test_prior": pi_test, "correct_prior": prior, "top_fraction": 2.0 if top_fraction is None else top_fraction, "threshold": threshold}
+    return flagship.assemble(model, k, **chosen).transform(snapshot)
 
 
 def chunk_table(particles: DataFrame, centres: DataFrame, size: float = 128.0, grid_size: float = 4.0, max_raw: int = 160_000,

@@ -127,3 +127,31 @@ def test_batch_scorer(spark):
     scorer = learning.batch_scorer(lambda: (lambda m: m.sum(axis=1).astype("float64")), 2)
     df = spark.range(10).select(F.col("id").cast("double").alias("a"), F.lit(2.0).alias("b"))
     assert [r[0] for r in df.select(scorer([F.col("a"), F.col("b")])).collect()] == [i + 2.0 for i in range(10)]
+
+
+@pytest.mark.parametrize("bound", [1000, 40, 17, 5])
+def test_tile_scorer_sees_whole_tiles(spark, bound):
+    """Every tile within the bound reaches one call whole; calls stay within it; larger tiles come in ordered runs."""
+    rng = np.random.default_rng(1)
+    frame = pd.DataFrame({"ti": np.repeat(np.arange(30), rng.integers(1, 18, 30))})
+    frame["g"] = frame.groupby("ti").cumcount()
+    frame["f"] = rng.normal(size=len(frame))
+
+    def make():
+        def predict(matrix, offsets):
+            assert len(matrix) == offsets[-1] <= bound and (np.diff(offsets) > 0).all()
+            out = np.empty(len(matrix))
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                out[a:b] = 1000 * (b - a) + matrix[a:b, 0] - matrix[a:b, 0].mean()
+            return out
+        return predict
+
+    cells = spark.createDataFrame(frame.sample(frac=1, random_state=2)).repartition(5)
+    got = learning.score_tiles(cells, ["ti"], ["f"], make, max_cells=bound, order=["g"]).toPandas().sort_values(["ti", "g"])
+    want = frame.assign(run=frame.g // bound if bound < 17 else 0)
+    size, mean = (want.groupby(["ti", "run"]).f.transform(x) for x in ("size", "mean"))
+    np.testing.assert_allclose(got.prob, 1000 * size + want.f - mean)
+    assert got.f.tolist() == frame.f.tolist()
+    with pytest.raises(ValueError):
+        learning.score_tiles(cells, ["ti"], ["f"], make, max_cells=0)
+    assert learning.score_tiles(cells.limit(0), ["ti"], ["f"], make).count() == 0
