@@ -39,6 +39,17 @@ def scan_splits(spark, sf_dir):
     return rows.groupBy("split", "is_stream").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("particle_id") % 1000).alias("id_sum"))
 
 
+@query("scan_matrix_tree", with_views(
+    "SELECT split, is_stream, CAST(count(*) AS BIGINT) AS n, CAST(sum(particle_id % 1000) AS BIGINT) AS id_sum, " + rd_sql("sum(floor(vr))") + " AS vr_sum FROM full14 WHERE x >= CAST(-100 AS DOUBLE) GROUP BY ALL",
+    "p_vol", full14=phase_sql("p_vol")))
+def scan_matrix_tree(spark, sf_dir):
+    """A written tree of matrix files, read back with pruned columns and a condition at the source."""
+    root = _folder(spark, "tree")
+    matrix_files.write_tree(phase.phase_columns(p_vol(spark, sf_dir), 8), root)
+    rows = matrix_files.read_tree(spark, root, ("training", "validation"), ["split", "is_stream", "particle_id", "vr"], [("x", ">=", -100.0)])
+    return rows.groupBy("split", "is_stream").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("particle_id") % 1000).alias("id_sum"), rd(F.sum(F.floor("vr"))).alias("vr_sum"))
+
+
 @query("file_sizes", "SELECT l_suppkey AS file_id, CAST(count(*) AS BIGINT) AS n_rows FROM lineitem GROUP BY ALL")
 def file_sizes(spark, sf_dir):
     return splits.file_sizes(p_vol(spark, sf_dir))

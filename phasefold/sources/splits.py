@@ -14,9 +14,14 @@ CLASSES = {"streams": 1, "background": 0}
 def scan_splits(spark: SparkSession, root: str, splits: Sequence[str] = SPLITS, layout: str = "plain") -> DataFrame:
     """All rows under ``<root>/<split>/<class>`` with split, is_stream and file_path columns.
 
+    Layouts: ``plain`` and ``hive`` for Parquet, ``npy`` for matrix files (file_id instead of file_path).
     Each directory is its own scan with constant split and class, so a filter on
     either prunes whole directories.  A missing or empty directory is an error.
     """
+    if layout == "npy":
+        from phasefold.sources import matrix_files
+
+        return matrix_files.read_tree(spark, root, splits)
     parts = []
     for split in splits:
         for name, flag in CLASSES.items():

@@ -20,7 +20,8 @@ def test_matrix_source(spark, tmp_path):
     a, b = (got[got.file_id == f].sort_values("row_index") for f in "ab")
     np.testing.assert_allclose(a[["x", "y", "z", "vx", "vy", "vz", "r", "vr"]], wide[:, :8])
     np.testing.assert_allclose(a.mass, wide[:, 9])
-    assert a.particle_id.tolist() == list(range(7, 257)) and b.particle_id.tolist() == list(range(40)) and (b.mass == 1).all()
+    assert a.particle_id.tolist() == list(range(7, 257)) and (b.mass == 1).all()
+    assert b.particle_id.tolist() == [(1 << 40) + i for i in range(40)]  # unique over files
     np.save(tmp_path / "c.npy", plain[:, :7])
     with pytest.raises(Exception, match="must be"):
         spark.read.format("npy_particles").load(str(tmp_path)).count()
@@ -35,6 +36,87 @@ def test_matrix_sink_round_trip(spark, tmp_path, cloud):
         assert sorted(back.particle_id) == sorted(cloud.particle_id.tolist() * times)
 
 
+@pytest.fixture()
+def tree(spark, tmp_path):
+    """Two splits of matrix files, one file without ids in each folder."""
+    rng, rows = np.random.default_rng(2), {}
+    for split in ("training", "validation"):
+        for name in splits.CLASSES:
+            (tmp_path / split / name).mkdir(parents=True)
+            for file, width in (("a", 8), ("b", 10)):
+                rows[split, name, file] = rng.normal(size=(rng.integers(50, 90), width))
+                np.save(tmp_path / split / name / f"{file}.npy", rows[split, name, file])
+    rows["training", "streams", "a"][3, 0] = np.nan
+    np.save(tmp_path / "training" / "streams" / "a.npy", rows["training", "streams", "a"])
+    return str(tmp_path), rows
+
+
+def test_matrix_tree(spark, tree):
+    root, rows = tree
+    got = matrix_files.read_tree(spark, root, ("training", "validation"), split_rows=20).toPandas()
+    assert len(got) == sum(map(len, rows.values()))
+    for (split, name, file), want in rows.items():
+        part = got[(got.split == split) & (got.is_stream == splits.CLASSES[name]) & (got.file_id == file)].sort_values("row_index")
+        np.testing.assert_array_equal(part[list(matrix_files.MATRIX)], want[:, :8])
+    assert got[got.file_id == "a"].particle_id.is_unique  # numbered without an id column
+    via = splits.scan_splits(spark, root, ("validation",), layout="npy")
+    assert via.count() == sum(len(r) for (s, *_), r in rows.items() if s == "validation")
+    with pytest.raises(Exception, match="missing data directory"):
+        matrix_files.read_tree(spark, root).count()
+
+
+def test_matrix_tree_reads_asked_columns_only(spark, tree, monkeypatch):
+    from pyspark.sql.types import StructType
+
+    root, rows = tree
+    asked = matrix_files.read_tree(spark, root, ("training",), ["vx", "is_stream"])
+    assert asked.columns == ["vx", "is_stream"] and asked.count() == sum(len(r) for (s, *_), r in rows.items() if s == "training")
+    reader = matrix_files.MatrixReader({"path": root, "tree": "true", "splits": "training"}, StructType.fromDDL("vx double, is_stream int"))
+    taken = []
+    plain = matrix_files.MatrixReader._column
+    monkeypatch.setattr(matrix_files.MatrixReader, "_column", lambda self, name, *rest: taken.append(name) or plain(self, name, *rest))
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert set(taken) == {"vx", "is_stream"} and all(b.schema.names == ["vx", "is_stream"] for b in batches)
+    with pytest.raises(Exception, match="no such columns"):
+        spark.read.format("npy_particles").schema("speed double").load(root + "/training/streams").count()
+
+
+def test_matrix_headers_are_opened_by_tasks(tree, monkeypatch):
+    from pyspark.sql.types import StructType
+
+    reader = matrix_files.MatrixReader({"path": tree[0], "tree": "true", "splits": "training"}, StructType.fromDDL("x double"))
+    monkeypatch.setattr(np, "load", lambda *a, **k: pytest.fail("planning opened a file"))
+    assert len(reader.partitions()) == 4
+
+
+def test_matrix_conditions_at_the_source(spark, tree):
+    from pyspark.sql.types import StructType
+
+    root, rows = tree
+    options = {"path": root, "tree": "true", "splits": "training,validation", "where": '[["split", "=", "training"], ["x", ">", 0.5]]'}
+    reader = matrix_files.MatrixReader(options, StructType.fromDDL("y double, split string"))
+    assert {p.split for p in reader.partitions()} == {"training"}
+    plain = matrix_files.read_tree(spark, root, ("training", "validation"))
+    for where in ([("split", "=", "training"), ("x", ">", 0.5)], [("vx", "<", 0.0), ("is_stream", "=", 1)], [("file_id", "=", "b"), ("y", "<=", 0.25), ("x", ">=", -1.0)],
+                  [("split", "=", "none")], [("x", "=", float(rows["training", "streams", "b"][0, 0]))]):
+        condition = " AND ".join(f"{c} {how} {repr(v) + 'D' if isinstance(v, float) else repr(v)}" for c, how, v in where)
+        got = matrix_files.read_tree(spark, root, ("training", "validation"), ["particle_id", "y"], where)
+        want = plain.where(condition).select("particle_id", "y")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), condition
+    for bad in ([("mass", "=", 1.0)], [("x", "~", 1.0)]):
+        with pytest.raises(Exception, match="no such conditions"):
+            matrix_files.read_tree(spark, root, ("training",), where=bad).count()
+
+
+def test_matrix_tree_round_trip(spark, tmp_path, cloud):
+    df = spark.createDataFrame(cloud.assign(r=1.0, vr=2.0, mass=3.0)).withColumn("split", F.when(F.col("file_id") == 0, "training").otherwise("validation"))
+    for _ in range(2):  # the second write replaces the first
+        matrix_files.write_tree(df, str(tmp_path), file_rows=100)
+    back = matrix_files.read_tree(spark, str(tmp_path), ("training", "validation")).drop("file_id", "row_index")
+    assert sorted(map(str, back.select("particle_id", "split", "is_stream", *BASE, "mass").collect())) == sorted(
+        map(str, df.select("particle_id", "split", F.col("is_stream").cast("int").alias("is_stream"), *BASE, "mass").collect()))
+
+
 def test_split_scan(spark, tmp_path, cloud):
     df = spark.createDataFrame(cloud)
     for i, split in enumerate(("training", "validation")):
