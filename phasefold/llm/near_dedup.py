@@ -5,15 +5,19 @@
    every sample flips one bit.  The population count of two sketches' XOR
    estimates a high similarity well.
 2. Texts with equal sets are one class; from here on a class is one node.
-3. Nodes that share a band key are a bucket.  Every node is compared with its
-   bucket's smallest node: first sizes, then odd sketches (5 standard errors of
-   slack), then the full sets.  Links make components.
-4. What that star misses: buckets that still hold several components.  Nodes
+3. Nodes that share a band key are a bucket.  In each of ``ROUNDS`` rounds a node
+   asks one partner: of the buckets that hold several components, it takes those
+   whose largest component isn't its own, and of their smallest nodes the
+   smallest one it hasn't asked.  A pair is compared by size, then by odd sketches
+   (4.5 standard errors of slack), then by the full sets.  Links make components.
+   So a round compares no more pairs than there are nodes, however large a group is.
+4. What that misses: buckets that still hold several components.  Nodes
    outside the bucket's largest component meet all nodes of other components of
    that bucket, in blocks of ``BLOCK`` nodes that compare sketches and emit only
    pairs worth confirming, each in the first band that it shares.  A first round
    emits every node's closest partner only, which joins most of a group through
-   its centre; the second emits all pairs that are then still apart.
+   its centre; the second emits all pairs that are then still apart.  Buckets of
+   two need no blocks; their one pair is compared unless it is joined by then.
 
 So no link between texts that share a band is lost, though members of a big
 group are never expanded into pairs.  Bands are chosen so that a pair at the
@@ -48,6 +52,8 @@ SKETCH_WORDS = 32
 #: MinHash samples in a sketch, at least.
 SAMPLES = 512
 BLOCK = 512
+#: Rounds in which each node asks one partner.
+ROUNDS = 3
 #: Sets that meet a hub's set in one task.
 SET_BLOCK = 256
 
@@ -229,12 +235,39 @@ def _sketch_distance(a: str, b: str):
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
 
+def _mixed(shared: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bucket members with their component, and the buckets of several components: size, largest component and its smallest node."""
+    labelled = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    largest = F.max_by(F.struct("comp", "least"), F.struct("n", (-F.col("least")).alias("first")))
+    mixed = per.groupBy("key").agg(F.sum("n").alias("size"), largest.alias("m"), F.max("n").alias("most")).filter("most < size")
+    return labelled, mixed.select("key", "size", "most", F.col("m.comp").alias("major"), F.col("m.least").alias("hub"))
+
+
+def _asked(shared: DataFrame, comps: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """One pair (hub, node) a node: the smallest hub of another component that it shares a bucket with and hasn't asked."""
+    labelled, mixed = _mixed(shared, comps)
+    asks = labelled.join(mixed.select("key", "major", "hub"), "key").filter("comp <> major").select("hub", "node")
+    if seen is not None:
+        asks = asks.join(seen, ["hub", "node"], "left_anti")
+    return asks.groupBy("node").agg(F.min("hub").alias("hub")).select("hub", "node")
+
+
+def _likely(pairs: DataFrame, about: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Of the pairs (hub, node) those whose sizes and sketches allow a link."""
+    sized = pairs.join(about, "node").join(about.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub")
+    near = sized.filter(f"100 * least(n_shingles, hub_n) >= {percent} * greatest(n_shingles, hub_n)")
+    return near.filter(_sketch_distance("sketch", "hub_sketch") <= limit).select("hub", "node")
+
+
 def _apart(shared: DataFrame, comps: DataFrame, full: DataFrame, percent: int, limit: int, closest: bool) -> DataFrame:
     """Pairs (hub, node) of one bucket but different components whose sketches allow a link."""
-    labelled = shared.filter("size > 2").select("key", "band", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = per.groupBy("key").agg(F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("most")).filter("most < size")
-    mixed = labelled.join(materialize(mixed, "mixed"), "key").join(full, "node")
+    labelled, buckets = _mixed(shared, comps)
+    buckets = materialize(buckets, "mixed")
+    labelled = labelled.join(buckets, "key")
+    two = labelled.filter("size = 2").groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("node")).select("hub", "node").distinct()
+    two = _likely(two, full.select("node", "n_shingles", "sketch"), percent, limit)
+    mixed = labelled.filter("size > 2").select("key", "band", "node", "comp", "size", "most", "major").join(full, "node")
     slices = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK))
     left_slices, right_slices = slices(F.col("size") - F.col("most")), slices(F.col("size"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
@@ -246,7 +279,7 @@ def _apart(shared: DataFrame, comps: DataFrame, full: DataFrame, percent: int, l
     if closest:
         best = F.min_by(F.struct("hub", "node"), F.struct("apart", "hub", "node")).alias("b")
         pairs = pairs.groupBy("asker").agg(best).select("b.hub", "b.node")
-    return pairs.select("hub", "node").distinct()
+    return pairs.select("hub", "node").union(two).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -266,24 +299,22 @@ def _grouped(base: DataFrame, k: int, percent: int) -> DataFrame:
     about = classes.select("node", "n_shingles", "sketch")
 
     members = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
-    shared = materialize(members.join(buckets, "key"), "buckets")
-    star = shared.filter("hub <> node").select("hub", "node").distinct()
-    star = star.join(about, "node").join(about.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub")
-    star = star.filter(f"100 * least(n_shingles, hub_n) >= {percent} * greatest(n_shingles, hub_n)").filter(_sketch_distance("sketch", "hub_sketch") <= limit)
-    links = materialize(confirmed_links(star.select("hub", "node"), base, k, percent), "links")
-    comps = materialize(components(links), "components")
-
-    # buckets of three or more that hold several components: those outside the largest meet the others
+    buckets = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = materialize(members.join(buckets, "key").select("key", "band", "node"), "buckets")
     full = classes.select("node", "n_shingles", "sketch", "bands")
-    seen = star.select("hub", "node")
-    for closest in (True, False):
-        rest = materialize(_apart(shared, comps, full, percent, limit, closest).join(seen, ["hub", "node"], "left_anti"), "rest")
-        if rest.isEmpty():
-            continue
-        links = links.union(materialize(confirmed_links(rest, base, k, percent), "links"))
-        comps = materialize(components(links), "components")
-        seen = seen.union(rest)
+    comps, links, seen = about.sparkSession.createDataFrame([], "node long, comp long"), None, None
+    for step in range(ROUNDS + 2):
+        if step < ROUNDS:
+            asked = materialize(_asked(shared, comps, seen), "asked")
+            pairs = materialize(_likely(asked, about, percent, limit), "likely")
+        else:
+            pairs = _apart(shared, comps, full, percent, limit, closest=step == ROUNDS)
+            pairs = asked = materialize(pairs.join(seen, ["hub", "node"], "left_anti"), "rest")
+        seen = asked if seen is None else seen.union(asked)
+        if not pairs.isEmpty():
+            new = materialize(confirmed_links(pairs, base, k, percent), "links")
+            links = new if links is None else links.union(new)
+            comps = materialize(components(links), "components")
 
     labels = classes.select(*by, "node", "lead").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     leads = labels.groupBy("comp").agg(F.min("lead").alias("first"))
@@ -299,5 +330,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     row = free_name(docs, "_row")
     kept = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     base = kept.select(F.col(row).alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    stay = materialize(_grouped(base, k, percent).filter("row = keep_row").select(F.col("row").alias("_stay")), "stay")
-    return kept.join(stay, F.col(row) == F.col("_stay"), "left_semi").drop(row)
+    stay = materialize(_grouped(base, k, percent).filter("row = keep_row").select(F.col("row").alias(row)), "stay")
+    return kept.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from phasefold.llm import exact_dedup, kernels, near_dedup, suffix_dedup
 from tests.llm.conftest import odd_rows
@@ -102,6 +103,49 @@ def test_star_misses_are_found_in_blocks(spark):
     assert all(got[i] == min(j for j in range(40) if root[j] == root[i]) for i in range(40))
 
 
+def test_a_large_group_emits_few_pairs(spark, monkeypatch):
+    """Near copies of one text share many buckets with different smallest nodes; still each asks one partner a round."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(250):
+        words = list(base)
+        for i in rng.sample(range(300), 2):
+            words[i] = f"c{rng.random()}"
+        texts.append(" ".join(words))
+    _, root = near_components(list(enumerate(texts)), 85)
+    emitted = []
+    plain = near_dedup.confirmed_links
+    monkeypatch.setattr(near_dedup, "confirmed_links", lambda pairs, *rest: emitted.append(pairs.count()) or plain(pairs, *rest))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, percent=85).collect()}
+    assert all(got[i] == min(j for j in got if root[j] == root[i]) for i in got)
+    assert max(emitted) <= len(texts) and sum(emitted) <= 2 * len(texts)
+
+
+def test_no_link_at_the_threshold_is_lost(spark):
+    """Pairs of texts just above and below the threshold, many of them, through the whole operator."""
+    rng = random.Random(9)
+    docs = []
+    for pair in range(150):
+        words = [f"p{pair}w{i}" for i in range(rng.randint(60, 120))]
+        other = list(words)
+        first = rng.randrange(5, len(words) - 12)
+        for i in range(first, first + rng.randint(1, 8)):
+            other[i] = f"p{pair}x{i}"
+        docs += [" ".join(words), " ".join(other)]
+    _, root = near_components(list(enumerate(docs)), 85)
+    assert 20 < sum(root[i] == root[i + 1] for i in range(0, 300, 2)) < 130
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), percent=85).collect()}
+    assert all((got[i] == got[i + 1]) == (root[i] == root[i + 1]) for i in range(0, 300, 2))
+
+
+def test_clashing_names_survive(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y")], "doc_id long, text string, _stay string").withColumn("_row", F.lit(1))
+    kept = near_dedup.drop_near_copies(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
 def test_banding_misses_are_rare():
     for percent in (80, 85, 90):
         rows, bands = near_dedup.banding(percent)
