@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phasefold.functions.order import exact_quantiles
-from phasefold.session import cut_lineage
+from phasefold.session import cut_lineage, small_side
 
 PROJECTIONS = {"xy": ("x", "y"), "xz": ("x", "z"), "yz": ("y", "z")}
 
@@ -148,33 +150,83 @@ def component_mask(df: DataFrame, selected: Column, extent: Extent, projection:
     return pixels.join(F.broadcast(cut)).where(F.col("density") >= F.col("density_cut"))
 
 
-def components(mask: DataFrame, bins: int) -> DataFrame:
+def _join_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Union-find over items 0..n-1 and links (a, b): the smallest item of each item's component.
+
+    All links hook their larger root under the smaller one at once, then paths are halved to the roots.
+    """
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            above = root[root]
+            if np.array_equal(above, root):
+                break
+            root = above
+
+
+def _label_block(bins: int) -> Callable[[pa.Table], pa.Table]:
+    """Pixels of one raster block with the smallest raster index of their component inside the block."""
+
+    def label(block: pa.Table) -> pa.Table:
+        px, py = (block.column(c).to_numpy().astype(np.int64) for c in ("px", "py"))
+        pixel = py * bins + px
+        order = np.argsort(pixel)
+        px, py, pixel = px[order], py[order], pixel[order]
+        links = []
+        for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1)):
+            inside = (px + dx >= px.min()) & (px + dx <= px.max())
+            to = pixel + dy * bins + dx
+            at = np.minimum(np.searchsorted(pixel, to), len(pixel) - 1)
+            hit = inside & (pixel[at] == to)
+            links.append(np.column_stack([np.flatnonzero(hit), at[hit]]))
+        links = np.concatenate(links)
+        root = _join_labels(len(pixel), links[:, 0], links[:, 1])
+        return pa.table({"px": pa.array(px.astype(np.int32)), "py": pa.array(py.astype(np.int32)), "root": pa.array(pixel[root])})
+
+    return label
+
+
+def components(mask: DataFrame, bins: int, block: int = 256) -> DataFrame:
     """Label 8-connected pixels with the smallest raster index of their component.
 
-    Every round hooks whole components: each label takes the smallest label next
-    to any of its pixels and follows the hooks to their end, so at most half of
-    the labels that have neighbours are left, however long components wind.  Rounds go on until
-    no label changes; lineage is cut by a reliable checkpoint each time.
+    Pixels are labelled inside raster blocks of ``block`` x ``block`` first, by union-find in the task that holds the
+    block.  What is left is a graph of block components that touch across block borders; on it every
+    round hooks whole components: each label takes the smallest label beside it and follows the hooks to their end, so
+    at most half of the labels that have neighbours are left, however long components wind.  Lineage is cut by a
+    reliable checkpoint each round.
     """
-    pixels = cut_lineage(mask.withColumn("pixel", F.col("py").cast("bigint") * bins + F.col("px")))
+    tile = [F.floor(F.col(c) / block).alias(f"_{c}") for c in ("px", "py")]
+    found = mask.select(F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), *tile).groupBy("_px", "_py").applyInArrow(_label_block(bins), "px int, py int, root bigint")
+    found = cut_lineage(found)
+    edge = lambda c: (F.pmod(c, F.lit(block)) == 0) | (F.pmod(c, F.lit(block)) == block - 1)
+    border = found.where(edge(F.col("px")) | edge(F.col("py")))
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
-    near = pixels.select("pixel", "px", "py", F.explode(steps).alias("_s")).select(
-        "pixel", (F.col("px") + F.col("_s.dx")).alias("px"), (F.col("py") + F.col("_s.dy")).alias("py"))
-    edges = cut_lineage(near.join(pixels.select("px", "py", F.col("pixel").alias("other")), ["px", "py"]).select("pixel", "other"))
-    labels = pixels.select("pixel", F.col("pixel").alias("label"))
-    while True:
-        beside = edges.join(labels, "pixel").join(labels.select(F.col("pixel").alias("other"), F.col("label").alias("next")), "other")
-        hooks = beside.groupBy("label").agg(F.least(F.first("label"), F.min("next")).alias("up")).where("up < label")
-        hooks = cut_lineage(hooks)
-        if hooks.limit(1).count() == 0:
-            return pixels.join(labels, "pixel").drop("pixel")
+    near = border.select(F.col("root").alias("label"), F.explode(steps).alias("_s"), "px", "py").select(
+        "label", (F.col("px") + F.col("_s.dx")).alias("px"), (F.col("py") + F.col("_s.dy")).alias("py"))
+    edges = near.join(border.select("px", "py", F.col("root").alias("next")), ["px", "py"]).where("label <> next").select("label", "next").distinct()
+    edges = cut_lineage(edges)
+    tops = cut_lineage(edges.select(F.col("label").alias("root")).distinct().withColumn("label", F.col("root")))
+    while not edges.isEmpty():
+        hooks = cut_lineage(edges.groupBy("label").agg(F.min("next").alias("up")).where("up < label"))
         moving = True
         while moving:  # hooks lead to smaller labels only: pointer doubling ends at the local minima
             far = hooks.select(F.col("label").alias("up"), F.col("up").alias("above"))
             hooks = cut_lineage(hooks.join(far, "up", "left").select("label", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")))
-            moving = hooks.where("moved").limit(1).count() > 0
+            moving = not hooks.where("moved").isEmpty()
             hooks = hooks.drop("moved")
-        labels = cut_lineage(labels.join(hooks, "label", "left").select("pixel", F.coalesce("up", "label").alias("label")))
+        to = lambda name: hooks.select(F.col("label").alias(name), F.col("up").alias(f"{name}_up"))
+        tops = cut_lineage(tops.join(to("label"), "label", "left").select("root", F.coalesce("label_up", "label").alias("label")))
+        edges = edges.join(to("label"), "label", "left").join(to("next"), "next", "left").select(
+            F.coalesce("label_up", "label").alias("label"), F.coalesce("next_up", "next").alias("next")).where("label <> next").distinct()
+        edges = cut_lineage(edges)
+    labelled = found.join(small_side(tops), "root", "left").select("px", "py", F.coalesce("label", "root").alias("label"))
+    return mask.join(labelled, ["px", "py"])
 
 
 def component_catalogue(df: DataFrame, labels: DataFrame, selected: Column, extent: Extent, projection: str, bins: int,

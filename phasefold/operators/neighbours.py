@@ -206,13 +206,15 @@ class _Box:
         return add
 
 
-def _leaf_search(k: int, dims: Sequence[str], payload: Sequence[str], carry: Sequence[str], by: Sequence[str], box: _Box, fine: int):
+def _leaf_search(k: int, dims: Sequence[str], payload: Sequence[str], carry: Sequence[str], by: Sequence[str], box: _Box, tiers: Sequence[int]):
     """Grouped function of round one: answer within the own unit, and where else to look.
 
     Returns per query the own-unit candidates, a proven upper bound of the k-th
     distance, and the tree cells (level, prefix) its search ball touches; none
-    when the ball stays inside the own leaf.
+    when the ball stays inside the own leaf.  A negative level asks for an
+    unsplit cell that holds a touched one.
     """
+    fine = tiers[-1] if tiers else 0  # of the last tier
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by("pid")
@@ -258,9 +260,18 @@ def _leaf_search(k: int, dims: Sequence[str], payload: Sequence[str], carry: Seq
                 cells = np.vstack([np.column_stack([cells, a]), np.column_stack([cells[two], b[two]])])
                 owner = np.concatenate([owner, owner[two]])
             shifted = cells << (box.bits - int(t))
+            touched = box.prefix(shifted, int(t) * box.dims)
             out_row.append(owner)
             out_level.append(np.full(len(owner), t))
-            out_prefix.append(box.prefix(shifted, int(t) * box.dims))
+            out_prefix.append(touched)
+            # where the tree was not split that far, the touched cell lies inside an unsplit cell of a tier above
+            for tier in tiers:
+                drop = int(t) * box.dims - tier
+                if drop > 0:
+                    above = np.unique(np.column_stack([owner, touched >> drop]), axis=0)
+                    out_row.append(above[:, 0])
+                    out_level.append(np.full(len(above), -(tier // box.dims)))
+                    out_prefix.append(above[:, 1])
         if out_row:
             r, lv, pf = np.concatenate(out_row), np.concatenate(out_level), np.concatenate(out_prefix)
             order = np.argsort(r, kind="stable")
@@ -283,30 +294,38 @@ def _types(df: DataFrame, names: Sequence[str]) -> list[str]:
 
 
 def _leaves(rows: DataFrame, by: Sequence[str], dims: Sequence[str], total: int, box: _Box, k: int, leaf_rows: int):
-    """Tag rows with their leaf, and map every occupied tree cell to the leaves inside or around it.
+    """Tag rows with their cell of a top-down split, and map every cell to its leaf.
 
-    Counts are taken once at a fine level and rolled up; a leaf is the coarsest
-    cell of at most ``leaf_rows`` rows.  A fine cell above that is cut into
-    blocks by id.
+    The first tier has about ``leaf_rows`` rows a cell; only crowded cells are split further, a whole level a tier, so
+    the cell table stays far below the rows however uneven they lie.  A leaf is the coarsest cell of at most
+    ``leaf_rows`` rows, found on the cell table alone.  A crowded cell of the last tier is cut into blocks by id.
     """
-    by = list(by)
-    fine = min(box.depth, max(box.dims, ceil(log2(max(total / leaf_rows, 1))) + 2 * box.dims))
+    by, d = list(by), box.dims
+    first = ceil(max(1, log2(max(total / leaf_rows, 1))) / d) * d
+    tiers = [t for t in (first, first + d, first + 2 * d) if t <= box.depth] or [box.depth // d * d]
+    fine = tiers[-1]
     coded = cut_lineage(rows.mapInArrow(box.tag(dims, fine), ", ".join([*_types(rows, rows.columns), "fine bigint"])))
-    hist = coded.groupBy(*by, "fine").agg(F.count(F.lit(1)).alias("n"))
-    levels = hist.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(fine)))).withColumn(
-        "prefix", F.expr(f"shiftright(fine, {fine} - depth)"))
+    placed = coded.withColumn("cell_depth", F.lit(tiers[0]))
+    for tier, deeper in zip(tiers, tiers[1:]):
+        here = F.when(F.col("cell_depth") == tier, F.shiftright("fine", fine - tier))
+        crowded = placed.where(F.col("cell_depth") == tier).groupBy(*by, here.alias("_cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows)
+        crowded = small_side(cut_lineage(crowded.select(*by, "_cell", F.lit(deeper).alias("_deeper"))))
+        placed = placed.withColumn("_cell", here).join(crowded, [*by, "_cell"], "left")
+        placed = placed.withColumn("cell_depth", F.coalesce("_deeper", "cell_depth")).drop("_cell", "_deeper")
+    placed = placed.withColumn("cell", F.expr(f"shiftright(fine, {fine} - cell_depth)"))
+    cell = [*by, "cell_depth", "cell"]
+    hist = cut_lineage(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")))
+    levels = hist.withColumn("depth", F.explode(F.sequence(F.lit(0), F.col("cell_depth")))).withColumn("prefix", F.expr("shiftright(cell, cell_depth - depth)"))
     sizes = levels.groupBy(*by, "depth", "prefix").agg(F.sum("n").alias("cell_n"))
-    placed = levels.join(sizes, [*by, "depth", "prefix"]).groupBy(*by, "fine").agg(
+    fitting = levels.join(sizes, [*by, "depth", "prefix"]).groupBy(*cell).agg(
         F.min(F.when(F.col("cell_n") <= leaf_rows, F.col("depth"))).alias("_d"),
         F.max(F.when(F.col("cell_n") >= k, F.col("depth"))).alias("_s"), F.max("n").alias("_n"))
-    leaf_depth = F.coalesce(F.col("_d"), F.lit(fine))
-    leafmap = placed.select(
-        *by, "fine", leaf_depth.alias("leaf_depth"), F.expr(f"shiftright(fine, {fine} - coalesce(_d, {fine}))").alias("leaf"),
-        F.least(F.coalesce(F.col("_s"), F.lit(-1)), leaf_depth).cast("bigint").alias("safe_depth"),
-        F.when(F.col("_d").isNull(), F.ceil(F.col("_n") / F.lit(leaf_rows))).otherwise(F.lit(1)).cast("bigint").alias("n_blocks"),
-    )
-    leafmap = leafmap.withColumn("leaf_depth", F.col("leaf_depth").cast("bigint"))
-    return coded, cut_lineage(leafmap), fine
+    leaf_depth = F.coalesce("_d", "cell_depth")
+    leafmap = fitting.select(
+        *cell, leaf_depth.cast("bigint").alias("leaf_depth"), F.expr("shiftright(cell, cell_depth - coalesce(_d, cell_depth))").alias("leaf"),
+        F.least(F.coalesce("_s", F.lit(-1)), leaf_depth).cast("bigint").alias("safe_depth"),
+        F.when(F.col("_d").isNull(), F.ceil(F.col("_n") / F.lit(leaf_rows))).otherwise(F.lit(1)).cast("bigint").alias("n_blocks"))
+    return placed, cut_lineage(leafmap), tiers
 
 
 def _unit(id_col: str = "pid") -> Column:
@@ -343,7 +362,7 @@ def knn_patches(points: DataFrame, k: int, dims: Sequence[str], id_col: str = "p
     if total <= leaf_rows:
         one = rows.withColumns({"leaf_depth": F.lit(0).cast("bigint"), "leaf": F.lit(0).cast("bigint"), "fine": F.lit(0).cast("bigint"),
                                 "safe_depth": F.lit(-1).cast("bigint"), "n_blocks": F.lit(1).cast("bigint")}).withColumn("unit", _unit())
-        local = one.groupBy(*by, "unit").applyInArrow(_leaf_search(want, dims, payload, carry_all, by, box, 0), schema)
+        local = one.groupBy(*by, "unit").applyInArrow(_leaf_search(want, dims, payload, carry_all, by, box, ()), schema)
         answered = local.select(*by, "pid", *carry_all, F.col("found").alias("patch"))
         folded = collapse_duplicates
     else:
@@ -361,18 +380,19 @@ def knn_patches(points: DataFrame, k: int, dims: Sequence[str], id_col: str = "p
 
 def _search_leaves(rows, by, dims, payload, carry, want, total, box, leaf_rows, schema) -> tuple[DataFrame, int]:
     """One answer per distinct place, and the number of places."""
-    coded, leafmap, fine = _leaves(rows, by, dims, total, box, want, leaf_rows)
-    placed = coded.join(small_side(leafmap), [*by, "fine"]).withColumn("unit", _unit())
+    coded, leafmap, tiers = _leaves(rows, by, dims, total, box, want, leaf_rows)
+    placed = coded.join(small_side(leafmap), [*by, "cell_depth", "cell"]).withColumn("unit", _unit())
     own = cut_lineage(placed.groupBy(*by, "unit").applyInArrow(
-        _leaf_search(want, dims, payload, carry, by, box, fine), schema))
+        _leaf_search(want, dims, payload, carry, by, box, tiers), schema))
 
-    # Occupied tree cells at whole levels -> units inside or around them, with tight boxes.
+    # Occupied tree cells at whole levels -> units inside or around them, with tight boxes; unsplit cells once more under the negative level.
     boxes = placed.groupBy(*by, "unit").agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))])
-    steps = F.explode(F.sequence(F.lit(0), F.lit(fine // box.dims)))
+    last = F.expr(f"cast(cell_depth div {box.dims} AS int)")
+    steps = F.explode(F.concat(F.sequence(F.lit(0), last), F.array(-last)))
     cellmap = (
         leafmap.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
         .withColumn("unit", F.concat_ws(".", "leaf_depth", "leaf", "block")).withColumn("level", steps)
-        .withColumn("prefix", F.expr(f"shiftright(fine, {fine} - level * {box.dims})"))
+        .withColumn("prefix", F.expr(f"shiftright(cell, cell_depth - abs(level) * {box.dims})"))
         .select(*by, "unit", "level", "prefix").distinct().join(boxes, [*by, "unit"])
     )
     gap = F.lit(0.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -145,31 +145,33 @@ def geometry_gate(df: DataFrame, stream_min: float = 1.15, background_max: float
     return ratios.withColumn("relative_rotation", ok)
 
 
+def stream_share(mode: str, max_raw: int, target: float = 0.10) -> Callable[[Column, Column], Column]:
+    """How many stream rows a cap of ``max_raw`` rows should hold, from both class sizes."""
+    if mode == "balanced":
+        return lambda n_stream, n_background: F.lit(max_raw // 2)
+    if mode == "target_prior":
+        return lambda n_stream, n_background: F.lit(round(max_raw * min(max(target, 0.0), 1.0)))
+    if mode == "proportional":
+        return lambda n_stream, n_background: F.bround(F.lit(max_raw) * (n_stream.cast("double") / (n_stream + n_background)))
+    raise ValueError(f"unknown raw subsample mode {mode!r}")
+
+
 def chunk_quota(n_stream: Column, n_background: Column, max_raw: int, mode: str = "balanced", target: float = 0.10) -> tuple[Column, Column]:
-    """Rows of each class a capped chunk keeps; spare capacity passes to the other class.  Without a positive cap all stay."""
+    """Rows of each class a capped chunk keeps.  Without a positive cap, or under it, all stay.
+
+    A full cap holds s stream and cap - s background rows.  The classes' sizes, and one row for each class
+    that has any, leave an interval for s; the share asked for is moved into it, so what one class can't fill goes to
+    the other.
+    """
     if max_raw <= 0:
         return n_stream.cast("bigint"), n_background.cast("bigint")
-    total = n_stream + n_background
-    cap = F.lit(int(max_raw))
-    if mode == "balanced":
-        wish = F.lit(max_raw // 2)
-    elif mode == "proportional":
-        wish = F.bround(cap * (n_stream.cast("double") / F.greatest(total, F.lit(1)).cast("double"))).cast("bigint")
-    elif mode == "target_prior":
-        wish = F.lit(int(round(max_raw * min(max(target, 0.0), 1.0))))
-    else:
-        raise ValueError(f"unknown raw subsample mode {mode!r}")
-    first_s = F.when(n_stream > 0, F.least(F.greatest(wish, F.lit(1)), n_stream)).otherwise(0)
-    first_b = F.least(cap - first_s, n_background)
-    starved = (n_background > 0) & (first_b <= 0)
-    keep_b = F.when(starved, 1).otherwise(first_b)
-    keep_s = F.when(starved, F.least(first_s, cap - 1)).otherwise(first_s)
-    more_b = F.least(F.greatest(cap - keep_s - keep_b, F.lit(0)), n_background - keep_b)
-    full_b = keep_b + F.greatest(more_b, F.lit(0))
-    more_s = F.least(F.greatest(cap - keep_s - full_b, F.lit(0)), n_stream - keep_s)
-    full_s = keep_s + F.greatest(more_s, F.lit(0))
-    fits = total <= cap
-    return F.when(fits, n_stream).otherwise(full_s).cast("bigint"), F.when(fits, n_background).otherwise(full_b).cast("bigint")
+    wish = stream_share(mode, max_raw, target)(n_stream, n_background).cast("bigint")
+    one = lambda n: F.least(n.cast("bigint"), F.lit(1))
+    most = F.least(n_stream.cast("bigint"), F.lit(max_raw) - one(n_background))
+    fewest = F.greatest(F.lit(max_raw) - n_background.cast("bigint"), F.least(one(n_stream), most))
+    stream = F.greatest(fewest, F.least(most, wish))
+    whole = n_stream + n_background <= max_raw
+    return F.when(whole, n_stream).otherwise(stream).cast("bigint"), F.when(whole, n_background).otherwise(F.lit(max_raw) - stream).cast("bigint")
 
 
 def chunk_cap(members: DataFrame, chunk: Sequence[str], max_raw: int = 160_000, mode: str = "balanced", target: float = 0.10,

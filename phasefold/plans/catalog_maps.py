@@ -8,7 +8,9 @@ from phasefold.operators import maps
 from phasefold.plans.fixtures import p_pred, quantile_sql, query, rd_sql, rounded, with_views
 
 EXTENT = (-200.0, 200.0, -200.0, 200.0)
-BINS = 48
+BINS = 1200
+#: Smoothing of maps and of component masks, in pixels.
+SIGMA, MASK_SIGMA = 1.6, 2.2
 SELECTED = "prob >= CAST(0.9 AS DOUBLE)"
 
 
@@ -104,15 +106,15 @@ def adaptive_extent(spark, sf_dir):
 
 MASK_VIEWS = {
     "counted": histogram_sql("CAST(count(*) AS DOUBLE) AS density", where=SELECTED),
-    "smoothed": smooth_sql("counted", ("density",), 1.0),
+    "smoothed": smooth_sql("counted", ("density",), MASK_SIGMA),
     "mask": f"SELECT px, py, density, greatest(cut, 0.010) AS density_cut, py * {BINS} + px AS pixel FROM smoothed, ({quantile_sql('smoothed', 'density', 0.62)}) WHERE density >= greatest(cut, 0.010)",
-    "reach": "SELECT pixel AS root, pixel, px, py FROM mask UNION SELECT r.root, m.pixel, m.px, m.py FROM reach r JOIN mask m ON m.px BETWEEN r.px - 1 AND r.px + 1 AND m.py BETWEEN r.py - 1 AND r.py + 1",
-    "labelled": "SELECT px, py, min(root) AS label FROM reach GROUP BY px, py",
+    "labelled(px, py, label) USING KEY (px, py)": "SELECT px, py, pixel AS label FROM mask UNION SELECT n.px, n.py, min(l.label) FROM labelled l, "
+        "(VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) s(dx, dy), recurring.labelled n WHERE n.px = l.px + dx AND n.py = l.py + dy AND l.label < n.label GROUP BY n.px, n.py",
 }
 
 
 def _labels(spark, sf_dir):
-    mask = maps.component_mask(p_pred(spark, sf_dir), _selected(), EXTENT, "xy", BINS, 1.0)
+    mask = maps.component_mask(p_pred(spark, sf_dir), _selected(), EXTENT, "xy", BINS, MASK_SIGMA)
     return maps.components(mask, BINS)
 
 
@@ -121,7 +123,7 @@ def components(spark, sf_dir):
     return rounded(_labels(spark, sf_dir).drop("density_cut"), 6, ["density"])
 
 
-MIN_PIXELS, MIN_ROWS = 4, 20
+MIN_PIXELS, MIN_ROWS = 20, 70
 CATALOGUE_VIEWS = {
     **MASK_VIEWS,
     "areas": "SELECT label, count(*) AS pixel_area, " + ", ".join(

@@ -123,18 +123,12 @@ def knn_restarting_ids(spark, sf_dir):
 
 @query("knn_volume")
 def knn_volume(spark, sf_dir):
-    rows = neighbours.space_columns(p_vol(spark, sf_dir).select("particle_id", *XYZ), "xyz")
-    found = neighbours.knn_patches(rows, 16, ["s0", "s1", "s2"], include_self=False)
-    return found.select("particle_id", F.size("patch").alias("n"), F.element_at("patch", -1)["d2"].alias("kth_d2"))
+    """48 neighbours of every row of the whole volume in position and weighted velocity, as edges."""
+    rows = neighbours.space_columns(p_vol(spark, sf_dir).select("particle_id", *BASE), "xyzv")
+    return neighbours.neighbours(neighbours.knn_patches(rows, K, neighbours.space_dims("xyzv")))
 
 
-@query("knn_ivf")
-def knn_ivf(spark, sf_dir):
-    spaced = neighbours.space_columns(p_patch(spark, sf_dir), "xyzv")
-    return neighbours.neighbours(neighbours.knn_ivf(spaced, K, neighbours.space_dims("xyzv"), nlist=16, nprobe=8))
-
-
-BOX = 20
+BOX = 80
 
 
 def patch_sql(k: int, base: int) -> str:
@@ -501,15 +495,16 @@ def sparse_cells6(spark, sf_dir):
     return _cells_rounded(cells)
 
 
-CAP = 400
+#: Rows a chunk keeps in the query of the cap, and in training tables.
+CAP, TRAIN_CAP = 400, 160_000
 
 
-def quota_sql() -> str:
-    """Class quotas of the balanced cap, spare capacity passed on."""
+def quota_sql(cap: int) -> str:
+    """Class quotas of the balanced cap: the half share, moved to where both classes can fill the cap."""
     return (
-        f"SELECT ck, CASE WHEN ns + nb <= {CAP} THEN ns ELSE least(ns, ks + greatest({CAP} - ks - kb, 0)) END AS ks, CASE WHEN ns + nb <= {CAP} THEN nb ELSE kb END AS kb FROM ("
-        f"SELECT *, least(nb, {CAP} - ks) AS kb FROM (SELECT *, CASE WHEN ns > 0 THEN least(greatest(1, {CAP} // 2), ns) ELSE 0 END AS ks FROM ("
-        "SELECT ck, count(*) FILTER (is_stream = 1) AS ns, count(*) FILTER (is_stream = 0) AS nb FROM boxed GROUP BY ck)))")
+        f"SELECT ck, CASE WHEN ns + nb <= {cap} THEN ns ELSE s END AS ks, CASE WHEN ns + nb <= {cap} THEN nb ELSE {cap} - s END AS kb FROM ("
+        f"SELECT *, greatest({cap} - nb, least(ns, 1), least(ns, {cap} - least(nb, 1), {cap} // 2)) AS s FROM ("
+        "SELECT ck, count(*) FILTER (is_stream = 1) AS ns, count(*) FILTER (is_stream = 0) AS nb FROM boxed GROUP BY ck))")
 
 
 BOXED = f"SELECT c.centre_id AS ck, c.cx, c.cy, c.cz, p.* FROM p_vol p JOIN centres c ON {in_box('128')}"
@@ -517,7 +512,7 @@ CAPPED = ("SELECT * FROM boxed JOIN quota USING (ck) QUALIFY row_number() OVER (
           + _h("particle_id", 0) + ", particle_id) <= CASE WHEN is_stream = 1 THEN ks ELSE kb END")
 
 
-@query("chunk_cap", with_views("SELECT ck AS centre_id, particle_id FROM capped", "p_vol", "centres", boxed=BOXED, quota=quota_sql(), capped=CAPPED))
+@query("chunk_cap", with_views("SELECT ck AS centre_id, particle_id FROM capped", "p_vol", "centres", boxed=BOXED, quota=quota_sql(CAP), capped=CAPPED))
 def chunk_cap(spark, sf_dir):
     rows = p_vol(spark, sf_dir).select("particle_id", "is_stream", *XYZ, hash32("particle_id", 0).alias("_hash"))
     members = spatial.box_query(centres(spark, sf_dir), rows, 128.0)
@@ -525,10 +520,10 @@ def chunk_cap(spark, sf_dir):
 
 
 @query("chunk_table", with_views(
-    cells_out_sql("ck AS centre_id"), "p_vol", "centres", boxed=BOXED, quota=quota_sql(), capped=CAPPED, members=phase_sql("capped"),
+    cells_out_sql("ck AS centre_id"), "p_vol", "centres", boxed=BOXED, quota=quota_sql(TRAIN_CAP), capped=CAPPED, members=phase_sql("capped"),
     scales=scales_sql("members", "ck"), ready=scaled_members_sql("members"), cells6=context_cells_sql()))
 def chunk_table(spark, sf_dir):
-    return _cells_rounded(pipelines.chunk_table(p_vol(spark, sf_dir), centres(spark, sf_dir), grid_size=GRID_SIZE, max_raw=CAP))
+    return _cells_rounded(pipelines.chunk_table(p_vol(spark, sf_dir), centres(spark, sf_dir), grid_size=GRID_SIZE, max_raw=TRAIN_CAP))
 
 
 @query("chunk_table_augmented")

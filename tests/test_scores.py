@@ -101,8 +101,29 @@ def test_components_against_flood_fill(spark):
                         seen.add(q)
                         stack.append(q)
     df = spark.createDataFrame([(int(x), int(y)) for y, x in np.argwhere(mask)], ["px", "py"])
-    got = {(r.px, r.py): r.label for r in maps.components(df, 24).collect()}
-    assert got == want
+    for block in (256, 8, 5, 1):  # one block, several, and every pixel a block
+        got = {(r.px, r.py): r.label for r in maps.components(df, 24, block=block).collect()}
+        assert got == want
+    assert maps.components(df.limit(0), 24).count() == 0
+
+
+def test_components_that_wind_through_blocks(spark):
+    """A spiral crosses block borders again and again and is one component."""
+    n, x, y, d, cells = 40, 0, 0, 0, set()
+    moves = [(1, 0), (0, 1), (-1, 0), (0, -1)]
+    length, run = n - 1, [n - 1]
+    while length > 0:
+        run += [length, length]
+        length -= 2
+    cells.add((x, y))
+    for k in run:
+        for _ in range(k):
+            x, y = x + moves[d][0], y + moves[d][1]
+            cells.add((x, y))
+        d = (d + 1) % 4
+    df = spark.createDataFrame(sorted(cells), ["px", "py"])
+    got = maps.components(df, n, block=8).collect()
+    assert len(got) == len(cells) and {r.label for r in got} == {0}
 
 
 def test_boosted_trees_and_their_report(spark, cloud):
