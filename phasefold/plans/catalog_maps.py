@@ -104,8 +104,16 @@ def adaptive_extent(spark, sf_dir):
     return rounded(maps.adaptive_extent(p_pred(spark, sf_dir), 0.99, "xy"), 6, ["x0", "x1", "y0", "y1"])
 
 
+#: Rows of the component mask and catalogue: those that are stream rather than not.
+LIKELY = "prob >= CAST(0.5 AS DOUBLE)"
+
+
+def _likely():
+    return F.col("prob") >= F.lit(0.5)
+
+
 MASK_VIEWS = {
-    "counted": histogram_sql("CAST(count(*) AS DOUBLE) AS density", where=SELECTED),
+    "counted": histogram_sql("CAST(count(*) AS DOUBLE) AS density", where=LIKELY),
     "smoothed": smooth_sql("counted", ("density",), MASK_SIGMA),
     "mask": f"SELECT px, py, density, greatest(cut, 0.010) AS density_cut, py * {BINS} + px AS pixel FROM smoothed, ({quantile_sql('smoothed', 'density', 0.62)}) WHERE density >= greatest(cut, 0.010)",
     "labelled(px, py, label) USING KEY (px, py)": "SELECT px, py, pixel AS label FROM mask UNION SELECT n.px, n.py, min(l.label) FROM labelled l, "
@@ -114,7 +122,7 @@ MASK_VIEWS = {
 
 
 def _labels(spark, sf_dir):
-    mask = maps.component_mask(p_pred(spark, sf_dir), _selected(), EXTENT, "xy", BINS, MASK_SIGMA)
+    mask = maps.component_mask(p_pred(spark, sf_dir), _likely(), EXTENT, "xy", BINS, MASK_SIGMA)
     return maps.components(mask, BINS)
 
 
@@ -130,14 +138,14 @@ CATALOGUE_VIEWS = {
         f"-200 + {f} / CAST({BINS} AS DOUBLE) * 400 AS bbox_{n}" for n, f in (("x_min", "min(px)"), ("x_max", "(max(px) + 1)"), ("y_min", "min(py)"), ("y_max", "(max(py) + 1)")))
              + f", max(density_cut) AS density_cut FROM mask JOIN labelled USING (px, py) GROUP BY label HAVING count(*) >= {MIN_PIXELS}",
     "hits": f"SELECT label, count(*) AS particle_count, avg(prob) AS mean_probability, avg(sqrt(greatest(variance, 0))) AS mean_probability_sigma, avg(x) AS centroid_x, avg(y) AS centroid_y FROM "
-            f"(SELECT *, {pixel_sql(closed=False)} FROM p_pred WHERE {SELECTED} AND x BETWEEN -200 AND 200 AND y BETWEEN -200 AND 200) JOIN labelled USING (px, py) GROUP BY label HAVING count(*) >= {MIN_ROWS}",
+            f"(SELECT *, {pixel_sql(closed=False)} FROM p_pred WHERE {LIKELY} AND x BETWEEN -200 AND 200 AND y BETWEEN -200 AND 200) JOIN labelled USING (px, py) GROUP BY label HAVING count(*) >= {MIN_ROWS}",
     "found": "SELECT *, row_number() OVER (ORDER BY particle_count DESC, label) AS instance_id FROM hits JOIN areas USING (label)",
 }
 CATALOGUE = ("mean_probability", "mean_probability_sigma", "bbox_x_min", "bbox_x_max", "bbox_y_min", "bbox_y_max", "centroid_x", "centroid_y", "density_cut")
 
 
 def _catalogue(spark, sf_dir):
-    return maps.component_catalogue(p_pred(spark, sf_dir), _labels(spark, sf_dir), _selected(), EXTENT, "xy", BINS, MIN_PIXELS, MIN_ROWS)
+    return maps.component_catalogue(p_pred(spark, sf_dir), _labels(spark, sf_dir), _likely(), EXTENT, "xy", BINS, MIN_PIXELS, MIN_ROWS)
 
 
 @query("component_catalogue", with_views(
