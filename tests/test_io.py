@@ -225,3 +225,57 @@ def test_metric_stream_equals_batch(spark, tmp_path):
     got = incremental.stream_metrics(stream).orderBy("threshold").toPandas()
     want = metrics.threshold_sweep(batch).orderBy("threshold").toPandas()
     pd.testing.assert_frame_equal(got[want.columns.tolist()], want)
+
+
+def test_unchanged_logs_are_not_opened_again(tmp_path):
+    import os
+
+    from phasefold.sources.log_versions import VersionReader
+
+    for name in ("a.log", "b.log"):
+        (tmp_path / name).write_text("epoch|loss\n1|0.5\n")
+        os.utime(tmp_path / name, (1000, 1000))
+    reader = VersionReader({"path": str(tmp_path)})
+    first = reader.latestOffset()
+    assert len(reader.partitions(reader.initialOffset(), first)) == 2
+    assert [p.path for p in reader.partitions(first, reader.latestOffset())] == [""]
+    (tmp_path / "b.log").write_text("epoch|loss\n1|0.5\n2|0.4\n")
+    (tmp_path / "c.log").write_text("epoch|loss\n")
+    second = reader.latestOffset()
+    assert sorted(os.path.basename(p.path) for p in reader.partitions(first, second)) == ["b.log", "c.log"]
+    # a batch that is run again after the file grew once more reads the version of its offset
+    (tmp_path / "b.log").write_text("epoch|loss\n1|0.5\n2|0.4\n3|0.3\n")
+    again = next(p for p in reader.partitions(first, second) if p.path.endswith("b.log"))
+    assert next(reader.read(again)).column("value")[0].as_py().endswith("2|0.4\n")
+
+
+def test_metric_stream_goes_on_after_a_stop(spark, tmp_path, monkeypatch):
+    """Stopped in the third batch after its part was written: the restart repeats that batch and nothing is counted twice."""
+    rng = np.random.default_rng(1)
+    frame = pd.DataFrame({"y_true": rng.integers(0, 2, 600), "prob": rng.random(600)})
+    for i in range(6):
+        spark.createDataFrame(frame[i * 100:(i + 1) * 100]).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    batch = spark.read.parquet(str(tmp_path / "s"))
+    stream = lambda: spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    out = str(tmp_path / "out")
+    calls = []
+    monkeypatch.setattr(incremental, "FOLD_EVERY", 2)
+    plain = incremental.read_counts
+
+    def stop(*args):
+        calls.append(1)
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(incremental, "read_counts", stop)  # the fold of batch 2 fails after its part is written
+    with pytest.raises(Exception, match="stopped"):
+        incremental.stream_metrics(stream(), out=out)
+    monkeypatch.setattr(incremental, "read_counts", plain)
+    assert plain(spark, out).agg(F.sum(F.col("pos") + F.col("neg"))).first()[0] == 300
+    got = incremental.stream_metrics(stream(), out=out).orderBy("threshold").toPandas()
+    want = metrics.threshold_sweep(batch).orderBy("threshold").toPandas()
+    pd.testing.assert_frame_equal(got[want.columns.tolist()], want)
+    # new rows arrive: the next call adds only them
+    spark.createDataFrame(frame[:100]).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    more = incremental.stream_metrics(stream(), out=out).orderBy("threshold").toPandas()
+    want = metrics.threshold_sweep(spark.read.parquet(str(tmp_path / "s"))).orderBy("threshold").toPandas()
+    pd.testing.assert_frame_equal(more[want.columns.tolist()], want)
