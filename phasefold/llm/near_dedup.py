@@ -7,13 +7,13 @@
 2. Texts with equal sets are one class; from here on a class is one node.
 3. Nodes that share a band key are a bucket.  In each of ``ROUNDS`` rounds a node
    asks one partner: of the buckets that hold several components, it takes those
-   whose largest component isn't its own, and of their smallest nodes the
-   smallest one it hasn't asked.  A pair is compared by size, then by odd sketches
+   whose largest component isn't its own, and of these components' smallest nodes
+   the one it shares most buckets with and hasn't asked.  A pair is compared by size, then by odd sketches
    (4.5 standard errors of slack), then by the full sets.  Links make components.
    So a round compares no more pairs than there are nodes, however large a group is.
 4. What that misses: buckets that still hold several components.  Nodes
    outside the bucket's largest component meet all nodes of other components of
-   that bucket, in blocks of ``BLOCK`` nodes that compare sketches and emit only
+   that bucket, in blocks of ``BLOCK`` by ``WIDE_BLOCK`` nodes that compare sketches and emit only
    pairs worth confirming, each in the first band that it shares.  A first round
    emits every node's closest partner only, which joins most of a group through
    its centre; the second emits all pairs that are then still apart.  Buckets of
@@ -51,7 +51,7 @@ MISS = 1e-6
 SKETCH_WORDS = 32
 #: MinHash samples in a sketch, at least.
 SAMPLES = 512
-BLOCK = 512
+BLOCK, WIDE_BLOCK = 512, 4096
 #: Rounds in which each node asks one partner.
 ROUNDS = 3
 #: Sets that meet a hub's set in one task.
@@ -198,8 +198,8 @@ def block_pairs(percent: int, limit: int, closest: bool):
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         def columns(t: pa.Table):
-            lists = [np.asarray(t.column(n).combine_chunks().flatten()).view(np.uint64).reshape(t.num_rows, -1) for n in ("sketch", "bands")]
-            return t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("n_shingles").to_numpy(), *lists
+            lists = [np.asarray(t.column(n).combine_chunks().flatten()).view(np.uint64).reshape(t.num_rows, -1) for n in ("sketch", "bands") if n in t.column_names]
+            return t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("n_shingles").to_numpy(), lists[0], lists[-1]
 
         out_a, out_b, out_d = [], [], []
         if left.num_rows and right.num_rows:
@@ -245,12 +245,12 @@ def _mixed(shared: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _asked(shared: DataFrame, comps: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """One pair (hub, node) a node: the smallest hub of another component that it shares a bucket with and hasn't asked."""
+    """One pair (hub, node) a node: the hub of another component that it shares most buckets with and hasn't asked."""
     labelled, mixed = _mixed(shared, comps)
-    asks = labelled.join(mixed.select("key", "major", "hub"), "key").filter("comp <> major").select("hub", "node")
+    asks = labelled.join(mixed.select("key", "major", "hub"), "key").filter("comp <> major").groupBy("hub", "node").agg(F.count("*").alias("n"))
     if seen is not None:
         asks = asks.join(seen, ["hub", "node"], "left_anti")
-    return asks.groupBy("node").agg(F.min("hub").alias("hub")).select("hub", "node")
+    return asks.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select("hub", "node")
 
 
 def _likely(pairs: DataFrame, about: DataFrame, percent: int, limit: int) -> DataFrame:
@@ -268,10 +268,11 @@ def _apart(shared: DataFrame, comps: DataFrame, full: DataFrame, percent: int, l
     two = labelled.filter("size = 2").groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("node")).select("hub", "node").distinct()
     two = _likely(two, full.select("node", "n_shingles", "sketch"), percent, limit)
     mixed = labelled.filter("size > 2").select("key", "band", "node", "comp", "size", "most", "major").join(full, "node")
-    slices = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK))
-    left_slices, right_slices = slices(F.col("size") - F.col("most")), slices(F.col("size"))
+    slices = lambda n, block: F.greatest(F.lit(1), F.ceil(n / block))
+    left_slices, right_slices = slices(F.col("size") - F.col("most"), BLOCK), slices(F.col("size"), WIDE_BLOCK)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-    cols = ["band", "node", "comp", "n_shingles", "sketch", "bands"]
+    # the bands tell the first bucket that a pair shares, which only the round that emits all pairs asks for
+    cols = ["band", "node", "comp", "n_shingles", "sketch"] + ([] if closest else ["bands"])
     left = mixed.filter("comp <> major").select("key", *cols, F.pmod(F.xxhash64("node"), left_slices).alias("i"), upto(right_slices).alias("j"))
     right = mixed.select(F.col("key").alias("r_key"), *[F.col(c).alias(c) for c in cols], F.pmod(F.xxhash64("node"), right_slices).alias("r_j"), upto(left_slices).alias("r_i"))
     pairs = left.groupBy("key", "i", "j").cogroup(right.groupBy("r_key", "r_i", "r_j")).applyInArrow(
