@@ -8,15 +8,17 @@ bounded size, and only then look inside the buckets that matter.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phasefold.functions.hashing import hash32
 from phasefold.session import cut_lineage, small_side
 
 HELD_ROWS = 1_000_000  # rows of one group that a single task may sort
+SCAN_ROWS = 250_000  # rows of one partition of a prefix sum
 
 
 def _between(low: Column, high: Column, frac: Column) -> Column:
@@ -42,72 +44,62 @@ def held_quantiles(df: DataFrame, values: Sequence[str], qs: Sequence[float], by
     return ranked.groupBy(*by).agg(F.max(f"_n_{values[0]}").alias("n"), *aggs)
 
 
-def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
-                    accuracy: int = 1_000_000, held_rows: int = HELD_ROWS) -> DataFrame:
+def _ordered_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``_bits``: the 64 bits of ``_v`` as an integer of the same order."""
+    for batch in batches:
+        bits = (batch.column("_v").to_numpy() + 0.0).view(np.int64)  # -0.0 is 0.0
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))], names=[*batch.schema.names, "_bits"])
+
+
+def radix_quantiles(rows: DataFrame, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Interpolated quantiles of ``_v`` (no NULL, no NaN) by radix selection, columns n, q0.. per group.
+
+    A double's bits, put in order, are four digits of 16 bits.  Each of four passes counts one digit of the rows that
+    agree with a wanted rank in the digits before, so at most 65 536 counters stand for a group and prefix, whatever
+    its rows; nothing is sorted and no group is held.
+    """
+    by = list(by)
+    keyed = cut_lineage(rows.select(*by, "_v").mapInArrow(_ordered_bits, ", ".join([*[f"`{c}` {k}" for c, k in rows.select(*by, "_v").dtypes], "_bits bigint"])))
+    sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    ranks = []
+    for i, q in enumerate(qs):
+        low = F.floor(F.lit(float(q)) * (F.col("n") - 1))
+        ranks += [F.struct(F.lit(2 * i).alias("_w"), low.alias("_left")), F.struct(F.lit(2 * i + 1).alias("_w"), F.least(low + 1, F.col("n") - 1).alias("_left"))]
+    wanted = cut_lineage(sizes.select(*by, "n", F.inline(F.array(*ranks))).withColumn("_prefix", F.lit(0).cast("bigint")))
+    keys = [*by, "_prefix"]
+    for shift in (48, 32, 16, 0):
+        top = shift == 48
+        digit = F.shiftright("_bits", shift) if top else F.shiftright("_bits", shift).bitwiseAND(F.lit(0xFFFF))
+        placed = keyed.withColumn("_prefix", F.lit(0).cast("bigint") if top else F.shiftright("_bits", shift + 16))
+        if not top:
+            placed = placed.join(small_side(wanted.select(*keys).distinct()), keys, "left_semi")
+        counts = placed.groupBy(*keys, digit.alias("_digit")).agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_value"))
+        until = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_digit"))  # at most 2^16 rows each
+        cum = counts.withColumn("_until", until)
+        hit = wanted.drop("_value").join(cum, keys).where((F.col("_until") - F.col("_c") <= F.col("_left")) & (F.col("_left") < F.col("_until")))
+        prefix = F.col("_digit") if top else F.shiftleft("_prefix", 16) + F.col("_digit")
+        wanted = cut_lineage(hit.select(*by, "n", "_w", (F.col("_left") - F.col("_until") + F.col("_c")).alias("_left"), prefix.alias("_prefix"), "_value"))
+    at = lambda w: F.max(F.when(F.col("_w") == w, F.col("_value")))
+    out = []
+    for i, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.max("n") - 1)
+        out.append(_between(at(2 * i), at(2 * i + 1), pos - F.floor(pos)).alias(f"q{i}"))
+    picked = wanted.groupBy(*by).agg(F.max("n").alias("n"), *out)
+    return picked if by else picked.where("n IS NOT NULL")
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (), held_rows: int = HELD_ROWS) -> DataFrame:
     """Linear-interpolated exact quantiles, columns ``q0..`` per group (and ``n``).
 
-    While every group is small each is simply ranked.  Otherwise a sketch
-    brackets each wanted order statistic, and one pass counts what lies below the
-    bracket and groups the few values inside it, so no group is ever sorted
-    whole.  Both ways interpolate alike.  NULL and NaN values are ignored.
+    Small groups are ranked, one shuffle in all; larger ones go through radix selection.  Both interpolate alike.  NULL
+    and NaN values are ignored.
     """
     by = list(by)
-    eps = 10.0 / accuracy
-    small = int(4.0 / eps)
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if largest_group(rows, by) <= held_rows:
-        held = held_quantiles(rows, ["_v"], qs, by)
-        return held.select(*by, "n", *[F.col(f"_v_q{i}").alias(f"q{i}") for i in range(len(qs))])
-    probes = []
-    for q in qs:
-        probes += [max(q - eps, 0.0), min(q + eps, 1.0)]
-    sketch = rows.groupBy(*by).agg(
-        F.percentile_approx("_v", F.array(*[F.lit(p) for p in probes]), F.lit(accuracy)).alias("_b"),
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
-    )
-    # A group of at most ``small`` rows is looked at whole, so sketch error cannot matter there.
-    wide = sketch.select(*by, "n", F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), F.lit(float(q)).alias("q"),
-            F.when(F.col("n") <= small, F.col("_mn")).otherwise(F.col("_b")[2 * i]).alias("lo"),
-            F.when(F.col("n") <= small, F.col("_mx")).otherwise(F.col("_b")[2 * i + 1]).alias("hi"),
-        ) for i, q in enumerate(qs)
-    ]).alias("_w"))
-    spec = wide.select(*by, "n", F.inline("_w")).withColumnRenamed("i", "_i")
-    pos = F.col("q") * (F.col("n") - 1)
-    spec = spec.withColumns({"_k": F.floor(pos), "_f": pos - F.floor(pos)})
-    joined = rows.join(wide, by) if by else rows.join(F.broadcast(wide))
-    hit = F.exists("_w", lambda w: (F.col("_v") >= w["lo"]) & (F.col("_v") <= w["hi"]))
-    # Rows outside every bracket fall together into one pre-aggregated row per group.
-    folded = joined.groupBy(*by, F.when(hit, F.col("_v")).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"),
-        *[F.sum((F.col("_v") < F.col("_w")[i]["lo"]).cast("bigint")).alias(f"_below{i}") for i in range(len(qs))],
-    )
-    below_long = folded.groupBy(*by).agg(*[F.sum(f"_below{i}").alias(f"_below{i}") for i in range(len(qs))]).select(
-        *by, F.posexplode(F.array(*[F.col(f"_below{i}") for i in range(len(qs))])).alias("_i", "_below"))
-    keys = by + ["_i"]
-    bounds = spec.select(*keys, "lo", "hi")
-    values = folded.where(F.col("_v").isNotNull()).select(*by, "_v", "_c")
-    inside = (values.join(bounds, by) if by else values.join(F.broadcast(bounds))).where(
-        (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))).drop("lo", "hi")
-    order = Window.partitionBy(*by, "_i").orderBy("_v")
-    ranked = (
-        inside.withColumn("_cum", F.sum("_c").over(order))
-        .join(below_long, keys).join(spec.select(*keys, "_k", "_f", "n"), keys)
-        .withColumn("_end", F.col("_below") + F.col("_cum"))
-    )
-    start = F.col("_end") - F.col("_c")
-    holds = lambda k: (start <= k) & (k < F.col("_end"))
-    upper_rank = F.least(F.col("_k") + 1, F.col("n") - 1)
-    picked = ranked.groupBy(*keys).agg(
-        F.max(F.when(holds(F.col("_k")), F.col("_v"))).alias("_a"),
-        F.max(F.when(holds(upper_rank), F.col("_v"))).alias("_z"),
-        F.first("_f").alias("_f"), F.first("n").alias("n"),
-    ).withColumn("_val", _between(F.col("_a"), F.col("_z"), F.col("_f")))
-    return picked.groupBy(*by).agg(
-        F.first("n").alias("n"),
-        *[F.max(F.when(F.col("_i") == i, F.col("_val"))).alias(f"q{i}") for i in range(len(qs))],
-    )
+    if largest_group(rows, by) > held_rows:
+        return radix_quantiles(rows, qs, by)
+    held = held_quantiles(rows, ["_v"], qs, by)
+    return held.select(*by, "n", *[F.col(f"_v_q{i}").alias(f"q{i}") for i in range(len(qs))])
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -116,30 +108,27 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
 
 
 def prefix_sums(df: DataFrame, order: str, sums: Mapping[str, str], descending: bool = False, by: Sequence[str] = (),
-                buckets: int = 1024) -> DataFrame:
+                part_rows: int = SCAN_ROWS) -> DataFrame:
     """Inclusive cumulative sums over an order of values unique per group.
 
-    ``sums`` maps output name to summed column.  Bucket edges come from a
-    sketch, so each bucket holds about 1/``buckets`` of the rows whatever the
-    distribution is.
+    ``sums`` maps output name to summed column.  Rows are cut into range partitions of about ``part_rows`` rows, so
+    their number grows with the data; partition totals, one row each, give every partition its offset, and inside a
+    partition sums run on.
     """
     by = list(by)
-    edges = df.stat.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.25 / buckets)
-    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket", handleInvalid="keep").transform(df)
-    totals = cut.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    key = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    # At most ``buckets`` + 1 rows per group: this window is bounded.
+    held = cut_lineage(df)
+    parts = max(1, -(-held.count() // part_rows))
+    cut = cut_lineage(held.repartitionByRange(parts, *by, order).withColumn("_part", F.spark_partition_id()))
+    totals = cut.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    key = F.col("_part").desc() if descending else F.col("_part").asc()
     before = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_bucket", *[
-        F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums
-    ])
-    inner = Window.partitionBy(*by, "_bucket").orderBy(F.col(order).desc() if descending else F.col(order).asc()).rowsBetween(
+    offsets = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    inner = Window.partitionBy(*by, "_part").orderBy(F.col(order).desc() if descending else F.col(order).asc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (
-        cut.join(offsets if by else F.broadcast(offsets), [*by, "_bucket"])
+        cut.join(small_side(offsets), [*by, "_part"])
         .withColumns({n: F.col(f"_o_{n}") + F.sum(c).over(inner) for n, c in sums.items()})
-        .drop("_bucket", *[f"_o_{n}" for n in sums])
+        .drop("_part", *[f"_o_{n}" for n in sums])
     )
 
 

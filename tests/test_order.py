@@ -26,7 +26,7 @@ def test_quantiles_ignore_missing_values(spark):
     assert order.exact_quantiles(df, "v", [0.5]).first()["q0"] == 2.0
 
 
-def test_bracketed_quantiles_on_large_group(spark):
+def test_radix_quantiles_on_large_group(spark):
     df = spark.range(900_000).select(F.expr("CASE WHEN id % 3 = 0 THEN 5.0D ELSE double(id % 7919) END").alias("v"))
     got = order.exact_quantiles(df, "v", [0.1, 0.9, 0.995], held_rows=0).first()
     want = np.quantile(df.toPandas().v, [0.1, 0.9, 0.995])
@@ -35,9 +35,9 @@ def test_bracketed_quantiles_on_large_group(spark):
 
 def test_prefix_sums_match_cumsum(spark, values):
     df = spark.createDataFrame(values).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    got = order.prefix_sums(df, "v", {"c": "n"}, buckets=16).orderBy("v").toPandas()
+    got = order.prefix_sums(df, "v", {"c": "n"}, part_rows=400).orderBy("v").toPandas()
     assert (got.c == got.n.cumsum()).all()
-    down = order.prefix_sums(df, "v", {"c": "n"}, descending=True, buckets=16).orderBy(F.desc("v")).toPandas()
+    down = order.prefix_sums(df, "v", {"c": "n"}, descending=True, part_rows=400).orderBy(F.desc("v")).toPandas()
     assert (down.c == down.n.cumsum()).all()
 
 
@@ -66,3 +66,32 @@ def test_hash_seeds_are_unrelated(spark):
     for c in ("u0", "u1", "u2", "u100"):
         assert np.abs(np.histogram(u[c], 20, (0, 1))[0] / 1000 - 1).max() < 0.15
     assert abs(u.g.mean()) < 0.03 and abs(u.g.std() - 1) < 0.03
+
+
+def test_radix_selection_over_the_whole_range_of_doubles(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308], [2.5] * 900, [np.inf, -np.inf]])
+    qs = [0.0, 0.1, 0.37, 0.5, 0.9, 0.99]
+    df = spark.createDataFrame(pd.DataFrame({"_v": v}))
+    got = order.radix_quantiles(df.repartition(5), qs).first()
+    ranked = np.sort(v)
+    for i, q in enumerate(qs):
+        pos = q * (len(v) - 1)
+        low, high, f = ranked[int(pos)], ranked[min(int(pos) + 1, len(v) - 1)], pos - int(pos)
+        assert got[f"q{i}"] == pytest.approx(low if f == 0 or low == high else (1 - f) * low + f * high, rel=1e-15)
+    assert got["n"] == len(v) and order.radix_quantiles(df.limit(0), qs).count() == 0
+
+
+def test_prefix_sums_of_skewed_scores_keep_partitions_small(spark):
+    """Most values crowd in a millionth of the range; every partition still holds about the rows asked for."""
+    rng = np.random.default_rng(6)
+    v = np.unique(np.concatenate([rng.random(6000) * 1e-6, rng.random(300) * 1e6]))
+    df = spark.createDataFrame(pd.DataFrame({"g": np.arange(len(v)) % 2, "v": v, "n": 1}))
+    seen = []
+    plain = order.small_side
+    order.small_side = lambda offsets, *rest: seen.append(offsets.count()) or plain(offsets, *rest)
+    try:
+        got = order.prefix_sums(df, "v", {"c": "n"}, by=["g"], part_rows=500).toPandas().sort_values(["g", "v"])
+    finally:
+        order.small_side = plain
+    assert (got.c == got.groupby("g").n.cumsum()).all() and seen[0] >= len(v) // 500
