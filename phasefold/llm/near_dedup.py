@@ -14,9 +14,9 @@
 4. What that misses: buckets that still hold several components.  Nodes
    outside the bucket's largest component meet all nodes of other components of
    that bucket, in blocks of ``BLOCK`` by ``WIDE_BLOCK`` nodes that compare sketches and emit only
-   pairs worth confirming, each in the first band that it shares.  A first round
+   pairs worth confirming, each in the first band that it shares.  Where these are many, a first round
    emits every node's closest partner only, which joins most of a group through
-   its centre; the second emits all pairs that are then still apart.  Buckets of
+   its centre; the last emits all pairs that are then still apart.  Buckets of
    two need no blocks; their one pair is compared unless it is joined by then.
 
 So no link between texts that share a band is lost, though members of a big
@@ -260,10 +260,8 @@ def _likely(pairs: DataFrame, about: DataFrame, percent: int, limit: int) -> Dat
     return near.filter(_sketch_distance("sketch", "hub_sketch") <= limit).select("hub", "node")
 
 
-def _apart(shared: DataFrame, comps: DataFrame, full: DataFrame, percent: int, limit: int, closest: bool) -> DataFrame:
-    """Pairs (hub, node) of one bucket but different components whose sketches allow a link."""
-    labelled, buckets = _mixed(shared, comps)
-    buckets = materialize(buckets, "mixed")
+def _apart(labelled: DataFrame, buckets: DataFrame, full: DataFrame, percent: int, limit: int, closest: bool) -> DataFrame:
+    """Pairs (hub, node) of one bucket but different components whose sketches allow a link, given what ``_mixed`` returns."""
     labelled = labelled.join(buckets, "key")
     two = labelled.filter("size = 2").groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("node")).select("hub", "node").distinct()
     two = _likely(two, full.select("node", "n_shingles", "sketch"), percent, limit)
@@ -309,7 +307,12 @@ def _grouped(base: DataFrame, k: int, percent: int) -> DataFrame:
             asked = materialize(_asked(shared, comps, seen), "asked")
             pairs = materialize(_likely(asked, about, percent, limit), "likely")
         else:
-            pairs = _apart(shared, comps, full, percent, limit, closest=step == ROUNDS)
+            labelled, mixed = _mixed(shared, comps)
+            mixed = materialize(mixed, "mixed")
+            meetings = mixed.agg(F.sum((F.col("size") - F.col("most")) * F.col("size"))).head()[0] or 0
+            if step == ROUNDS and meetings <= 4 * classes.count():
+                continue  # so few that all pairs may be emitted at once
+            pairs = _apart(labelled, mixed, full, percent, limit, closest=step == ROUNDS)
             pairs = asked = materialize(pairs.join(seen, ["hub", "node"], "left_anti"), "rest")
         seen = asked if seen is None else seen.union(asked)
         if not pairs.isEmpty():
