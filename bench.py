@@ -16,7 +16,7 @@ HEADLINE = [
     "phase_columns", "dedup_first", "dimensionless", "sample_per_file", "select_top_fraction", "threshold_sweep", "roc_auc", "avg_precision",
     "box_query", "brick_occupancy", "knn_exact", "knn_volume", "patch_features16", "patch_expand", "brick_voxels", "edge_blend", "sparse_cells6",
     "cell_to_particle", "serial_patches", "chunk_table", "tile_centres", "gaussian_blend", "tiled_inference", "density_products", "component_catalogue",
-    "gbt_infer", "batch_score", "stream_metrics",
+    "gbt_train_score", "gbt_infer", "batch_score", "tile_scorer", "stream_metrics",
 ]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -155,21 +156,26 @@ def tile_centres(df: DataFrame, size: float = 128.0, stride: float = 64.0, min_p
     return tiles
 
 
-def _brick_axis(low: Column, high: Column, size: float, step: float) -> Column:
-    """Indices of an axis sweep from low + half to high + half (with the sweep's 1e-6 slack)."""
-    return F.sequence(F.lit(0), F.greatest(F.ceil((high - low + F.lit(1e-6)) / F.lit(step)) - 1, F.lit(0)).cast("int"))
-
-
 def brick_lattice(df: DataFrame, size: float = 128.0, stride_fraction: float = 0.5) -> DataFrame:
-    """All brick centres of the overlapping sweep (bi, bj, bk, cx, cy, cz)."""
+    """All brick centres of the overlapping sweep (bi, bj, bk, cx, cy, cz), made in parallel from the range of their numbers.
+
+    An axis is swept from low + half to high + half (with 1e-6 of slack); no rows, no bricks.
+    """
     step = float(size) * float(stride_fraction)
     if step <= 0:
         raise ValueError("stride_fraction must give a positive step")
-    out = df.agg(*[f(p).alias(f"{n}{p}") for p in POS for n, f in (("lo", F.min), ("hi", F.max))])
-    for b, c, p in zip(("bi", "bj", "bk"), CENTRE, POS):
-        out = out.withColumn(b, F.explode(_brick_axis(F.col(f"lo{p}"), F.col(f"hi{p}"), size, step)))
-        out = out.withColumn(c, _swept(F.col(f"lo{p}"), F.lit(0.5 * size), step, F.col(b)))
-    return out.select("bi", "bj", "bk", *CENTRE)
+    spark = df.sparkSession
+    ends = df.agg(*[f(p) for p in POS for f in (F.min, F.max)]).first()
+    if ends[0] is None:
+        return spark.createDataFrame([], "bi int, bj int, bk int, cx double, cy double, cz double")
+    lows, highs = ends[::2], ends[1::2]
+    counts = [max(math.ceil((high - low + 1e-6) / step) - 1, 0) + 1 for low, high in zip(lows, highs)]
+    number, indices = F.col("id"), []
+    for n in reversed(counts):
+        indices.insert(0, F.pmod(number, F.lit(n)).cast("int"))
+        number = F.floor(number / n)
+    out = spark.range(math.prod(counts)).select(*[i.alias(b) for i, b in zip(indices, ("bi", "bj", "bk"))])
+    return out.withColumns({c: _swept(F.lit(float(low)), F.lit(0.5 * size), step, F.col(b)) for c, low, b in zip(CENTRE, lows, ("bi", "bj", "bk"))})
 
 
 def assign_bricks(df: DataFrame, size: float = 128.0, stride_fraction: float = 0.5) -> DataFrame:

@@ -191,13 +191,19 @@ def patch_centres(particles: DataFrame, n_stream: int, n_background: int, overla
 
 def patch_table(particles: DataFrame, centres: DataFrame, k: int = 48, base_box: float = 80.0, space: str = "xyzv",
                 augmented: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(point features per rank, 12 summaries) of mixed patches around each centre."""
+    """(point features per rank, 12 summaries) of mixed patches around each centre.
+
+    Centres with a ``draw`` column may repeat: a place is searched once and every draw of it is a patch of its own.
+    """
     full = phase_columns(particles)
     source = F.when(F.col("is_stream") == 1, F.col("file_id").cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
-    centres = centres.dropDuplicates(["centre_id"])  # repeated draws share one patch
-    found = neighbours.box_patches(centres, particles.select("particle_id", *BASE, source.alias("source")), k, base_box, space=space)
+    drawn = "draw" in centres.columns
+    places = centres.drop("draw").dropDuplicates(["centre_id"])
+    found = neighbours.box_patches(places, particles.select("particle_id", *BASE, source.alias("source")), k, base_box, space=space)
     keep = ["label"]
+    if drawn:
+        found, keep = found.join(centres.select("centre_id", "draw").distinct(), "centre_id"), ["label", "draw"]
     points = patches.point_features16(found, patches.point_stats(full), "centre_id", keep)
     if augmented:
-        points = augment.augment_patch(points, "centre_id", seed)
+        points = augment.augment_patch(points, "centre_id", seed, draw_col="draw" if drawn else None)
     return points, patches.patch_summary12(found, "centre_id", keep)

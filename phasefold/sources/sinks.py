@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phasefold.operators.blending import threshold_masks
 from phasefold.operators.metrics import MASK_THRESHOLDS
+from phasefold.session import cut_lineage
 
 
 def write_predictions(df: DataFrame, path: str, group: str, expected_rows: int | None = None,
@@ -17,6 +18,7 @@ def write_predictions(df: DataFrame, path: str, group: str, expected_rows: int |
     Refuses to add a group whose row count differs from the source's.
     """
     if expected_rows is not None:
+        df = cut_lineage(df)  # counted and written from one computation
         rows = df.count()
         if rows != expected_rows:
             raise ValueError(f"prediction group has {rows} rows, the source has {expected_rows}")
