@@ -217,3 +217,18 @@ def test_tiles_write_no_row_per_pair(spark, cloud, monkeypatch):
     got = pipelines.tiled_inference(spark.createDataFrame(cloud), scorer, 40.0, 20.0, strategy="all", grid_size=8.0)
     assert got["predictions"].where("abs(probability - 0.5) < 1e-9").count() == len(cloud)
     assert max(held) < len(cloud)
+
+
+def test_centres_over_the_same_cells_share_a_sum(spark, cloud, monkeypatch):
+    df = spark.createDataFrame(cloud)
+    held, plain = [], spatial.cut_lineage
+    monkeypatch.setattr(spatial, "cut_lineage", lambda part: held.append(part.count()) or plain(part))
+    got = spatial.touched_population(spatial.candidate_centres(df), df, 400.0, 400.0).toPandas().set_index("centre_id").touched
+    want = pd.Series(0, index=cloud.particle_id)
+    for _, rows in cloud.groupby("is_stream"):
+        pos, low = rows[["x", "y", "z"]].to_numpy(), rows[["x", "y", "z"]].min().to_numpy()
+        cells = np.floor((pos - low) / 400.0)
+        at = cloud[["x", "y", "z"]].to_numpy()
+        lo, hi = np.floor((at - 200.0 - low) / 400.0), np.floor((at + 200.0 - low) / 400.0)
+        want += [int(np.all((cells >= a) & (cells <= b), axis=1).sum()) for a, b in zip(lo, hi)]
+    assert (got.sort_index() == want.sort_index()).all() and max(held) < len(cloud) / 2
