@@ -232,3 +232,21 @@ def test_centres_over_the_same_cells_share_a_sum(spark, cloud, monkeypatch):
         lo, hi = np.floor((at - 200.0 - low) / 400.0), np.floor((at + 200.0 - low) / 400.0)
         want += [int(np.all((cells >= a) & (cells <= b), axis=1).sum()) for a, b in zip(lo, hi)]
     assert (got.sort_index() == want.sort_index()).all() and max(held) < len(cloud) / 2
+
+
+def test_augmented_chunks_write_no_members(spark, cloud, monkeypatch):
+    """Rotations and scales are drawn once a centre, and only tables of a row a centre are written."""
+    from phasefold.operators import augment
+
+    rows = spark.createDataFrame(cloud)
+    at = spark.createDataFrame([(i, float(i % 3), 0.0, 1.0) for i in range(5)], "centre_id bigint, cx double, cy double, cz double")
+    written, plain = [], pipelines.cut_lineage
+    monkeypatch.setattr(pipelines, "cut_lineage", lambda df: written.append(df.count()) or plain(df))
+    got = pipelines.chunk_table(rows, at, 40.0, augmented=True, relative=True, seed=3).groupBy("centre_id").agg(F.sum("n").alias("n")).toPandas()
+    assert len(got) == 5 and written and max(written) <= 5
+
+    members = rows.join(at)
+    keys, cols = ["centre_id", "particle_id"], ["x", "y", "z", "vx", "vy", "vz", "cx", "cy", "cz", "unit_scale", "lmag"]
+    a = augment.augment_chunk(members, "centre_id", 3, relative=True).toPandas().sort_values(keys)
+    b = augment.augment_drawn(rows.join(augment.chunk_draws(at, "centre_id", 3, relative=True))).toPandas().sort_values(keys)
+    assert (a[cols].to_numpy() == b[cols].to_numpy()).all()
