@@ -22,6 +22,11 @@ from phasefold.session import cut_lineage, ensure_checkpoint_dir
 GBT_DEFAULTS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
 
 
+WALK_ROWS = 1024  # rows whose margins of all rounds a task holds at once
+FIRST_ROUNDS = 100  # rounds grown before patience is asked for the first time
+TRAIN_ROWS = 20_000  # rows of a training partition, at least: every level of every tree is a job over all partitions
+
+
 def train_gbt(train: DataFrame, features: Sequence[str], label: str = "is_stream", validation: str | None = None, **params) -> PipelineModel:
     """Boosted trees on a feature table; ``validation`` names a boolean column that enables early stopping."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
@@ -30,6 +35,7 @@ def train_gbt(train: DataFrame, features: Sequence[str], label: str = "is_stream
     if validation:
         learner = learner.setValidationIndicatorCol(validation)
     ensure_checkpoint_dir(train.sparkSession)
+    train = train.coalesce(max(1, -(-train.count() // TRAIN_ROWS)))
     keep = [*features, label, *([validation] if validation else [])]
     data = assembler.transform(train.select(*keep).withColumn(label, F.col(label).cast("double")))
     return PipelineModel(stages=[assembler, learner.fit(data)])
@@ -202,15 +208,20 @@ def first_rounds(model: PipelineModel, rounds: int) -> PipelineModel:
 def train_gbt_patient(train: DataFrame, validation: DataFrame, features: Sequence[str], label: str = "is_stream", patience: int = 25, **params) -> tuple[PipelineModel, dict]:
     """Boosted trees cut at the best validation round: (model, {best_iteration, best_score, rounds}).
 
-    All rounds are grown, then the validation rows are scored once for every round.  The best round is the one that
-    no better one followed within ``patience`` rounds, so later rounds can't change the answer.
+    The validation rows are scored once for every round grown.  The best round is the one that no better one followed
+    within ``patience`` rounds, so later rounds can't change the answer.  Rounds do not depend on how many follow: the
+    first ``FIRST_ROUNDS`` are grown alone, and all of them only if patience has not ended by then.
     """
-    full = train_gbt(train, features, label, **params)
-    losses = [r.logloss for r in staged_losses(full, validation, label).orderBy("round").collect()]  # one row per round
-    if not losses:
-        raise ValueError("no validation rows")
-    best = best_round(losses, patience)
-    return first_rounds(full, best + 1), {"best_iteration": best, "best_score": float(losses[best]), "rounds": len(losses)}
+    most = {**GBT_DEFAULTS, **params}["maxIter"]
+    for rounds in sorted({min(max(FIRST_ROUNDS, patience), most), most}):
+        grown = train_gbt(train, features, label, **{**params, "maxIter": rounds})
+        losses = [r.logloss for r in staged_losses(grown, validation, label).orderBy("round").collect()]  # one row per round
+        if not losses:
+            raise ValueError("no validation rows")
+        best = best_round(losses, patience)
+        if best + patience < len(losses):
+            break
+    return first_rounds(grown, best + 1), {"best_iteration": best, "best_score": float(losses[best]), "rounds": len(losses)}
 
 
 def gbt_eval_history(model: PipelineModel, sets: DataFrame | dict[str, DataFrame], label: str = "is_stream") -> DataFrame:

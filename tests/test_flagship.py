@@ -106,3 +106,17 @@ def test_history_of_both_sets(table, fitted):
 def test_empty_validation_is_refused(table):
     with pytest.raises(ValueError, match="no validation"):
         learning.train_gbt_patient(table, table.limit(0), list(patches.FEATURES_16), maxIter=1, maxDepth=1)
+
+
+def test_patience_that_ends_early_grows_no_further_rounds(table, monkeypatch):
+    noisy = table.withColumn("is_stream", F.when(F.col("particle_id") % 4 == 0, 1 - F.col("is_stream")).otherwise(F.col("is_stream")))
+    held, features = F.col("particle_id") % 4 == 0, list(patches.FEATURES_16)
+    asked, plain = [], learning.train_gbt
+    monkeypatch.setattr(learning, "train_gbt", lambda *a, **k: asked.append(k["maxIter"]) or plain(*a, **k))
+    monkeypatch.setattr(learning, "FIRST_ROUNDS", 5)
+    model, report = learning.train_gbt_patient(noisy.where(~held), noisy.where(held), features, patience=2, maxIter=12, maxDepth=3, stepSize=0.5)
+    monkeypatch.setattr(learning, "FIRST_ROUNDS", 12)
+    whole, want = learning.train_gbt_patient(noisy.where(~held), noisy.where(held), features, patience=2, maxIter=12, maxDepth=3, stepSize=0.5)
+    assert asked == [5, 12] and report["best_iteration"] == want["best_iteration"] < 3
+    rows = noisy.orderBy("particle_id")
+    assert learning.score(model, rows).select("prob").toPandas().equals(learning.score(whole, rows).select("prob").toPandas())
