@@ -98,18 +98,20 @@ def read_nodes(spark: SparkSession, path: str, weights: Sequence[float]) -> Data
         node["prediction"].alias("prediction"), F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("treeID") + 1).alias("weight"))
 
 
-def node_margins(df: DataFrame, nodes: DataFrame, features: Sequence[str], depth: int = GBT_DEFAULTS["maxDepth"]) -> DataFrame:
-    """Adds ``node_margin``: the margin by SQL alone, every tree walked down its node table of at most ``depth`` levels.
+def node_margins(df: DataFrame, nodes: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Adds ``node_margin``: the margin without Spark's predictor, every tree walked down its node table.
 
-    An independent check of a saved model; the trees travel as one row of bounded size.
+    An independent check of a saved model; the trees are of bounded size and travel with the tasks, the rows are walked in batches.
     """
-    fields = ("feature", "threshold", "left", "right")
-    trees = nodes.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("node", *fields, (F.col("prediction") * F.col("weight")).alias("value")))).alias("n"))
-    forest = trees.agg(F.transform(F.sort_array(F.collect_list(F.struct("tree", "n"))), lambda t: t["n"]).alias("_forest"))
-    step = "IF(t[at].feature < 0, at, IF(_x[t[at].feature] <= t[at].threshold, t[at].left, t[at].right))"
-    rows = df.withColumn("_x", F.array(*[F.col(f).cast("double") for f in features])).join(F.broadcast(forest))
-    walk = f"2D * aggregate(_forest, 0D, (s, t) -> s + t[aggregate(sequence(1, {depth}), 0, (at, i) -> {step})].value)"
-    return rows.withColumn("node_margin", F.expr(walk)).drop("_x", "_forest")
+    margins, features = _staged_kernel(nodes), list(features)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False).astype(np.float64) for f in features])
+            last = [margins(x[at:at + WALK_ROWS])[-1] for at in range(0, len(x), WALK_ROWS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*last, np.zeros(0)]))], names=[*batch.schema.names, "node_margin"])
+
+    return df.mapInArrow(walk, ", ".join([*_typed(df), "node_margin double"]))
 
 
 def _staged_kernel(nodes: DataFrame) -> Callable[[np.ndarray], np.ndarray]:

@@ -120,3 +120,10 @@ def test_patience_that_ends_early_grows_no_further_rounds(table, monkeypatch):
     assert asked == [5, 12] and report["best_iteration"] == want["best_iteration"] < 3
     rows = noisy.orderBy("particle_id")
     assert learning.score(model, rows).select("prob").toPandas().equals(learning.score(whole, rows).select("prob").toPandas())
+
+
+def test_node_margins_walk_rows_in_batches(table, fitted):
+    """No interpreted lambda a row, tree and level: 300 trees of depth 6 would be some 1 800 a row."""
+    out = learning.node_margins(table, learning.node_table(PipelineModel(stages=fitted.stages[1:3])), patches.FEATURES_16)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "node_margin" in out.columns
