@@ -11,12 +11,13 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType
 
+from phasefold.functions.order import SCAN_ROWS
 from phasefold.functions.phase import prior_correct
-from phasefold.operators.metrics import average_precision, roc_auc, select_threshold, select_top_fraction
-from phasefold.session import cut_lineage, ensure_checkpoint_dir
+from phasefold.operators.metrics import select_threshold, select_top_fraction
+from phasefold.session import cut_lineage, ensure_checkpoint_dir, small_side
 
 # Boosting defaults.
 GBT_DEFAULTS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
@@ -158,11 +159,6 @@ def staged_scores(model: PipelineModel, df: DataFrame, label: str = "is_stream",
     return df.select(*carry, F.col(label).cast("int").alias("y_true"), *[F.col(f).cast("double") for f in features]).mapInArrow(spread, schema)
 
 
-def _log_loss(prob: Column) -> Column:
-    clipped = F.least(F.greatest(prob, F.lit(1e-15)), F.lit(1.0 - 1e-15))
-    return -F.log(F.when(F.col("y_true") == 1, clipped).otherwise(1.0 - clipped))
-
-
 def staged_losses(model: PipelineModel, df: DataFrame, label: str = "is_stream") -> DataFrame:
     """(round, logloss): a task sends one sum a round, not its rows."""
     features, margins = model.stages[0].getInputCols(), _staged_kernel(node_table(model))
@@ -227,16 +223,70 @@ def train_gbt_patient(train: DataFrame, validation: DataFrame, features: Sequenc
 
 
 def gbt_eval_history(model: PipelineModel, sets: DataFrame | dict[str, DataFrame], label: str = "is_stream") -> DataFrame:
-    """Log-loss, AUC and average precision after every boosting round; with named sets one block of rows a set (``set``)."""
-    named = {"": sets} if isinstance(sets, DataFrame) else sets
-    long = None
+    """Log-loss, AUC and average precision after every boosting round; with named sets one block of rows a set (``set``).
+
+    The scores of a round travel sorted and packed, cut into parts of about ``SCAN_ROWS`` rows at values taken from a
+    sample, which only balances the parts.  Part totals give every part what lies below and above it, so the areas are exact.
+    """
+    named, features, margins = {"": sets} if isinstance(sets, DataFrame) else sets, model.stages[0].getInputCols(), _staged_kernel(node_table(model))
+    rows = None
     for name, df in named.items():
-        part = staged_scores(model, df, label).withColumn("set", F.lit(name))
-        long = part if long is None else long.unionByName(part)
-    long = cut_lineage(long)
+        part = df.select(F.lit(name).alias("set"), F.col(label).cast("int").alias("y_true"), *[F.col(f).cast("double") for f in features])
+        rows = part if rows is None else rows.unionByName(part)
+    total = rows.count()
+    parts = max(1, -(-total // SCAN_ROWS))
+    cuts = None
+    if parts > 1:
+        sample = rows.where(F.rand(7) < F.lit(64.0 * parts / total)).select(*features).toPandas().to_numpy()  # some 64 rows a part
+        cuts = np.quantile(1.0 / (1.0 + np.exp(-margins(sample))), np.arange(1, parts) / parts, axis=1).T if len(sample) else None
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, y = batch.column("set").to_numpy(zero_copy_only=False), batch.column("y_true").to_numpy(zero_copy_only=False) == 1
+            x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features])
+            for name in dict.fromkeys(names):
+                mine = np.flatnonzero(names == name)
+                for at in range(0, len(mine), WALK_ROWS):
+                    take = mine[at:at + WALK_ROWS]
+                    prob, pos = 1.0 / (1.0 + np.exp(-margins(x[take]))), y[take]
+                    clipped = np.clip(prob, 1e-15, 1.0 - 1e-15)
+                    loss = -np.log(np.where(pos, clipped, 1.0 - clipped))
+                    order = np.argsort(prob, axis=1)
+                    prob, pos, loss = np.take_along_axis(prob, order, 1), pos[order], np.take_along_axis(loss, order, 1)
+                    ends = [[0, *([] if cuts is None else np.searchsorted(prob[r], cuts[r])), len(take)] for r in range(len(prob))]
+                    runs = [(r, p, r * len(take) + e[p], r * len(take) + e[p + 1]) for r, e in enumerate(ends) for p in range(len(e) - 1) if e[p] < e[p + 1]]
+                    r, p, a, b = (np.array(c, np.int64) for c in zip(*runs))
+                    n_pos = np.add.reduceat(pos.ravel().astype(np.int64), a)
+                    offsets = pa.array(np.append(a, prob.size).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(r)), pa.array(r.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(np.add.reduceat(loss.ravel(), a)), pa.array(n_pos),
+                         pa.array(b - a - n_pos), pa.ListArray.from_arrays(offsets, pa.array(prob.ravel())), pa.ListArray.from_arrays(offsets, pa.array(pos.ravel()))],
+                        names=["set", "round", "part", "loss", "n_pos", "n_neg", "probs", "positive"])
+
+    def areas(table: pa.Table) -> pa.Table:
+        below, above_pos, above_neg = (table.column(c)[0].as_py() for c in ("_below", "_above_pos", "_above_neg"))
+        probs, at = np.unique(table.column("probs").combine_chunks().flatten().to_numpy(), return_inverse=True)
+        positive = table.column("positive").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        pos, neg = (np.bincount(at[kind], minlength=len(probs)).astype(np.int64) for kind in (positive, ~positive))
+        wins = (pos * (below + np.cumsum(neg) - neg / 2.0)).sum()
+        down_pos, down_neg = above_pos + np.cumsum(pos[::-1])[::-1], above_neg + np.cumsum(neg[::-1])[::-1]
+        steps = (pos * (down_pos / (down_pos + down_neg))).sum()
+        return pa.table({"set": table.column("set").slice(0, 1), "round": table.column("round").slice(0, 1), "_w": [float(wins)], "_s": [float(steps)]})
+
+    packed = cut_lineage(rows.mapInArrow(pack, "set string, round int, part int, loss double, n_pos bigint, n_neg bigint, probs array<double>, positive array<boolean>"))
     keys = ["set", "round"]
-    loss = long.groupBy(*keys).agg(F.avg(_log_loss(F.col("prob"))).alias("logloss"))
-    out = loss.join(roc_auc(long, keys), keys).join(average_precision(long, keys), keys).orderBy(*keys)
+    totals = cut_lineage(packed.groupBy(*keys, "part").agg(*[F.sum(c).alias(c) for c in ("loss", "n_pos", "n_neg")]))  # a row a round and part
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    over = lambda c, w, name: F.coalesce(F.sum(c).over(w), F.lit(0)).alias(name)
+    offsets = totals.select(*keys, "part", over("n_neg", before, "_below"), over("n_pos", after, "_above_pos"), over("n_neg", after, "_above_neg"))
+    sums = packed.select(*keys, "part", "probs", "positive").join(small_side(offsets), [*keys, "part"]).groupBy(*keys, "part").applyInArrow(
+        areas, "set string, round int, _w double, _s double").groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_s").alias("_s"))
+    known = totals.groupBy(*keys).agg(F.sum("loss").alias("_loss"), F.sum("n_pos").cast("double").alias("_p"), F.sum("n_neg").cast("double").alias("_n"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(float("nan")))
+    out = known.join(sums, keys).select(
+        *keys, (F.col("_loss") / (F.col("_p") + F.col("_n"))).alias("logloss"), ratio(F.col("_w"), F.col("_p") * F.col("_n")).alias("auc"),
+        ratio(F.col("_s"), F.col("_p")).alias("auprc")).orderBy(*keys)
     return out.drop("set") if isinstance(sets, DataFrame) else out
 
 

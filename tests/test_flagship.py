@@ -108,6 +108,23 @@ def test_empty_validation_is_refused(table):
         learning.train_gbt_patient(table, table.limit(0), list(patches.FEATURES_16), maxIter=1, maxDepth=1)
 
 
+def test_history_over_many_parts_equals_the_metrics(table, fitted, monkeypatch):
+    """Rounds are cut into parts; every area equals the one over all scores, and no row a round and row is made."""
+    trees, held = PipelineModel(stages=fitted.stages[1:3]), F.col("particle_id") % 4 == 0
+    sets = {"train": table.where(~held), "val": table.where(held)}
+    monkeypatch.setattr(learning, "SCAN_ROWS", 40)
+    sizes, plain = [], learning.cut_lineage
+    monkeypatch.setattr(learning, "cut_lineage", lambda df: sizes.append(df.count()) or plain(df))
+    got = learning.gbt_eval_history(trees, sets).toPandas().set_index(["set", "round"])
+    rounds = trees.stages[-1].getNumTrees
+    assert max(sizes) < 300 * rounds / 2
+    for name, part in sets.items():
+        for at in range(rounds):
+            scored = learning.staged_scores(trees, part).where(F.col("round") == at).select("y_true", "prob").cache()
+            row = got.loc[(name, at)]
+            assert row.auc == pytest.approx(metrics.roc_auc(scored).first().auc) and row.auprc == pytest.approx(metrics.average_precision(scored).first().auprc)
+
+
 def test_patience_that_ends_early_grows_no_further_rounds(table, monkeypatch):
     noisy = table.withColumn("is_stream", F.when(F.col("particle_id") % 4 == 0, 1 - F.col("is_stream")).otherwise(F.col("is_stream")))
     held, features = F.col("particle_id") % 4 == 0, list(patches.FEATURES_16)
