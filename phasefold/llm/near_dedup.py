@@ -13,10 +13,11 @@
    So a round compares no more pairs than there are nodes, however large a group is.
 4. What that misses: buckets that still hold several components.  Nodes
    outside the bucket's largest component meet all nodes of other components of
-   that bucket, in blocks of ``BLOCK`` by ``WIDE_BLOCK`` nodes that compare sketches and emit only
-   pairs worth confirming, each in the first band that it shares.  Where these are many, a first round
-   emits every node's closest partner only, which joins most of a group through
-   its centre; the last emits all pairs that are then still apart.  Buckets of
+   that bucket, in blocks of ``BLOCK`` by ``WIDE_BLOCK`` nodes that compare sketches.  Where these are many, a first
+   round emits every node's closest partner only, which joins most of a group through
+   its centre.  The last round emits no pairs: its blocks name the nodes that have a pair worth confirming, in the
+   first band that the pair shares, and these nodes meet again with their full sets, in blocks of bounded bytes that
+   confirm every pair still apart and emit one link for two components they join.  Buckets of
    two need no blocks; their one pair is compared unless it is joined by then.
 
 So no link between texts that share a band is lost, though members of a big
@@ -56,6 +57,8 @@ BLOCK, WIDE_BLOCK = 512, 4096
 ROUNDS = 3
 #: Sets that meet a hub's set in one task.
 SET_BLOCK = 256
+#: Nodes on a side of a block that confirms on full sets, and bytes of their sets.
+SET_NODES, SET_BYTES = 2048, 16 << 20
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -154,15 +157,20 @@ def confirmer(percent: int):
     return confirm
 
 
+def _sets(nodes: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """node, set of the given nodes."""
+    nodes = small_side(nodes)
+    texts = base.join(nodes, base["row"] == nodes["node"]).select("node", "text")
+    return materialize(texts.mapInArrow(set_maker(k), "node long, set binary"), "sets")
+
+
 def confirmed_links(pairs: DataFrame, base: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the distinct ``pairs`` (hub, node) those whose full sets reach the threshold: a, b.
 
     Sets are made for the nodes concerned only; a hub's set goes to each slice of about ``SET_BLOCK`` partners.
     """
     pairs = materialize(pairs, "pairs")
-    nodes = small_side(pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct())
-    texts = base.join(nodes, base["row"] == nodes["node"]).select("node", "text")
-    sets = materialize(texts.mapInArrow(set_maker(k), "node long, set binary"), "sets")
+    sets = _sets(pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct(), base, k)
     sizes = pairs.groupBy(F.col("hub").alias("h")).agg(F.ceil(F.count("*") / SET_BLOCK).alias("slices"))
     sliced = pairs.join(sizes, F.col("hub") == F.col("h")).select("hub", "node", F.pmod(F.xxhash64("node"), "slices").alias("slice"))
     left = sliced.join(sets, "node").select("hub", "slice", "node", "set")
@@ -189,48 +197,109 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def block_pairs(percent: int, limit: int, closest: bool):
-    """Cogroup function: blocks of nodes of one bucket, sketch comparison between components.
-
-    Emits all pairs that may be links, or with ``closest`` just the best one of each node on the left.
-    """
+def _near(left: pa.Table, right: pa.Table, percent: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions left and right, in order, and sketch distance of the pairs of different components that may be links."""
     step = 256
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        def columns(t: pa.Table):
-            lists = [np.asarray(t.column(n).combine_chunks().flatten()).view(np.uint64).reshape(t.num_rows, -1) for n in ("sketch", "bands") if n in t.column_names]
-            return t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("n_shingles").to_numpy(), lists[0], lists[-1]
+    def columns(t: pa.Table):
+        sketch = np.asarray(t.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(t.num_rows, -1)
+        return t.column("comp").to_numpy(), t.column("n_shingles").to_numpy(), sketch
+
+    if left.num_rows and right.num_rows:
+        lc, ls, lk = columns(left)
+        rc, rs, rk = columns(right)
+        for i in range(0, len(lc), step):
+            part = slice(i, i + step)
+            ok = lc[part, None] != rc[None, :]
+            ok &= (100 * np.minimum(ls[part, None], rs[None, :]) >= percent * np.maximum(ls[part, None], rs[None, :]))
+            a, b = np.nonzero(ok)
+            apart = np.concatenate([np.bitwise_count(lk[part][a[k:k + 65536]] ^ rk[b[k:k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
+            near = apart <= limit
+            yield a[near] + i, b[near], apart[near]
+
+
+def _first_met(left: pa.Table, right: pa.Table, percent: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of ``_near`` the pairs whose first shared band is the block's, two nodes outside the largest component once only."""
+    if left.num_rows and right.num_rows:
+        bands = [np.asarray(t.column("bands").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (left, right)]
+        nodes, inside, band = [t.column("node").to_numpy() for t in (left, right)], ~right.column("outside").to_numpy(zero_copy_only=False), left.column("band")[0].as_py()
+        for a, b, _ in _near(left, right, percent, limit):
+            once = inside[b] | (nodes[0][a] < nodes[1][b])
+            a, b = a[once], b[once]
+            new = (bands[0][a] == bands[1][b]).argmax(axis=1) == band
+            yield a[new], b[new]
+
+
+def closest_pairs(percent: int, limit: int):
+    """Cogroup function: blocks of nodes of one bucket to the best pair of each node on the left."""
 
-        out_a, out_b, out_d = [], [], []
-        if left.num_rows and right.num_rows:
-            ln, lc, ls, lk, lb = columns(left)
-            rn, rc, rs, rk, rb = columns(right)
-            band = left.column("band")[0].as_py()
-            for i in range(0, len(ln), step):
-                part = slice(i, i + step)
-                ok = lc[part, None] != rc[None, :]
-                ok &= (100 * np.minimum(ls[part, None], rs[None, :]) >= percent * np.maximum(ls[part, None], rs[None, :]))
-                a, b = np.nonzero(ok)
-                apart = np.concatenate([np.bitwise_count(lk[part][a[k:k + 65536]] ^ rk[b[k:k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
-                near = apart <= limit
-                a, b, apart = a[near], b[near], apart[near]
-                if closest:
-                    order = np.lexsort((rn[b], apart, a))
-                    first = np.ones(len(order), bool)
-                    first[1:] = a[order[1:]] != a[order[:-1]]
-                    a, b, apart = a[order[first]], b[order[first]], apart[order[first]]
-                else:
-                    new = (lb[part][a] == rb[b]).argmax(axis=1) == band
-                    a, b, apart = a[new], b[new], apart[new]
-                out_a.append(ln[part][a])
-                out_b.append(rn[b])
-                out_d.append(apart)
-        a, b, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b, out_d))
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for a, b, apart in _near(left, right, percent, limit):
+            asker, other = left.column("node").to_numpy()[a], right.column("node").to_numpy()[b]
+            order = np.lexsort((other, apart, a))
+            first = np.ones(len(order), bool)
+            first[1:] = a[order[1:]] != a[order[:-1]]
+            best = order[first]
+            out.append((asker[best], other[best], apart[best]))
+        a, b, d = (np.concatenate(x) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 3
         return pa.table({"asker": pa.array(a), "hub": pa.array(np.minimum(a, b)), "node": pa.array(np.maximum(a, b)), "apart": pa.array(d)})
 
     return compare
 
 
+MET = "key long, band int, node long, comp long, outside boolean, n_shingles long"
+
+
+def meeting_nodes(percent: int, limit: int):
+    """Cogroup function: of blocks of nodes of one bucket those that have a pair worth confirming."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.rename_columns([n.removeprefix("r_") for n in right.column_names])
+        has = [np.zeros(t.num_rows, bool) for t in (left, right)]
+        for a, b in _first_met(left, right, percent, limit):
+            has[0][a] = has[1][b] = True
+        names = ["key", "band", "node", "comp", "outside", "n_shingles"]
+        return pa.concat_tables([t.select(names).filter(pa.array(h)) for t, h in zip((left, right), has)])
+
+    return meet
+
+
+def block_links(percent: int, limit: int):
+    """Cogroup function: blocks of nodes with their full sets to one confirmed link for two components they join."""
+
+    def link(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            n = left.num_rows
+            nodes, comps = (np.concatenate([t.column(c).to_numpy() for t in (left, right)]) for c in ("node", "comp"))
+            sets = [np.frombuffer(cell.as_buffer(), np.uint64) for t in (left, right) for cell in t.column("set")]
+            sizes = np.array([len(x) for x in sets])
+            cut = np.concatenate([[0], np.cumsum(sizes)])
+            values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            codes, mark, group = codes.astype(np.int32), np.zeros(len(values), bool), np.unique(comps, return_inverse=True)[1]
+            for a, b in _first_met(left, right, percent, limit):
+                bounds = np.concatenate([[0], np.nonzero(np.diff(a))[0] + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
+                for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    i, others = int(a[start]), b[start:end] + n
+                    others = others[group[others] != group[i]]
+                    if not len(others):
+                        continue
+                    own = codes[cut[i]:cut[i + 1]]
+                    mark[own] = True
+                    found = mark[np.concatenate([codes[cut[j]:cut[j + 1]] for j in others])]
+                    mark[own] = False
+                    common = np.add.reduceat(found, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+                    for j in others[100 * common >= percent * (sizes[i] + sizes[others] - common)].tolist():
+                        if group[j] != group[i]:
+                            group[group == group[j]] = group[i]
+                            out.append((i, j))
+        i, j = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(nodes[i] if len(i) else i, pa.int64()), "b": pa.array(nodes[j] if len(j) else j, pa.int64())})
+
+    return link
+
+
 def _sketch_distance(a: str, b: str):
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
@@ -260,25 +329,51 @@ def _likely(pairs: DataFrame, about: DataFrame, percent: int, limit: int) -> Dat
     return near.filter(_sketch_distance("sketch", "hub_sketch") <= limit).select("hub", "node")
 
 
-def _apart(labelled: DataFrame, buckets: DataFrame, full: DataFrame, percent: int, limit: int, closest: bool) -> DataFrame:
-    """Pairs (hub, node) of one bucket but different components whose sketches allow a link, given what ``_mixed`` returns."""
+def _upto(n):
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+
+
+def _apart(labelled: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Given what ``_mixed`` returns: the pairs (hub, node) of buckets of two, and the members of the larger ones."""
     labelled = labelled.join(buckets, "key")
     two = labelled.filter("size = 2").groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("node")).select("hub", "node").distinct()
-    two = _likely(two, full.select("node", "n_shingles", "sketch"), percent, limit)
-    mixed = labelled.filter("size > 2").select("key", "band", "node", "comp", "size", "most", "major").join(full, "node")
-    slices = lambda n, block: F.greatest(F.lit(1), F.ceil(n / block))
-    left_slices, right_slices = slices(F.col("size") - F.col("most"), BLOCK), slices(F.col("size"), WIDE_BLOCK)
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-    # the bands tell the first bucket that a pair shares, which only the round that emits all pairs asks for
-    cols = ["band", "node", "comp", "n_shingles", "sketch"] + ([] if closest else ["bands"])
-    left = mixed.filter("comp <> major").select("key", *cols, F.pmod(F.xxhash64("node"), left_slices).alias("i"), upto(right_slices).alias("j"))
-    right = mixed.select(F.col("key").alias("r_key"), *[F.col(c).alias(c) for c in cols], F.pmod(F.xxhash64("node"), right_slices).alias("r_j"), upto(left_slices).alias("r_i"))
-    pairs = left.groupBy("key", "i", "j").cogroup(right.groupBy("r_key", "r_i", "r_j")).applyInArrow(
-        block_pairs(percent, limit, closest), "asker long, hub long, node long, apart long")
-    if closest:
-        best = F.min_by(F.struct("hub", "node"), F.struct("apart", "hub", "node")).alias("b")
-        pairs = pairs.groupBy("asker").agg(best).select("b.hub", "b.node")
-    return pairs.select("hub", "node").union(two).distinct()
+    members = labelled.filter("size > 2").select("key", "band", "node", "comp", "size", "most", (F.col("comp") != F.col("major")).alias("outside"))
+    return two, members
+
+
+def _with_columns_of(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members with the columns that ``nodes`` has for each node; a node is looked up once for all its buckets."""
+    own = [c for c in members.columns if c != "node"]
+    lists = members.groupBy("node").agg(F.collect_list(F.struct(*own)).alias("_at"))
+    return lists.join(nodes, "node").select(*nodes.columns, F.explode("_at").alias("_m")).select(*nodes.columns, *[F.col(f"_m.{c}").alias(c) for c in own])
+
+
+def _blocks(members: DataFrame, left_slices, right_slices, cols: list[str]):
+    """Cogrouped blocks of one bucket: nodes outside its largest component on the left, all its nodes on the right (key as r_key)."""
+    members = members.withColumns({"_ls": F.greatest(F.lit(1), F.ceil(left_slices)), "_rs": F.greatest(F.lit(1), F.ceil(right_slices))})
+    left = members.filter("outside").select("key", *cols, F.pmod(F.xxhash64("node"), "_ls").alias("i"), _upto(F.col("_rs")).alias("j"))
+    right = members.select(F.col("key").alias("r_key"), *[F.col(c).alias(c) for c in cols], F.pmod(F.xxhash64("node"), "_rs").alias("r_j"), _upto(F.col("_ls")).alias("r_i"))
+    return left.groupBy("key", "i", "j").cogroup(right.groupBy("r_key", "r_i", "r_j"))
+
+
+def _closest(members: DataFrame, full: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Pairs (hub, node): each outside node's closest partner of another component in its buckets."""
+    blocks = _blocks(_with_columns_of(members, full), (F.col("size") - F.col("most")) / BLOCK, F.col("size") / WIDE_BLOCK, ["node", "comp", "n_shingles", "sketch"])
+    pairs = blocks.applyInArrow(closest_pairs(percent, limit), "asker long, hub long, node long, apart long")
+    return pairs.groupBy("asker").agg(F.min_by(F.struct("hub", "node"), F.struct("apart", "hub", "node")).alias("b")).select("b.hub", "b.node")
+
+
+def _block_links(members: DataFrame, full: DataFrame, base: DataFrame, k: int, percent: int, limit: int) -> DataFrame:
+    """Links (a, b) that join all that is linked inside a bucket, confirmed on full sets without a row per pair."""
+    cols = ["band", "node", "comp", "outside", "n_shingles", "sketch", "bands"]
+    blocks = _blocks(_with_columns_of(members, full), (F.col("size") - F.col("most")) / BLOCK, F.col("size") / WIDE_BLOCK, cols)
+    met = materialize(blocks.applyInArrow(meeting_nodes(percent, limit), MET).dropDuplicates(["key", "node"]), "met")
+    sets = _sets(met.select("node").distinct(), base, k)
+    part = lambda n, size: F.greatest(n / SET_NODES, size * 8 / SET_BYTES)
+    outside = F.when(F.col("outside"), F.col("n_shingles"))
+    sizes = met.groupBy("key").agg(part(F.count(outside), F.sum(F.coalesce(outside, F.lit(0)))).alias("left"), part(F.count("*"), F.sum("n_shingles")).alias("right"))
+    whole = _with_columns_of(met.join(sizes, "key"), full.drop("n_shingles").join(sets, "node"))
+    return _blocks(whole, F.col("left"), F.col("right"), [*cols, "set"]).applyInArrow(block_links(percent, limit), "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -303,6 +398,7 @@ def _grouped(base: DataFrame, k: int, percent: int) -> DataFrame:
     full = classes.select("node", "n_shingles", "sketch", "bands")
     comps, links, seen = about.sparkSession.createDataFrame([], "node long, comp long"), None, None
     for step in range(ROUNDS + 2):
+        found = []
         if step < ROUNDS:
             asked = materialize(_asked(shared, comps, seen), "asked")
             pairs = materialize(_likely(asked, about, percent, limit), "likely")
@@ -311,13 +407,20 @@ def _grouped(base: DataFrame, k: int, percent: int) -> DataFrame:
             mixed = materialize(mixed, "mixed")
             meetings = mixed.agg(F.sum((F.col("size") - F.col("most")) * F.col("size"))).head()[0] or 0
             if step == ROUNDS and meetings <= 4 * classes.count():
-                continue  # so few that all pairs may be emitted at once
-            pairs = _apart(labelled, mixed, full, percent, limit, closest=step == ROUNDS)
+                continue  # so few that the last round may confirm them all at once
+            two, members = _apart(labelled, mixed)
+            pairs = _likely(two, about, percent, limit)
+            if step == ROUNDS:
+                pairs = pairs.union(_closest(members, full, percent, limit)).distinct()
+            else:
+                found.append(materialize(_block_links(members, full, base, k, percent, limit), "links"))
             pairs = asked = materialize(pairs.join(seen, ["hub", "node"], "left_anti"), "rest")
         seen = asked if seen is None else seen.union(asked)
         if not pairs.isEmpty():
-            new = materialize(confirmed_links(pairs, base, k, percent), "links")
-            links = new if links is None else links.union(new)
+            found.append(materialize(confirmed_links(pairs, base, k, percent), "links"))
+        if any(not new.isEmpty() for new in found):
+            for new in found:
+                links = new if links is None else links.union(new)
             comps = materialize(components(links), "components")
 
     labels = classes.select(*by, "node", "lead").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

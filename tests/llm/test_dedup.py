@@ -123,6 +123,31 @@ def test_a_large_group_emits_few_pairs(spark, monkeypatch):
     assert max(emitted) <= len(texts) and sum(emitted) <= 2 * len(texts)
 
 
+def test_texts_just_apart_make_no_row_per_pair(spark, monkeypatch):
+    """Copies of one text, every two of them a little below the threshold, so all pairs have to be confirmed and few are links."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(1000)]
+    texts = []
+    for n in range(100):
+        words = list(base)
+        for i in rng.sample(range(1000), 10):
+            words[i] = f"c{rng.random()}"
+        texts.append(" ".join(words))
+        if n % 20 == 0:
+            words[500] = "other"
+            texts.append(" ".join(words))
+    sets, root = near_components(list(enumerate(texts)), 85)
+    assert len(set(root)) > 90 and 100 * len(sets[0] & sets[5]) > 80 * len(sets[0] | sets[5])
+    emitted = []
+    plain = near_dedup.confirmed_links
+    monkeypatch.setattr(near_dedup, "confirmed_links", lambda pairs, *rest: emitted.append(pairs.count()) or plain(pairs, *rest))
+    monkeypatch.setattr(near_dedup, "SET_NODES", 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, percent=85).collect()}
+    assert all(got[i] == min(j for j in got if root[j] == root[i]) for i in got)
+    assert max(emitted) <= 2 * len(texts)
+
+
 def test_no_link_at_the_threshold_is_lost(spark):
     """Pairs of texts just above and below the threshold, many of them, through the whole operator."""
     rng = random.Random(9)
