@@ -9,6 +9,8 @@ come from an unbounded-knapsack dynamic program on the dual prices.  The pattern
 counts are rounded down, then up greedily while items last.  Patterns that would
 leave more than ``max_waste`` of a sequence empty are not used.
 
+Where all ids are below 65 536 they travel as two bytes each and get four in the result only.
+
 Items are ranked inside their class without any global sort (ranks within an
 input split plus offsets from a count table), so item k of a class finds its
 pattern, sequence and slot from a small interval table.  Items without a slot
@@ -34,7 +36,7 @@ from phasefold.llm.common import materialize
 
 #: Words a worker keeps encoded between batches; beyond, the store starts anew.
 KEPT_WORDS = 1_000_000
-_STORES: dict[str, dict] = {}
+_STORES: dict[tuple[str, str], dict] = {}
 
 
 #: Byte-level vocabularies write a byte as this character: printable ones as themselves, the others from 256 on.
@@ -42,17 +44,26 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
-class _Words(dict):
-    """ASCII-lower-case word to little-endian unsigned 32-bit ids, encoded on first sight."""
+def _tokenizer(path: str):
+    import os
 
-    def __init__(self, path: str):
-        super().__init__()
-        import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def id_type(tokenizer) -> str:
+    """Unsigned little-endian integers that hold every id of the tokenizer: two bytes if they do, else four."""
+    return "<u2" if max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4"
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+class _Words(dict):
+    """ASCII-lower-case word to its ids as ``id_type``, encoded on first sight."""
+
+    def __init__(self, path: str, kind: str):
+        super().__init__()
+        self.tokenizer, self.kind = _tokenizer(path), kind
         self.tokenizer.encode_special_tokens = True
         # a plain word needs no normalising and is one piece, so the merges alone give its ids; if they do for this file
         self.merge = self.tokenizer.model.tokenize
@@ -69,30 +80,31 @@ class _Words(dict):
             self.clear()
         text = word.decode()
         if self.plain and text.isalpha() and (text.isascii() or (text == text.lower() and unicodedata.is_normalized("NFC", text))):
-            ids = np.asarray(self._merged(word), "<u4").tobytes()
+            ids = np.asarray(self._merged(word), self.kind).tobytes()
         else:
             # marks after a letter or digit are tokens of their own, so a word is encoded once for all endings
             core = word.rstrip(b".,!?;:")
             if core and core != word and core.decode()[-1].isalnum():
                 ids = self[core] + self[word[len(core):]]
             else:
-                ids = np.asarray(self._whole(text), "<u4").tobytes()
+                ids = np.asarray(self._whole(text), self.kind).tobytes()
         self[word] = ids
         return ids
 
 
-def encoder(path: str, end_id: int | None, by_word: bool):
-    """Arrow function: (row, doc_id, text) to (row, doc_id, n_tokens, ids).
+def encoder(path: str, end_id: int | None, by_word: bool, kind: str):
+    """Arrow function: (row, doc_id, text) to (row, doc_id, n_tokens, ids of type ``kind``).
 
     ``by_word``: the tokenizer ignores case, drops white space and joins nothing across it, nor across the end of a run of
     letters or digits; so ids of ASCII-lower-cased words can be kept and joined.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = _STORES.get(path)
+        store = _STORES.get((path, kind))
         if store is None:
-            store = _STORES[path] = _Words(path)
-        end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
+            store = _STORES[path, kind] = _Words(path, kind)
+        width = np.dtype(kind).itemsize
+        end = b"" if end_id is None else np.asarray([end_id], kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -101,14 +113,26 @@ def encoder(path: str, end_id: int | None, by_word: bool):
                     if by_word:
                         out.append(b"".join(map(store.__getitem__, (text or "").encode().lower().split())) + end)
                     else:
-                        out.append(np.asarray(store.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes() + end)
+                        out.append(np.asarray(store.tokenizer.encode(text or "", add_special_tokens=False).ids, kind).tobytes() + end)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())],
+                    [part.column("row"), part.column("doc_id"), pa.array([len(x) // width for x in out], pa.int64()), pa.array(out, pa.binary())],
                     names=["row", "doc_id", "n_tokens", "ids"])
 
     return encode
 
 
+def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with two-byte ``ids`` as four-byte ones."""
+    for batch in batches:
+        at = batch.schema.get_field_index("ids")
+        column = batch.column(at).cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+        data = b"" if data is None else np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].tobytes()
+        ids = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(((offsets - offsets[0]) * 2).tobytes()), pa.py_buffer(np.frombuffer(data, "<u2").astype("<u4"))])
+        yield batch.set_column(at, "ids", ids.cast(pa.binary()))
+
+
 def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Unbounded knapsack by dynamic programming: the most valuable multiset of sizes within the capacity."""
     value = np.zeros(capacity + 1)
@@ -184,10 +208,10 @@ def integer_plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_waste
     return plan
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int | None, by_word: bool, id_col: str, text_col: str) -> DataFrame:
-    """Written once: part (input split), row, doc_id, n_tokens, ids."""
+def token_table(docs: DataFrame, tokenizer: str, end_id: int | None, by_word: bool, id_col: str, text_col: str, kind: str = "<u4") -> DataFrame:
+    """Written once: part (input split), row, doc_id, n_tokens, ids of type ``kind``."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    ids = rows.mapInArrow(encoder(tokenizer, end_id, by_word), "row long, doc_id long, n_tokens long, ids binary")
+    ids = rows.mapInArrow(encoder(tokenizer, end_id, by_word, kind), "row long, doc_id long, n_tokens long, ids binary")
     return materialize(ids.select(F.shiftright("row", 33).alias("part"), "row", "doc_id", "n_tokens", "ids"), "tokens")
 
 
@@ -263,9 +287,12 @@ def assign_pieces(lengths: DataFrame, capacity: int = 2048, class_tokens: int =
 def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, by_word: bool = True, id_col: str = "doc_id", text_col: str = "text",
          capacity: int = 2048, class_tokens: int = 16, max_waste: float = 0.01) -> DataFrame:
     """Pieces with their ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
-    tokens = token_table(docs, tokenizer, end_id, by_word, id_col, text_col)
+    kind = id_type(_tokenizer(tokenizer)) if (end_id or 0) < 1 << 16 else "<u4"
+    width = np.dtype(kind).itemsize
+    tokens = token_table(docs, tokenizer, end_id, by_word, id_col, text_col, kind)
     pieces = assign_pieces(tokens.select("part", "row", "n_tokens"), capacity, class_tokens, max_waste)
     per_row = pieces.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
     joined = tokens.join(per_row, F.col("row") == F.col("r")).select("doc_id", "n_tokens", "ids", F.explode("pieces").alias("p"))
-    ids = F.substring("ids", (F.col("p.start") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))
-    return joined.select("doc_id", "p.start", "p.length", F.col("n_tokens").alias("doc_tokens"), "p.sequence_id", "p.offset", ids.alias("ids"))
+    ids = F.substring("ids", (F.col("p.start") * width + 1).cast("int"), (F.col("p.length") * width).cast("int"))
+    packed = joined.select("doc_id", "p.start", "p.length", F.col("n_tokens").alias("doc_tokens"), "p.sequence_id", "p.offset", ids.alias("ids"))
+    return packed if width == 4 else packed.mapInArrow(widened, packed.schema)
