@@ -77,4 +77,15 @@ def packed(column: pa.ChunkedArray | pa.Array, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype) if x.is_valid else np.zeros(0, dtype) for x in column]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """An array's bytes, all of one significance together: sorted keys and small numbers then compress in a shuffle."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+
+
+def unplaned(column: pa.ChunkedArray | pa.Array, dtype) -> list[np.ndarray]:
+    """Arrays stored by ``planes``, one per row."""
+    size = np.dtype(dtype).itemsize
+    return [np.frombuffer(x.as_buffer(), np.uint8).reshape(size, -1).T.copy().view(dtype).ravel() if x.is_valid else np.zeros(0, dtype) for x in column]
+
+
 Sender = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

@@ -7,6 +7,8 @@
 3. Words with at least ``least`` training tokens are symbols; all others, unseen
    ones included, share one rare symbol, below which they keep their own exact
    counts.
+   Exchanged arrays lie by byte significance (``blocks.planes``), so that the shuffle's compression finds the leading
+   bytes of sorted keys and the zeros of small counts; a level's shuffle files go as soon as its answers are written.
 4. n-grams of symbols are counted by the same exchange, level by level; an n-gram
    stays if it has at least ``least`` training tokens, whatever the size of the
    corpus, and only n-grams whose two shorter parts stay are sent to the next
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from phasefold.llm import kernels
-from phasefold.llm.blocks import key_bits, packed, slices, text_blocks
+from phasefold.llm.blocks import key_bits, packed, planes, slices, text_blocks, unplaned
 from phasefold.llm.common import bucket_count, materialize, materialize_bucketed
 
 RARE, END, START, FIRST = 0, 1, 2, 3
@@ -77,7 +79,7 @@ def send_words(bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, vocab, used in zip(batch.column("block").to_pylist(), packed(batch.column("vocab"), np.uint64), packed(batch.column("trained"), np.int64)):
-                rows = [(b, block, vocab[i:j].tobytes(), used[i:j].astype(np.uint32).tobytes()) for b, i, j in slices(vocab, bits)]
+                rows = [(b, block, planes(vocab[i:j]), planes(used[i:j].astype(np.uint32))) for b, i, j in slices(vocab, bits)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
                                                  names=["bucket", "block", "keys", "counts"])
     return send
@@ -90,11 +92,11 @@ def add_words(least: int):
     """Grouped Arrow function of one bucket: totals back to each block, and the bucket's statistics in a row with block -1."""
 
     def add(group: pa.Table) -> pa.Table:
-        keys, counts = packed(group.column("keys"), np.uint64), packed(group.column("counts"), np.uint32)
+        keys, counts = unplaned(group.column("keys"), np.uint64), unplaned(group.column("counts"), np.uint32)
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate(counts).astype(np.float64), minlength=len(every)).astype(np.int64)
         cut = np.cumsum([0, *map(len, keys)])
-        answers = [total[at[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+        answers = [planes(total[at[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
         rare = (total > 0) & (total < least)
         n, bucket = len(keys), group.column("bucket")[0].as_py()
         none = [None] * n
@@ -317,7 +319,7 @@ def _cells(block: pa.Table, answers: pa.Table, done: tuple[int, ...]):
 
     def joined(kind: int, name: str, dtype) -> np.ndarray:
         column = answers.column(name)
-        parts = [np.frombuffer(column[int(i)].as_buffer(), dtype) for i in order[kinds[order] == kind]]
+        parts = unplaned([column[int(i)] for i in order[kinds[order] == kind]], dtype)
         return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
     for row in range(block.num_rows):
@@ -339,8 +341,8 @@ def send_keys(about: Corpus, done: tuple[int, ...], bits: dict[int, int]):
             _, asks = walk(*arrays, totals, known, about)
             for kind, (keys, values) in asks.items():
                 for b, i, j in slices(keys, bits[kind]):
-                    parts = [v[i:j].tobytes() for v in values]
-                    rows.append((kind << KIND_BIT | b, block.column("block")[row].as_py(), keys[i:j].tobytes(), *parts, *[None] * (3 - len(parts))))
+                    parts = [planes(v[i:j]) for v in values]
+                    rows.append((kind << KIND_BIT | b, block.column("block")[row].as_py(), planes(keys[i:j]), *parts, *[None] * (3 - len(parts))))
         types = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
         return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("bucket", "block", "keys", "a", "b", "c"), types))})
 
@@ -352,9 +354,9 @@ def add_keys(least: int):
 
     def add(group: pa.Table) -> pa.Table:
         group = group.take(pa.array(np.argsort(group.column("block").to_numpy(), kind="stable")))
-        keys, histories = packed(group.column("keys"), np.uint64), group.column("bucket")[0].as_py() >> KIND_BIT & 1
+        keys, histories = unplaned(group.column("keys"), np.uint64), group.column("bucket")[0].as_py() >> KIND_BIT & 1
         every, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = lambda n, t: np.bincount(at, weights=np.concatenate(packed(group.column(n), t)), minlength=len(every)).astype(t)[at]
+        total = lambda n, t: np.bincount(at, weights=np.concatenate(unplaned(group.column(n), t)), minlength=len(every)).astype(t)[at]
         if histories:
             sums = {"a": total("a", np.int64), "b": total("b", np.int64), "c": total("c", np.float64)}
         else:
@@ -364,7 +366,7 @@ def add_keys(least: int):
         cut = np.cumsum([0, *map(len, keys)])
         none = pa.nulls(len(keys), pa.binary())
         return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), **{n: pa.array(
-            [sums[n][a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) if n in sums else none for n in "abc"}})
+            [planes(sums[n][a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()) if n in sums else none for n in "abc"}})
 
     return add
 

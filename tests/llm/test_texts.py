@@ -2,14 +2,16 @@ import hashlib
 import math
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from phasefold.llm import chat, lm_scoring, packing, queries, quality, token_counts
+from phasefold.llm import blocks, chat, common, lm_scoring, packing, queries, quality, token_counts
 from tests.llm.conftest import odd_rows
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -245,3 +247,36 @@ def test_a_phrase_seen_twice_counts_in_a_large_corpus(spark):
     got = {r.doc_id: r.score for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     for (i, _), s in zip(rows, one_piece_scores(rows)):
         assert got[i] == pytest.approx(s, rel=1e-9)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in (folders.getAllFiles().apply(i).getName() for i in range(folders.getAllFiles().size())) if f.startswith("shuffle_")}
+    before, setting = shuffled(), spark.conf.get(common.CLEANUP, None)
+    table = common.materialize(spark.range(1000).repartition(4, "id"), "moved")
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and spark.conf.get(common.CLEANUP, None) == setting
+    assert table.count() == 1000
+
+
+def test_exchanged_arrays_compress_and_come_back():
+    rng = np.random.default_rng(3)
+    for values in (np.sort(rng.integers(0, 2**58, 10_000).astype(np.uint64)), rng.integers(0, 3, 10_000), rng.random(100), np.zeros(0, np.uint32)):
+        packed = blocks.planes(values)
+        assert blocks.unplaned(pa.array([packed, None]), values.dtype)[0].tolist() == values.tolist()
+        if len(values) == 10_000:
+            assert len(pa.compress(packed, "lz4", asbytes=True)) < 0.9 * len(pa.compress(values.tobytes(), "lz4", asbytes=True))
+
+
+def test_ids_below_65536_travel_as_two_bytes(spark, odd, monkeypatch):
+    path, written = queries.vocabulary("word_bpe_49k.json"), []
+    plain = packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, label: (written.append(t) if label == "tokens" else None, t)[1] if (t := plain(df, label)) else None)
+    narrow = sorted(map(tuple, packing.pack(odd, path).collect()), key=str)
+    assert written[0].filter("length(ids) <> 2 * n_tokens").isEmpty()
+    monkeypatch.setattr(packing, "id_type", lambda tokenizer: "<u4")
+    assert narrow == sorted(map(tuple, packing.pack(odd, path).collect()), key=str)
+    assert all(len(r[-1]) == 4 * r[2] for r in narrow)
