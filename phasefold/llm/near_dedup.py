@@ -335,7 +335,7 @@ def _upto(n):
 
 def _apart(labelled: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Given what ``_mixed`` returns: the pairs (hub, node) of buckets of two, and the members of the larger ones."""
-    labelled = labelled.join(buckets, "key")
+    labelled = materialize(labelled.join(buckets, "key"), "labelled")
     two = labelled.filter("size = 2").groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("node")).select("hub", "node").distinct()
     members = labelled.filter("size > 2").select("key", "band", "node", "comp", "size", "most", (F.col("comp") != F.col("major")).alias("outside"))
     return two, members
@@ -372,7 +372,8 @@ def _block_links(members: DataFrame, full: DataFrame, base: DataFrame, k: int, p
     part = lambda n, size: F.greatest(n / SET_NODES, size * 8 / SET_BYTES)
     outside = F.when(F.col("outside"), F.col("n_shingles"))
     sizes = met.groupBy("key").agg(part(F.count(outside), F.sum(F.coalesce(outside, F.lit(0)))).alias("left"), part(F.count("*"), F.sum("n_shingles")).alias("right"))
-    whole = _with_columns_of(met.join(sizes, "key"), full.drop("n_shingles").join(sets, "node"))
+    sized = materialize(met.join(sizes, "key"), "sized")
+    whole = _with_columns_of(sized, full.drop("n_shingles").join(sets, "node"))
     return _blocks(whole, F.col("left"), F.col("right"), [*cols, "set"]).applyInArrow(block_links(percent, limit), "a long, b long")
 
 
