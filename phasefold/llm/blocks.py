@@ -88,4 +88,49 @@ def unplaned(column: pa.ChunkedArray | pa.Array, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint8).reshape(size, -1).T.copy().view(dtype).ravel() if x.is_valid else np.zeros(0, dtype) for x in column]
 
 
+def shrunk(values: np.ndarray, ascending: bool = False) -> bytes:
+    """An array compressed for an exchange: its length, then its bytes by significance; ``ascending`` integers as differences."""
+    if ascending and len(values):
+        values = np.concatenate([values[:1], values[1:] - values[:-1]])
+    return len(values).to_bytes(8, "little") + (_codec().compress(planes(values), asbytes=True) if len(values) else b"")
+
+
+def unshrunk(column: pa.ChunkedArray | pa.Array | list, dtype, ascending: bool = False) -> list[np.ndarray]:
+    """Arrays stored by ``shrunk``, one per row; a null is an empty one."""
+    out, size = [], np.dtype(dtype).itemsize
+    for x in column:
+        data = x.as_buffer() if x.is_valid else b"\0" * 8
+        n = int.from_bytes(bytes(data[:8]), "little")
+        values = np.zeros(0, dtype)
+        if n:
+            values = unplaned([pa.scalar(_codec().decompress(data[8:], decompressed_size=n * size, asbytes=True))], dtype)[0]
+        out.append(np.cumsum(values, dtype=dtype) if ascending else values)
+    return out
+
+
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", 1)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct unsigned 64-bit keys, the first position of each, and the place of every key among them.
+
+    Positions replace the keys' lowest bits, so one plain sort does; if keys agree in all other bits, a slower one follows.
+    """
+    if not len(keys):
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    spread, low = np.uint64(64 - int(keys.min() ^ keys.max()).bit_length() & 63), np.uint64(len(keys).bit_length())
+    at = ((keys << spread) >> low << low) | np.arange(len(keys), dtype=np.uint64)
+    at.sort()
+    order = (at & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    ranked = keys[order]
+    if (ranked[1:] < ranked[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], back
+
+
 Sender = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

@@ -7,8 +7,9 @@
 3. Words with at least ``least`` training tokens are symbols; all others, unseen
    ones included, share one rare symbol, below which they keep their own exact
    counts.
-   Exchanged arrays lie by byte significance (``blocks.planes``), so that the shuffle's compression finds the leading
-   bytes of sorted keys and the zeros of small counts; a level's shuffle files go as soon as its answers are written.
+   Exchanged arrays are compressed by byte significance, sorted keys as differences (``blocks.shrunk``).  Answers are
+   laid out by block as the texts are, so each is shuffled once and later levels read it in place; a level's shuffle
+   files go as soon as its answers are written, and the last answers are scored without being written.
 4. n-grams of symbols are counted by the same exchange, level by level; an n-gram
    stays if it has at least ``least`` training tokens, whatever the size of the
    corpus, and only n-grams whose two shorter parts stay are sent to the next
@@ -18,7 +19,8 @@
    history sum to one.  Of the blocks that hold an n-gram one owns it and adds it
    to its history; a second exchange adds up the histories' followers (count,
    number and lower-order probability), of which each block gets its own
-   histories back.  A frequent history costs one entry a block.
+   histories back.  A frequent history costs one entry a block; number and probability travel only where there are
+   followers.
 6. Each block scores its tokens by array arithmetic.
 
 ``build_automaton`` and ``traverse`` are the same model in one piece, for small
@@ -42,44 +44,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from phasefold.llm import kernels
-from phasefold.llm.blocks import key_bits, packed, planes, slices, text_blocks, unplaned
-from phasefold.llm.common import bucket_count, materialize, materialize_bucketed
+from phasefold.llm.blocks import distinct, key_bits, shrunk, slices, text_blocks, unshrunk
+from phasefold.llm.common import bucket_count, materialize_bucketed
 
 RARE, END, START, FIRST = 0, 1, 2, 3
 SYMBOL_BITS = 20
 BUCKET_KEYS = 2_000_000
+#: A power of two, so that counts less discounts are exact.
 DISCOUNT = 0.5
+#: A history whose followers have more lower-order probability than this is followed by every symbol.
+FULL = 1.0 - 1e-9
 #: Keys of the three symbols that are no words, and the multiplier that joins a history's key with a symbol's.
 RARE_KEY, END_KEY, START_KEY = kernels.mix64(np.array([0x52415245, 0x454E44, 0x5354415254], np.uint64))
 JOIN = np.uint64(0xD6E8FEB86659FD93)
 #: A bucket's number has its exchange above this bit: 2 k for n-grams of order k (words are order 1), 2 k + 1 for their histories.
 KIND_BIT = 40
 
-CODED = "block long, ids array<long>, held binary, words binary, codes binary, vocab binary, trained binary, n_vocab long, train_words long, train_docs long"
+CODED = "block long, ids array<long>, held binary, words binary, codes binary, vocab binary, trained binary, n_vocab long, n_tokens long, train_words long, train_docs long"
 
 
 def code_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, held_out, text) to one row per block."""
     for block, table in text_blocks(batches):
         hashes, counts = kernels.word_hashes(*kernels.text_buffers(table.column("text")))
-        vocab, codes = np.unique(hashes, return_inverse=True)
+        vocab, _, codes = distinct(hashes)
         held = table.column("held_out").to_numpy().astype(bool)
         used = np.bincount(codes[np.repeat(~held, counts)], minlength=len(vocab)).astype(np.int64)
         yield pa.RecordBatch.from_pylist([{
-            "block": block, "ids": table.column("doc_id").to_pylist(), "held": held.astype(np.uint8).tobytes(), "words": counts.astype(np.int64).tobytes(),
-            "codes": codes.astype(np.int32).tobytes(), "vocab": vocab.tobytes(), "trained": used.tobytes(), "n_vocab": len(vocab),
+            "block": block, "ids": table.column("doc_id").to_pylist(), "held": shrunk(held.astype(np.uint8)), "words": shrunk(counts.astype(np.int64)),
+            "codes": shrunk(codes.astype(np.int32)), "vocab": shrunk(vocab, True), "trained": shrunk(used), "n_vocab": len(vocab), "n_tokens": len(codes) + len(counts),
             "train_words": int(used.sum()), "train_docs": int((~held).sum())}], schema=_SCHEMA)
 
 
 _SCHEMA = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), *[(n, pa.binary()) for n in ("held", "words", "codes", "vocab", "trained")],
-                     *[(n, pa.int64()) for n in ("n_vocab", "train_words", "train_docs")]])
+                     *[(n, pa.int64()) for n in ("n_vocab", "n_tokens", "train_words", "train_docs")]])
 
 
 def send_words(bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, vocab, used in zip(batch.column("block").to_pylist(), packed(batch.column("vocab"), np.uint64), packed(batch.column("trained"), np.int64)):
-                rows = [(b, block, planes(vocab[i:j]), planes(used[i:j].astype(np.uint32))) for b, i, j in slices(vocab, bits)]
+            for block, vocab, used in zip(batch.column("block").to_pylist(), unshrunk(batch.column("vocab"), np.uint64, True), unshrunk(batch.column("trained"), np.int64)):
+                rows = [(b, block, shrunk(vocab[i:j], True), shrunk(used[i:j].astype(np.uint32))) for b, i, j in slices(vocab, bits)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
                                                  names=["bucket", "block", "keys", "counts"])
     return send
@@ -92,11 +97,11 @@ def add_words(least: int):
     """Grouped Arrow function of one bucket: totals back to each block, and the bucket's statistics in a row with block -1."""
 
     def add(group: pa.Table) -> pa.Table:
-        keys, counts = unplaned(group.column("keys"), np.uint64), unplaned(group.column("counts"), np.uint32)
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        keys, counts = unshrunk(group.column("keys"), np.uint64, True), unshrunk(group.column("counts"), np.uint32)
+        every, _, at = distinct(np.concatenate(keys))
         total = np.bincount(at, weights=np.concatenate(counts).astype(np.float64), minlength=len(every)).astype(np.int64)
         cut = np.cumsum([0, *map(len, keys)])
-        answers = [planes(total[at[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
+        answers = [shrunk(total[at[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
         rare = (total > 0) & (total < least)
         n, bucket = len(keys), group.column("bucket")[0].as_py()
         none = [None] * n
@@ -258,7 +263,7 @@ def walk(vocab: np.ndarray, codes: np.ndarray, words: np.ndarray, held: np.ndarr
     """Probabilities of a block's tokens as far as ``known`` answers go, and what is to be asked next.
 
     ``known`` has for exchange 2 k twice the total of each of the block's n-grams plus 1 where the block owns it, for 2 k + 1
-    the count, number and lower-order probability of all followers of each of its histories.  Returns the probabilities
+    what ``add_keys`` makes of all followers of each of its histories.  Returns the probabilities
     (None as long as an answer is missing) and per exchange to be made its sorted keys and their summands.
     """
     n = about.n_tokens + 1
@@ -278,14 +283,16 @@ def walk(vocab: np.ndarray, codes: np.ndarray, words: np.ndarray, held: np.ndarr
     p = per_token(np.where(plain, totals, about.rare_tokens + 1) / n, about.n_docs / n if about.n_docs else 1.0)
     trained = np.repeat(held == 0, words + 1)
     at = np.arange(len(place)) - np.repeat(starts, words + 1)
-    key, stay, asks = symbol, np.ones(len(place), bool), {}
+    # the distinct n-grams of the order before, and which of them each token ends
+    short, _, rank = distinct(np.concatenate([vocab, [RARE_KEY, END_KEY, START_KEY]]))
+    ends = per_token(np.where(plain, rank[:-3], rank[-3]), rank[-2])
+    stay, asks = np.ones(len(place), bool), {}
     for level in range(2, about.order + 1):
-        history = _lagged(key, starts, START_KEY)
+        before = _lagged(ends, starts, rank[-1])
         whole = _lagged(count, starts, about.n_docs)
         behind = _lagged(stay, starts, level == 2) & (at >= level - 2)
-        key = kernels.mix64(history * JOIN + symbol)
         sent = np.nonzero(behind & stay)[0]
-        grams, first, back = np.unique(key[sent], return_index=True, return_inverse=True)
+        grams, first, back = distinct(kernels.mix64(short[before[sent]] * JOIN + symbol[sent]))
         if 2 * level not in known:
             asks[2 * level] = grams, [np.bincount(back, weights=trained[sent], minlength=len(grams)).astype(np.int64)]
             return None, asks
@@ -294,21 +301,26 @@ def walk(vocab: np.ndarray, codes: np.ndarray, words: np.ndarray, held: np.ndarr
         count[sent] = answer[back] >> 1
         stay = count >= about.least
         followed = np.nonzero(behind)[0]
-        histories, of = np.unique(history[followed], return_inverse=True)
+        used = np.zeros(len(short), bool)
+        used[before[followed]] = True
+        histories, number = short[used], np.cumsum(used) - 1
         if 2 * level + 1 not in known:
             mine = sent[first[(answer & 1 == 1) & (answer >> 1 >= about.least)]]
-            to = np.searchsorted(histories, history[mine])
+            to = number[before[mine]]
             asks[2 * level + 1] = histories, [np.bincount(to, weights=w, minlength=len(histories)).astype(t) for w, t in ((count[mine], np.int64), (None, np.int64), (p[mine], np.float64))]
             p = None
-            continue
-        seen, kinds, lower = (v[of] for v in known[2 * level + 1])
-        # a history that every symbol follows has nobody to give the discounts to
-        full = lower > 1.0 - 1e-9
-        left = np.maximum(1e-12, 1.0 - (seen - DISCOUNT * kinds) / np.maximum(whole[followed], 1))
-        backoff = np.where(full | (kinds == 0), 1.0, left / np.where(full, 1.0, 1.0 - lower))
-        own = np.where(full, count[followed] / np.maximum(seen, 1), (count[followed] - DISCOUNT) / np.maximum(whole[followed], 1))
-        p = p.copy()
-        p[followed] = np.where(stay[followed], own, backoff * p[followed])
+        else:
+            of = number[before[followed]]
+            seen, lower = (v[of] for v in known[2 * level + 1])
+            # a history that every symbol follows has nobody to give the discounts to
+            full = lower > FULL
+            left = np.maximum(1e-12, 1.0 - seen * DISCOUNT / np.maximum(whole[followed], 1))
+            backoff = np.where(full | (seen == 0), 1.0, left / np.where(full, 1.0, 1.0 - lower))
+            own = np.where(full, count[followed] / np.maximum(seen, 1), (count[followed] - DISCOUNT) / np.maximum(whole[followed], 1))
+            p = p.copy()
+            p[followed] = np.where(stay[followed], own, backoff * p[followed])
+        short, ends = grams, np.zeros(len(place), np.int64)
+        ends[sent] = back
     return p, asks
 
 
@@ -319,17 +331,27 @@ def _cells(block: pa.Table, answers: pa.Table, done: tuple[int, ...]):
 
     def joined(kind: int, name: str, dtype) -> np.ndarray:
         column = answers.column(name)
-        parts = unplaned([column[int(i)] for i in order[kinds[order] == kind]], dtype)
+        parts = unshrunk([column[int(i)] for i in order[kinds[order] == kind]], dtype)
         return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
+    def answer(kind: int) -> list[np.ndarray]:
+        seen = joined(kind, "a", np.int64)
+        return [seen, spread(seen > 0, joined(kind, "c", np.float64))] if kind & 1 else [seen]
+
+    stored = (("vocab", np.uint64, True), ("codes", np.int32, False), ("words", np.int64, False), ("held", np.uint8, False))
     for row in range(block.num_rows):
-        arrays = [np.frombuffer(block.column(n)[row].as_buffer(), t) for n, t in (("vocab", np.uint64), ("codes", np.int32), ("words", np.int64), ("held", np.uint8))]
-        known = {k: [joined(k, n, t) for n, t in ((("a", np.int64), ("b", np.int64), ("c", np.float64)) if k & 1 else (("a", np.int64),))] for k in done}
-        yield row, arrays, joined(2, "a", np.int64), known
+        yield row, [unshrunk([block.column(n)[row]], *t)[0] for n, *t in stored], joined(2, "a", np.int64), {k: answer(k) for k in done}
+
+
+def spread(where: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``values`` at the places that ``where`` marks, zeros elsewhere."""
+    out = np.zeros(len(where), values.dtype)
+    out[where] = values
+    return out
 
 
 SENT = "bucket long, block long, keys binary, a binary, b binary, c binary"
-ANSWERS = "block long, bucket long, a binary, b binary, c binary"
+ANSWERS = "block long, bucket long, a binary, c binary"
 
 
 def send_keys(about: Corpus, done: tuple[int, ...], bits: dict[int, int]):
@@ -341,8 +363,9 @@ def send_keys(about: Corpus, done: tuple[int, ...], bits: dict[int, int]):
             _, asks = walk(*arrays, totals, known, about)
             for kind, (keys, values) in asks.items():
                 for b, i, j in slices(keys, bits[kind]):
-                    parts = [planes(v[i:j]) for v in values]
-                    rows.append((kind << KIND_BIT | b, block.column("block")[row].as_py(), planes(keys[i:j]), *parts, *[None] * (3 - len(parts))))
+                    some = values[0][i:j] > 0
+                    parts = [shrunk(values[0][i:j]), *[shrunk(v[i:j][some]) for v in values[1:]]]
+                    rows.append((kind << KIND_BIT | b, block.column("block")[row].as_py(), shrunk(keys[i:j], True), *parts, *[None] * (3 - len(parts))))
         types = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
         return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("bucket", "block", "keys", "a", "b", "c"), types))})
 
@@ -354,19 +377,23 @@ def add_keys(least: int):
 
     def add(group: pa.Table) -> pa.Table:
         group = group.take(pa.array(np.argsort(group.column("block").to_numpy(), kind="stable")))
-        keys, histories = unplaned(group.column("keys"), np.uint64), group.column("bucket")[0].as_py() >> KIND_BIT & 1
-        every, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = lambda n, t: np.bincount(at, weights=np.concatenate(unplaned(group.column(n), t)), minlength=len(every)).astype(t)[at]
+        keys, histories = unshrunk(group.column("keys"), np.uint64, True), group.column("bucket")[0].as_py() >> KIND_BIT & 1
+        every, first, at = distinct(np.concatenate(keys))
+        summed = lambda values: np.bincount(at, weights=values, minlength=len(every))
+        a = np.concatenate(unshrunk(group.column("a"), np.int64))
         if histories:
-            sums = {"a": total("a", np.int64), "b": total("b", np.int64), "c": total("c", np.float64)}
+            kinds, lower = (summed(spread(a > 0, np.concatenate(unshrunk(group.column(n), t)))) for n, t in (("b", np.int64), ("c", np.float64)))
+            # all that a weight needs: the followers' count, less discounts in units of one unless every symbol follows
+            seen = np.where(lower > FULL, summed(a), summed(a) / DISCOUNT - kinds).astype(np.int64)
+            sums = {"a": seen[at], "c": lower[at]}
         else:
-            found = total("a", np.int64)
+            found = summed(a).astype(np.int64)
             # the first block that has an n-gram owns it
-            sums = {"a": 2 * np.where(found >= least, found, 0) + (first[at] == np.arange(len(at)))}
+            sums = {"a": (2 * np.where(found >= least, found, 0))[at] + (first[at] == np.arange(len(at)))}
         cut = np.cumsum([0, *map(len, keys)])
         none = pa.nulls(len(keys), pa.binary())
         return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), **{n: pa.array(
-            [planes(sums[n][a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()) if n in sums else none for n in "abc"}})
+            [shrunk(sums[n][i:j] if n == "a" else sums[n][i:j][sums["a"][i:j] > 0]) for i, j in zip(cut[:-1], cut[1:])], pa.binary()) if n in sums else none for n in "ac"}})
 
     return add
 
@@ -415,15 +442,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), (F.crc32(key) % 7 == 2).alias("held_out"), docs[text_col].cast("string").alias("text"))
     n_buckets = bucket_count(docs)
     coded = materialize_bucketed(rows.mapInArrow(code_blocks, CODED), "coded", "block", n_buckets)
-    sums = coded.agg(F.sum("train_words").alias("words"), F.sum("train_docs").alias("docs"), F.sum("n_vocab").alias("entries"), F.sum(F.length("codes") / 4 + F.size("ids")).cast("bigint").alias("tokens")).first()
+    sums = coded.agg(F.sum("train_words").alias("words"), F.sum("train_docs").alias("docs"), F.sum("n_vocab").alias("entries"), F.sum("n_tokens").alias("tokens")).first()
     n_docs, n = sums.docs or 0, (sums.words or 0) + (sums.docs or 0)
     least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = coded.select("block", "vocab", "trained").mapInArrow(send_words(key_bits(sums.entries or 0, BUCKET_KEYS, least_parts)), "bucket long, block long, keys binary, counts binary")
-    totals = materialize(sent.groupBy("bucket").applyInArrow(add_words(least), TOTALS), "totals")
+    by_block = lambda df: df.repartition(n_buckets, "block")
+    totals = materialize_bucketed(by_block(sent.groupBy("bucket").applyInArrow(add_words(least), TOTALS)), "totals", "block", n_buckets)
     stats = totals.filter("block < 0").agg(F.sum("kinds").alias("kinds"), F.sum("rare_kinds").alias("rare_kinds"), F.sum("rare_tokens").alias("rare_tokens")).first()
     about = Corpus(order, least, n_docs, n, stats.rare_tokens or 0, stats.rare_kinds or 0, (stats.kinds or 0) + int(n_docs > 0))
-    none = F.lit(None).cast("binary")
-    answers = totals.filter("block >= 0").select("block", (F.col("bucket") + F.lit(2 << KIND_BIT)).alias("bucket"), F.col("totals").alias("a"), none.alias("b"), none.alias("c"))
+    answers = totals.filter("block >= 0").select("block", (F.col("bucket") + F.lit(2 << KIND_BIT)).alias("bucket"), F.col("totals").alias("a"), F.lit(None).cast("binary").alias("c"))
     grams, words = key_bits(sums.tokens or 0, BUCKET_KEYS, least_parts), key_bits(sums.entries or 0, BUCKET_KEYS, least_parts)
     bits = {kind: words if kind == 5 else grams for kind in range(4, 2 * order + 2)}
     texts = coded.select("block", "ids", "held", "words", "codes", "vocab").groupBy("block")
@@ -431,6 +458,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # n-grams of an order go together with the histories of the order before
     for level in range(2, order + 2 if order > 1 else 2):
         sent = texts.cogroup(answers.withColumnRenamed("block", "to").groupBy("to")).applyInArrow(send_keys(about, done, bits), SENT)
-        answers = answers.union(materialize(sent.groupBy("bucket").applyInArrow(add_keys(least), ANSWERS), f"answers{level}"))
+        fresh = by_block(sent.groupBy("bucket").applyInArrow(add_keys(least), ANSWERS))
+        answers = answers.union(fresh if level > order else materialize_bucketed(fresh, f"answers{level}", "block", n_buckets))
         done += tuple(k for k in (2 * level - 1, 2 * level) if k in bits)
     return texts.cogroup(answers.withColumnRenamed("block", "to").groupBy("to")).applyInArrow(score_blocks(about, done), SCORED)

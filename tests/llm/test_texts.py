@@ -280,3 +280,28 @@ def test_ids_below_65536_travel_as_two_bytes(spark, odd, monkeypatch):
     monkeypatch.setattr(packing, "id_type", lambda tokenizer: "<u4")
     assert narrow == sorted(map(tuple, packing.pack(odd, path).collect()), key=str)
     assert all(len(r[-1]) == 4 * r[2] for r in narrow)
+
+
+def test_shrunk_arrays_are_smaller_and_come_back():
+    rng = np.random.default_rng(9)
+    keys, counts = np.sort(rng.integers(0, 2**64, 10_000, np.uint64)), rng.geometric(0.7, 10_000)
+    for values, ascending, share in ((keys, True, 0.99), (counts, False, 0.6), (rng.random(100), False, 1), (np.zeros(0, np.uint32), True, 1)):
+        sent = blocks.shrunk(values, ascending)
+        assert blocks.unshrunk(pa.array([sent, None]), values.dtype, ascending)[0].tolist() == values.tolist()
+        if len(values) == 10_000:
+            assert len(sent) < share * len(pa.compress(blocks.planes(values), "lz4", asbytes=True))
+
+
+def test_distinct_keys_are_those_of_numpy():
+    rng = np.random.default_rng(10)
+    close = np.array([7, 5, 7, 6, 5], np.uint64)
+    for keys in (close, close | np.uint64(1 << 63), np.concatenate([close, [2**63]]).astype(np.uint64), np.zeros(3, np.uint64), np.zeros(0, np.uint64), rng.integers(0, 2**64, 3000, np.uint64)[rng.integers(0, 3000, 9000)]):
+        want = np.unique(keys, return_index=True, return_inverse=True)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks.distinct(keys), want))
+
+
+def test_answers_of_earlier_levels_are_not_moved_again(odd):
+    plan = lm_scoring.score_texts(odd)._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(moves) == 2 and "bucket" in moves[1] and "block" in moves[0], plan
+    assert plan.count("Bucketed: true") == 8, plan
