@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from phasefold.llm import kernels
 from phasefold.llm.blocks import small_batches
-from phasefold.llm.common import free_name, materialize
+from phasefold.llm.common import materialize, numbered, without_rows
 from phasefold.session import small_side
 
 MISS = 1e-6
@@ -435,8 +435,7 @@ def _grouped(base: DataFrame, k: int, percent: int) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns."""
-    row = free_name(docs, "_row")
-    kept = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    base = kept.select(F.col(row).alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    stay = materialize(_grouped(base, k, percent).filter("row = keep_row").select(F.col("row").alias(row)), "stay")
-    return kept.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    table, row, run = numbered(docs, "rows")
+    base = table.select(F.col(row).alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    lost = materialize(_grouped(base, k, percent).filter("row <> keep_row").select("row"), "lost")
+    return without_rows(table, row, run, lost)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phasefold.llm import exact_dedup, kernels, near_dedup, suffix_dedup
+from phasefold.llm import common, exact_dedup, kernels, near_dedup, suffix_dedup
 from tests.llm.conftest import odd_rows
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -269,3 +269,22 @@ def test_word_kernel_on_edges():
     assert kernels.words(data, offsets)[2].tolist() == [3, 0, 0, 1, 1, 1, 2]
     hashes, _ = kernels.word_hashes(data, offsets)
     assert hashes[3] == hashes[4] and hashes[0] == hashes[5] and len(set(hashes.tolist())) == 6
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, near_dedup.drop_near_copies])
+def test_texts_that_stay_are_not_shuffled(odd, drop):
+    kept = drop(odd)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "text#" in line]
+    assert len(scans) == 1 and "Bucketed: true" in scans[0], plan
+    assert plan.count("Exchange") == 1, plan
+
+
+def test_rows_of_several_runs_are_dropped_by_number(spark, monkeypatch):
+    monkeypatch.setattr(common, "RUN_BITS", 3)
+    docs = spark.range(200, numPartitions=3).select(F.col("id").alias("_row"), F.lit("x").alias("_gone"))
+    table, row, run = common.numbered(docs, "rows")
+    lost = table.filter("_row % 7 = 1 OR _row BETWEEN 40 AND 60").select(row)
+    got = sorted(r._row for r in common.without_rows(table, row, run, lost).collect())
+    assert got == [i for i in range(200) if i % 7 != 1 and not 40 <= i <= 60]
+    assert common.without_rows(table, row, run, lost.filter("false")).columns == docs.columns
