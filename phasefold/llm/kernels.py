@@ -47,10 +47,11 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """S[i] = sum over j < i of code(byte j) * BASE ** j."""
+def prefix_hashes(data: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+    """S[i] = sum over j < i of code(byte j) * BASE ** j; ``scale``: those powers."""
+    scale = powers(BASE, len(data)) if scale is None else scale
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * powers(BASE, len(data)), dtype=np.uint64, out=out[1:])
+    np.cumsum(BYTE_CODES[data] * scale, dtype=np.uint64, out=out[1:])
     return out
 
 

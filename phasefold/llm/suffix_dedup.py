@@ -11,8 +11,10 @@ a long tie are ever sorted, one suffix bucket at a time:
    and done.
 2. Neighbouring suffixes with one anchor form a segment (at most ``SPAN``
    suffixes).  Segments of repeated anchors go, with their text, to the bucket
-   of the anchor; a block sends equal segments once.
-3. Inside a bucket, positions whose distance from the anchor lies in a
+   of the anchor; a block sends equal segments once.  Inside a bucket all but the
+   earliest of equal segments go as they are, and an anchor with one distinct
+   segment needs no sorting.
+3. For the other segments, positions whose distance from the anchor lies in a
    difference cover modulo ``MODULUS`` are samples.  The samples' ranks among all
    ``SAMPLE``-byte strings of the bucket are computed first; suffixes are then
    sorted by the few bytes before their first sample, the sample's rank and the
@@ -38,6 +40,7 @@ gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,13 +56,17 @@ WINDOW, GRAM = 100, 50
 SPAN = WINDOW - GRAM + 1
 MODULUS, COVER = 31, (1, 5, 11, 24, 25, 27)
 SAMPLE = WINDOW - MODULUS + 1
-BLOCK = 3 << 20
+#: Text of a block.  Rows of an exchange are blocks times buckets, both in proportion to the corpus, so blocks are as large as a worker's memory allows;
+#: the kernels, which need some hundred bytes per byte, go through a block by runs of documents with about ``PIECE`` bytes.
+BLOCK = 8 << 20
+PIECE = 1 << 17
 #: Bytes of corpus text per suffix bucket; about a third of them are sorted, at some hundred bytes each.
 BUCKET = 8 << 20
-PLACE_BITS = np.uint64(31)
-#: Segments of one anchor that one bucket takes, and window hashes per bucket for anchors with more.
+#: Bits of a hash that order anchors; the others hold the place.
+HASH_PART = np.uint64((1 << 64) - (1 << 31))
+#: Segments of one anchor that one bucket takes, and window hashes per bucket for anchors with more (where there are few, no less than the second number).
 HOT = 4096
-WINDOWS = 1_000_000
+WINDOWS, FEW_WINDOWS = 1_000_000, 65_536
 
 BLOCKS = "block long, ids array<long>, sizes binary, text binary, n_bytes long"
 _BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("text", pa.binary()), ("n_bytes", pa.int64())])
@@ -71,24 +78,57 @@ def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table.take(pc.sort_indices(table, [("doc_id", "ascending")], null_placement="at_end")) if table.num_rows > 1 else table
         data, offsets = kernels.text_buffers(table.column("text"))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+            [pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column("doc_id").combine_chunks()),
              pa.array([np.diff(offsets).astype(np.int64).tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([len(data)], pa.int64())],
             schema=_BLOCK_SCHEMA)
 
 
+def pieces(sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Runs of whole documents with about ``PIECE`` bytes, one document at least: start, end, sizes."""
+    ends = np.cumsum(sizes)
+    i = start = 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, start + PIECE, side="right")))
+        yield start, int(ends[j - 1]), sizes[i:j]
+        i, start = j, int(ends[j - 1])
+
+
+@functools.cache
+def _powers(base: int, bits: int) -> np.ndarray:
+    return kernels.powers(base, 1 << bits)
+
+
+@functools.cache
+def _places(bits: int) -> np.ndarray:
+    return np.arange(1 << bits, dtype=np.uint64)
+
+
+def _scale(base: int, n: int) -> np.ndarray:
+    """Powers for a piece, kept by the worker; a document longer than a piece gets its own."""
+    return _powers(base, PIECE.bit_length())[:n] if n <= PIECE else kernels.powers(base, n)
+
+
+def _prefix(data: np.ndarray) -> np.ndarray:
+    return kernels.prefix_hashes(data, _scale(kernels.BASE, len(data)))
+
+
 def segments(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of suffixes that share an anchor: first start, number, anchor place, anchor hash."""
+    found = [_segments(data[a:b], part, a) for a, b, part in pieces(sizes) if b - a >= WINDOW]
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip((empty, empty, empty, np.zeros(0, np.uint64)), *found))
+
+
+def _segments(data: np.ndarray, sizes: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Those of one piece, which starts at byte ``at``."""
     n = len(data) - WINDOW + 1
-    if n <= 0:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, np.zeros(0, np.uint64)
-    prefix = kernels.prefix_hashes(data)
+    prefix = _prefix(data)
     grams = prefix[GRAM:] - prefix[:-GRAM]
-    del prefix
-    grams *= kernels.powers(kernels.INVERSE, len(grams))
+    grams *= _scale(kernels.INVERSE, len(grams))
     grams = kernels.mix64(grams)
     # smallest hash of each window by doubling; the low bits hold the place, so ties go to the left
-    least = (grams >> PLACE_BITS << PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
+    least = grams & HASH_PART
+    least |= _places(PIECE.bit_length())[:len(grams)] if len(grams) <= PIECE else np.arange(len(grams), dtype=np.uint64)
     width = 1
     while 2 * width <= SPAN:
         least = np.minimum(least[:-width], least[width:])
@@ -96,22 +136,42 @@ def segments(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if width < SPAN:
         least = np.minimum(least[:len(least) - (SPAN - width)], least[SPAN - width:])
     least = least[:n]
-    anchor = (least & np.uint64((1 << 31) - 1)).astype(np.int64)
-    ends = np.cumsum(sizes)
-    # suffixes too close to their document's end are none
-    edge = np.zeros(n + 1, np.int64)
-    stop_from, stop_to = np.clip(np.maximum(ends - WINDOW + 1, ends - sizes), 0, n), np.clip(ends, 0, n)
-    np.add.at(edge, stop_from, 1)
-    np.add.at(edge, stop_to, -1)
-    inside = np.cumsum(edge[:-1]) == 0
-    new = inside.copy()
-    new[1:] &= (anchor[1:] != anchor[:-1]) | ~inside[:-1]
-    starts = np.nonzero(new)[0]
-    last = inside.copy()
-    last[:-1] &= (anchor[1:] != anchor[:-1]) | ~inside[1:]
-    counts = np.nonzero(last)[0] - starts + 1
+    # suffixes too close to their document's end are none; all others lie in runs between them
+    few = np.minimum(sizes, WINDOW - 1)
+    close = np.repeat(np.cumsum(sizes) - np.cumsum(few), few) + np.arange(int(few.sum()))
+    inside = np.ones(n, bool)
+    inside[close[close < n]] = False
+    change = least[1:] != least[:-1]
+    change |= inside[1:] != inside[:-1]
+    cut = np.concatenate([[0], np.nonzero(change)[0] + 1, [n]])
+    starts, counts = cut[:-1], np.diff(cut)
+    run = inside[starts]
+    starts, counts = starts[run], counts[run]
+    anchor = (least[starts] & ~HASH_PART).astype(np.int64)
     # smallest hashes crowd near zero; mixed again, they spread evenly over the buckets
-    return starts, counts, anchor[starts], kernels.mix64(grams[anchor[starts]] + np.uint64(0x9E3779B97F4A7C15))
+    return starts + at, counts, anchor + at, kernels.mix64(grams[anchor] + np.uint64(0x9E3779B97F4A7C15))
+
+
+def string_hashes(data: np.ndarray, sizes: np.ndarray, *ranges: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """64-bit hashes of byte ranges [start, end) inside documents, each list in the order of its starts."""
+    out = [[np.zeros(0, np.uint64)] for _ in ranges]
+    for a, b, _ in pieces(sizes):
+        found = [np.searchsorted(starts, (a, b)) for starts, _ in ranges]
+        if any(i < j for i, j in found):
+            prefix = _prefix(data[a:b])
+            for hashes, (starts, ends), (i, j) in zip(out, ranges, found):
+                hashes.append(kernels.range_hashes(prefix, starts[i:j] - a, ends[i:j] - a, _scale(kernels.INVERSE, b - a)))
+    return [np.concatenate(x) for x in out]
+
+
+def _joined(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of many ranges, one after the other."""
+    return data[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))]
+
+
+def _segment_names(text: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Names of segments by the hashes of their texts: equal for the same text and the same anchor place inside."""
+    return kernels.mix64(text + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def send_anchors(bits: int):
@@ -126,15 +186,17 @@ def send_anchors(bits: int):
 
 
 def find_repeated(hot: int):
-    """Grouped Arrow function of one bucket of anchors: a bit per key and block where another block has the key too, and one where it has more than ``hot`` segments."""
+    """Grouped Arrow function of one bucket of anchors: a bit per key and block where another block has the key too, and one where it has more than ``hot`` segments; the block's segments of the latter."""
 
     def find(group: pa.Table) -> pa.Table:
         keys = packed(group.column("keys"), np.uint64)
         _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         again = n[at] > 1
-        many = np.bincount(at, weights=np.concatenate(packed(group.column("counts"), np.uint32)))[at] > hot
+        counts = np.concatenate(packed(group.column("counts"), np.uint32)).astype(np.int64)
+        many = np.bincount(at, weights=counts)[at] > hot
         cut = np.cumsum([0, *map(len, keys)])
-        return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), **{
+        spread = np.concatenate([[0], np.cumsum(counts * many)])[cut]
+        return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "n_hot": np.diff(spread), **{
             name: pa.array([np.packbits(x[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for name, x in (("bits", again), ("hot", many))}})
 
     return find
@@ -159,16 +221,15 @@ def _chosen(data: np.ndarray, sizes: np.ndarray, answers: pa.Table, key_count_bi
     for name, flags in (("bits", again), ("hot", hot)):
         for buffer, (_, i, j) in zip(_ordered(answers, name), slices(keys, key_count_bits)):
             flags[i:j] = np.unpackbits(np.frombuffer(buffer, np.uint8))[:j - i].astype(bool)
-    prefix = kernels.prefix_hashes(data)
     spread = hot[at]
     single = np.repeat(starts[spread] - np.cumsum(counts[spread]) + counts[spread], counts[spread]) + np.arange(int(counts[spread].sum()))
-    windows = (single, *np.unique(kernels.range_hashes(prefix, single, single + WINDOW), return_index=True, return_inverse=True))
     pick = np.nonzero((again | (n > 1))[at] & ~spread)[0]
-    pick = pick[np.argsort(hashes[pick], kind="stable")]  # by anchor; the earliest document first
+    window, text = string_hashes(data, sizes, (single, single + WINDOW), (starts[pick], starts[pick] + counts[pick] + WINDOW - 1))
+    windows = (single, *np.unique(window, return_index=True, return_inverse=True))
+    by_anchor = np.argsort(hashes[pick], kind="stable")  # the earliest document first
+    pick, text = pick[by_anchor], text[by_anchor]
     starts, counts, anchors, hashes = starts[pick], counts[pick], anchors[pick], hashes[pick]
-    text = kernels.range_hashes(prefix, starts, starts + counts + WINDOW - 1)
-    # equal segments of one block: same text and same anchor place inside
-    name = kernels.mix64(text + (anchors - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    name = _segment_names(text, anchors - starts)
     _, first = np.unique(name, return_index=True)
     lead = np.zeros(len(name), bool)
     lead[first] = True
@@ -182,7 +243,7 @@ def send_segments(anchor_bits: int, bits: int, window_bits: int):
         rows = []
         for r in range(block.num_rows):
             data, sizes = np.frombuffer(block.column("text")[r].as_buffer(), np.uint8), np.frombuffer(block.column("sizes")[r].as_buffer(), np.int64)
-            ids = np.array([np.iinfo(np.int64).max if i is None else i for i in block.column("ids")[r].as_py()], np.int64)
+            ids = pc.fill_null(block.column("ids")[r].values, np.iinfo(np.int64).max).to_numpy()
             starts, counts, anchors, hashes, lead, (single, keys, earliest, _) = _chosen(data, sizes, answers, anchor_bits)
             owner = ids[np.searchsorted(np.cumsum(sizes), single[earliest], side="right")]
             for b, i, j in slices(keys, window_bits):
@@ -191,8 +252,7 @@ def send_segments(anchor_bits: int, bits: int, window_bits: int):
             doc = np.searchsorted(np.cumsum(sizes), starts, side="right")
             lengths = counts + WINDOW - 1
             for b, i, j in slices(hashes, bits):
-                text = b"".join([data[s:s + n].tobytes() for s, n in zip(starts[i:j].tolist(), lengths[i:j].tolist())])
-                rows.append((b, block.column("block")[r].as_py(), text, counts[i:j].astype(np.uint8).tobytes(), (anchors - starts)[i:j].astype(np.uint8).tobytes(), ids[doc[i:j]].tobytes()))
+                rows.append((b, block.column("block")[r].as_py(), _joined(data, starts[i:j], lengths[i:j]).tobytes(), counts[i:j].astype(np.uint8).tobytes(), (anchors - starts)[i:j].astype(np.uint8).tobytes(), ids[doc[i:j]].tobytes()))
         types = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
         return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("bucket", "block", "text", "counts", "places", "docs"), types))})
 
@@ -203,14 +263,36 @@ _NEXT_SAMPLE = np.array([min((c - r) % MODULUS for c in COVER) for r in range(MO
 
 
 def sort_bucket(group: pa.Table) -> pa.Table:
-    """One suffix bucket: which suffixes of each segment also start earlier, a 64-bit mask per segment."""
-    order = np.argsort(group.column("block").to_numpy(), kind="stable")
+    """One suffix bucket: which suffixes of each segment also start earlier, a 64-bit mask per segment.
+
+    All but the earliest of equal segments do as a whole, and suffixes of an anchor with one distinct segment do not; the others are sorted.
+    """
+    group = group.take(pa.array(np.argsort(group.column("block").to_numpy(), kind="stable")))
     if group.column("bucket")[0].as_py() < 0:
-        return sort_windows(group.take(pa.array(order)))
-    take = lambda n, t: [packed(group.column(n), t)[i] for i in order]
-    counts_of = take("counts", np.uint8)
-    text, counts = np.concatenate(take("text", np.uint8)), np.concatenate(counts_of).astype(np.int64)
-    places, docs = np.concatenate(take("places", np.uint8)).astype(np.int64), np.concatenate(take("docs", np.int64))
+        return sort_windows(group)
+    counts_of = packed(group.column("counts"), np.uint8)
+    text, counts = np.concatenate(packed(group.column("text"), np.uint8)), np.concatenate(counts_of).astype(np.int64)
+    places, docs = np.concatenate(packed(group.column("places"), np.uint8)).astype(np.int64), np.concatenate(packed(group.column("docs"), np.int64))
+    lengths = counts + WINDOW - 1
+    base = np.cumsum(lengths) - lengths
+    whole, anchors = string_hashes(text, lengths, (base, base + lengths), (base + places, base + places + GRAM))
+    # of equal segments that of the earliest document leads, then that of the first block and place, which is the order of the rows
+    name = _segment_names(whole, places)
+    by = np.lexsort((docs, name))
+    lead = np.sort(by[np.concatenate([[True], name[by[1:]] != name[by[:-1]]])])
+    mask = (np.uint64(1) << counts.astype(np.uint64)) - np.uint64(1)
+    mask[lead] = 0
+    _, at, n = np.unique(anchors[lead], return_inverse=True, return_counts=True)
+    mixed = lead[n[at] > 1]
+    if len(mixed):
+        mask[mixed] = sort_suffixes(_joined(text, base[mixed], lengths[mixed]), counts[mixed], places[mixed], docs[mixed])
+    cut = np.cumsum([0, *map(len, counts_of)])
+    return pa.table({"block": group.column("block"), "bucket": group.column("bucket"),
+                     "masks": pa.array([mask[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+
+
+def sort_suffixes(text: np.ndarray, counts: np.ndarray, places: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Masks of the segments whose texts stand one after the other: which of their suffixes also start earlier."""
     n_seg = len(counts)
     lengths = counts + WINDOW - 1
     base = np.cumsum(lengths) - lengths
@@ -235,9 +317,7 @@ def sort_bucket(group: pa.Table) -> pa.Table:
     mask = np.zeros(n_seg, np.uint64)
     dup = by[same]
     np.bitwise_or.at(mask, seg[dup], np.uint64(1) << inner[dup].astype(np.uint64))
-    cut = np.cumsum([0, *map(len, counts_of)])
-    return pa.table({"block": group.column("block").take(pa.array(order)), "bucket": group.column("bucket").take(pa.array(order)),
-                     "masks": pa.array([mask[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+    return mask
 
 
 def sort_windows(group: pa.Table) -> pa.Table:
@@ -255,6 +335,30 @@ def sort_windows(group: pa.Table) -> pa.Table:
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>"
 
 
+def _cut_block(ids: pa.Array, data: np.ndarray, sizes: np.ndarray, begins: np.ndarray) -> pa.RecordBatch:
+    """The documents of a block without the windows that begin at the given places, in rising order."""
+    ends = np.cumsum(sizes)
+    doc = np.searchsorted(ends, begins, side="right")
+    # windows that overlap or touch make one span, documents apart
+    apart = np.ones(len(begins) + 1, bool)
+    apart[1:-1] = (begins[1:] > begins[:-1] + WINDOW) | (doc[1:] != doc[:-1])
+    first, last = begins[apart[:-1]], begins[apart[1:]] + WINDOW
+    doc = doc[apart[:-1]]
+    n_spans = np.bincount(doc, minlength=len(sizes))
+    n_removed = np.bincount(doc, weights=last - first, minlength=len(sizes)).astype(np.int64)
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[first] += 1
+    edge[last] -= 1
+    kept = data[np.cumsum(edge[:-1], dtype=np.int8) == 0]
+    offsets = lambda n: pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+    origin = (ends - sizes)[doc]
+    spans = [pa.ListArray.from_buffers(pa.list_(pa.int64()), len(sizes), [None, offsets(n_spans)], children=[pa.array(x - origin)]) for x in (first, last)]
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(sizes), pa.array(n_removed), pa.array(n_spans, pa.int64()),
+         pa.Array.from_buffers(pa.binary(), len(sizes), [None, offsets(sizes - n_removed), pa.py_buffer(kept)]), *spans],
+        names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "starts", "ends"])
+
+
 def cut_texts(anchor_bits: int, window_bits: int):
     """Cogroup function: a block with both kinds of answers to its documents' spans and remaining bytes."""
 
@@ -281,19 +385,11 @@ def cut_texts(anchor_bits: int, window_bits: int):
             seg = np.repeat(np.arange(len(starts)), counts)
             inner = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts)
             hit = (mask[seg] >> inner.astype(np.uint64)) & np.uint64(1) == 1
-            where = np.concatenate([starts[seg[hit]] + inner[hit], single[again]])
-            edge = np.zeros(len(data) + 1, np.int32)
-            np.add.at(edge, where, 1)
-            np.add.at(edge, where + WINDOW, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            ends = np.cumsum(sizes)
-            for doc, a, b in zip(block.column("ids")[r].as_py(), (ends - sizes).tolist(), ends.tolist()):
-                lost = gone[a:b]
-                step = np.diff(np.concatenate([[0], lost.astype(np.int8), [0]]))
-                s, e = np.nonzero(step == 1)[0], np.nonzero(step == -1)[0]
-                out.append((doc, b - a, int(lost.sum()), len(s), data[a:b][~lost].tobytes(), s.tolist(), e.tolist()))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate(zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "starts", "ends"), types))})
+            begins = np.zeros(len(data), bool)
+            begins[starts[seg[hit]] + inner[hit]] = True
+            begins[single[again]] = True
+            out.append(_cut_block(block.column("ids")[r].values, data, sizes, np.nonzero(begins)[0]))
+        return pa.Table.from_batches(out)
 
     return cut
 
@@ -306,9 +402,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = materialize_bucketed(rows.mapInArrow(make_blocks, BLOCKS), "blocks", "block", bucket_count(docs))
     total = blocks.agg(F.sum("n_bytes").alias("n")).first().n or 0
     anchor_bits, bits = key_bits(total // 26, 1_000_000, least), key_bits(total, BUCKET, least)
-    window_bits = key_bits(total, WINDOWS, least)
     anchors = blocks.select("block", "sizes", "text").mapInArrow(send_anchors(anchor_bits), "bucket long, block long, keys binary, counts binary")
-    repeated = materialize(anchors.groupBy("bucket").applyInArrow(find_repeated(hot), "block long, bucket long, bits binary, hot binary"), "repeated")
+    repeated = materialize(anchors.groupBy("bucket").applyInArrow(find_repeated(hot), "block long, bucket long, n_hot long, bits binary, hot binary"), "repeated")
+    windows = SPAN * (repeated.agg(F.sum("n_hot").alias("n")).first().n or 0)
+    window_bits = key_bits(windows, WINDOWS, min(least, windows // FEW_WINDOWS))
     first = repeated.select(F.col("block").alias("to"), "bucket", "bits", "hot")
     sent = blocks.groupBy("block").cogroup(first.groupBy("to")).applyInArrow(
         send_segments(anchor_bits, bits, window_bits), "bucket long, block long, text binary, counts binary, places binary, docs binary")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phasefold.llm import common, exact_dedup, kernels, near_dedup, suffix_dedup
+from phasefold.llm import blocks, common, exact_dedup, kernels, near_dedup, suffix_dedup
 from tests.llm.conftest import odd_rows
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -256,6 +256,84 @@ def test_a_frequent_line_spreads_over_buckets():
     assert sum(load.values()) > 1_000_000 and max(load.values()) < 0.05 * sum(load.values())
 
 
+def cut_without_spark(rows, hot, bits=3):
+    """The steps of remove_repeats on one table, and the rows sent to suffix buckets."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    by = lambda t, name: [t.filter(pc.equal(t.column(name), x)) for x in sorted(set(t.column(name).to_pylist()))]
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})
+    blocks = pa.Table.from_batches(list(suffix_dedup.make_blocks(iter(table.to_batches(max_chunksize=7)))))
+    sent = pa.Table.from_batches(list(suffix_dedup.send_anchors(bits)(iter(blocks.to_batches()))))
+    repeated = pa.concat_tables([suffix_dedup.find_repeated(hot)(g) for g in by(sent, "bucket")])
+    of = lambda t, b: t.filter(pc.equal(t.column("block"), b.column("block")[0]))
+    sent = pa.concat_tables([suffix_dedup.send_segments(bits, bits, bits)(b, of(repeated, b)) for b in by(blocks, "block")])
+    masks = pa.concat_tables([suffix_dedup.sort_bucket(g) for g in by(sent, "bucket")])
+    answers = pa.concat_tables([repeated.select(["block", "bucket", "bits", "hot"]), masks], promote_options="default")
+    return pa.concat_tables([suffix_dedup.cut_texts(bits, bits)(b, of(answers, b)) for b in by(blocks, "block")]).to_pylist(), sent
+
+
+@pytest.mark.parametrize("hot", [0, 3, 4096])
+@pytest.mark.parametrize("piece,block", [(1 << 17, 16 << 20), (700, 9_000), (100, 400)])
+def test_pieces_and_edges_agree_with_brute_force(monkeypatch, hot, piece, block):
+    """Documents longer and shorter than a piece, windows that touch, documents that go whole side by side, texts of 99 to 101 bytes, few letters."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = random.Random(8)
+    of = lambda n, letters="ab": "".join(rng.choices(letters, k=n))
+    passages = [of(n, string.ascii_lowercase) for n in (40, 99, 100, 101, 130, 200, 310)] + [of(60) * 3, "é" * 70]
+    texts = ["".join(rng.choices(passages, k=rng.randint(1, 6))) + of(rng.choice([0, 3, 90])) for _ in range(60)]
+    texts += [passages[2], passages[2], passages[3], passages[1], passages[1], None, "", passages[2] + "-" + passages[2], of(2000), of(2000)]
+    texts += [passages[2] + passages[4][:100] + passages[2], texts[0], texts[0], texts[3]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, r[1]) for i, r in enumerate(odd_rows())]
+    got, _ = cut_without_spark(rows, hot)
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in got) == sorted(repeats(rows))
+    raw = {i: (t or "").encode() for i, t in rows}
+    for r in got:
+        cut = [0, *(x for ends in zip(r["starts"], r["ends"]) for x in ends), r["n_bytes"]]
+        assert b"".join(raw[r["doc_id"]][a:b] for a, b in zip(cut[::2], cut[1::2])) == r["kept"]
+
+
+def test_a_bucket_reads_each_row_once(monkeypatch):
+    """The rows of a bucket, one a block, grow with the corpus: reading all of them for each of them made time grow with its square."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 2_000)
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choices(string.ascii_lowercase, k=n))
+    shared = own(700)
+    _, sent = cut_without_spark([(i, own(1500) + shared[i:] + own(60)) for i in range(120)], suffix_dedup.HOT, 1)
+    buckets = [sent.filter(sent.column("bucket").to_numpy() == b) for b in set(sent.column("bucket").to_pylist())]
+    read = []
+    packed = suffix_dedup.packed
+    monkeypatch.setattr(suffix_dedup, "packed", lambda column, dtype: read.append(len(column)) or packed(column, dtype))
+    for bucket in buckets:
+        suffix_dedup.sort_bucket(bucket)
+    assert sent.num_rows >= 200 and sum(read) <= 4 * sent.num_rows
+
+
+def test_equal_segments_are_not_sorted(monkeypatch):
+    """A passage in many documents is one segment an anchor; only suffixes at its edges, whose segments differ, are sorted."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 4_000)
+    rng = random.Random(10)
+    own = lambda n: "".join(rng.choices(string.ascii_lowercase, k=n))
+    passage = own(3000)
+    rows = [(i, own(150) + passage + own(150)) for i in range(20)]
+    seen = []
+    sort = getattr(suffix_dedup, "sort_suffixes", None)
+    monkeypatch.setattr(suffix_dedup, "sort_suffixes", lambda text, counts, *more: seen.append(int(counts.sum())) or sort(text, counts, *more))
+    got, _ = cut_without_spark(rows, suffix_dedup.HOT)
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in got) == sorted(repeats(rows))
+    assert sum(seen) < 5 * 20 * suffix_dedup.SPAN
+
+
+def test_window_buckets_follow_the_windows_there_are(spark, monkeypatch):
+    """A corpus without frequent anchors asks for no buckets of window hashes, whatever its size."""
+    asked = []
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", 10)
+    monkeypatch.setattr(suffix_dedup, "key_bits", lambda keys, per_bucket, least: asked.append(keys / per_bucket) or blocks.key_bits(keys, per_bucket, least))
+    suffix_dedup.remove_repeats(spark.createDataFrame([(i, f"{i} " * 300) for i in range(20)], "doc_id long, text string"))
+    assert min(asked) == 0
+
+
 def test_cover_has_every_difference():
     m = suffix_dedup.MODULUS
     assert {(a - b) % m for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(m))
